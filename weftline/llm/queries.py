@@ -5,20 +5,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import formatting
+from weftline.llm import budget, formatting, leakage, mixture
+
+#: Where the public tokenizers' files lie.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every member but the smallest of each group of same records."""
-    same = formatting.grouped(spark.read.parquet(f"{d}/raw_records.parquet"))
+    same = formatting.grouped(_table(spark, d, "raw_records"))
     return same.where("copies > 1 and id <> first").select(F.col("first").alias("first_record_id"), F.col("id").alias("record_id"))
 
 
 def p5_copies(spark: SparkSession, d: str) -> DataFrame:
     """One record of each group with its number of copies."""
-    return formatting.collapsed(spark.read.parquet(f"{d}/raw_records.parquet")).select(F.col("id").alias("record_id"), "copies")
+    return formatting.collapsed(_table(spark, d, "raw_records")).select(F.col("id").alias("record_id"), "copies")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Downloads whose latest snapshot is off."""
+    return budget.off_snapshots(_table(spark, d, "documents"), _table(spark, d, "resume_snapshots")).select("download_id")
+
+
+def p6_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated tokens by source, language and domain."""
+    return budget.by_slice(_table(spark, d, "documents"), budget.Estimate())
+
+
+def p6_byte_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens by source, language and domain under a byte-level BPE vocabulary."""
+    return budget.by_slice(_table(spark, d, "documents"), budget.BytePairs(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", budget.BYTE_PATTERN))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with twelve successive words of an item, verbatim."""
+    return leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark")).where("exact_runs > 0").select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items that leaked: into how many documents verbatim, and how many hold them only with other numbers, names or units."""
+    met = leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+    return met.groupBy("item_id").agg(F.count_if(F.col("exact_runs") > 0).alias("verbatim"), F.count_if(F.col("exact_runs") == 0).alias("reparameterised"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that run out: all their documents used as often as allowed, the target still missed."""
+    return mixture.report(*mixture.mixture(_table(spark, d, "documents"), _table(spark, d, "general_100b_mix"))).where("short").select("id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each source with the share it reached."""
+    return mixture.report(*mixture.mixture(_table(spark, d, "documents"), _table(spark, d, "general_100b_mix")))
+
 
+QUERIES = {f.__name__: f for f in (p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares)}
 
-QUERIES = {"p5_found": p5_found, "p5_copies": p5_copies}
+_TOKENS = "greatest(1, length(text) // 4)"
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p6_found": f"""
+with t as (select download_id, sum({_TOKENS}) as tokens from documents group by 1),
+l as (select download_id, arg_max(estimated_tokens, updated_at) as recorded from resume_snapshots group by 1)
+select l.download_id from l left join t using (download_id) where recorded is null or abs(recorded - coalesce(tokens, 0)) > 0.02 * coalesce(tokens, 0)""",
+    "p6_slices": f"""
+select nullif(lower(trim(source)), '') as source,
+       nullif(split_part(split_part(lower(trim(lang)), '-', 1), '_', 1), '') as language,
+       nullif(regexp_replace(regexp_replace(lower(trim(domain)), '^[a-z]+://', ''), '^www\\.|/.*$', '', 'g'), '') as domain,
+       count(*) as documents, cast(sum({_TOKENS}) as bigint) as tokens
+from documents group by 1, 2, 3""",
+    "p8_found": f"""
+with t as (select lower(trim(source)) as source, sum({_TOKENS}) as tokens from documents group by 1),
+w as (select g.id, weight, max_repeats, coalesce(tokens, 0) as tokens from general_100b_mix g left join t on t.source = lower(trim(g.id)) where split = 'train' and enabled)
+select id from w where weight * (select sum(tokens) from w) > max_repeats * tokens""",
+}
