@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import budget, formatting, leakage, mixture
+from weftline.llm import budget, formatting, leakage, mixture, prose
 
 #: Where the public tokenizers' files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -15,6 +15,17 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of every source but code that are for the most part list, table or junk."""
+    documents = _table(spark, d, "documents").where("lower(trim(coalesce(source, ''))) <> 'code'")
+    return prose.not_prose(documents, _table(spark, d, "common_words")).select("doc_id")
+
+
+def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and label shares of each document."""
+    return prose.statistics(_table(spark, d, "documents"), _table(spark, d, "common_words"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every member but the smallest of each group of same records."""
     same = formatting.grouped(_table(spark, d, "raw_records"))
@@ -62,7 +73,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.report(*mixture.mixture(_table(spark, d, "documents"), _table(spark, d, "general_100b_mix")))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares)}
 
 _TOKENS = "greatest(1, length(text) // 4)"
 
