@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import budget, formatting, leakage, mixture, prose
+from weftline.llm import budget, formatting, leakage, mixture, neardup, prose
 
 #: Where the public tokenizers' files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -26,6 +26,18 @@ def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
     return prose.statistics(_table(spark, d, "documents"), _table(spark, d, "common_words"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents that are versions of one text."""
+    found = neardup.classes(_table(spark, d, "documents"), n=3, similarity=0.5)
+    return neardup.pairs(found).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with its class of equal sets of five-word runs, its group of near-duplicates and its class's links."""
+    found = neardup.groups(neardup.classes(_table(spark, d, "documents")))
+    return found.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("group").alias("group_id"), "links")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every member but the smallest of each group of same records."""
     same = formatting.grouped(_table(spark, d, "raw_records"))
@@ -73,7 +85,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.report(*mixture.mixture(_table(spark, d, "documents"), _table(spark, d, "general_100b_mix")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares)}
 
 _TOKENS = "greatest(1, length(text) // 4)"
 
