@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import budget, formatting, leakage, mixture, neardup, prose
+from weftline.llm import budget, formatting, leakage, mixture, neardup, prose, spans
 
 #: Where the public tokenizers' files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -85,7 +85,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.report(*mixture.mixture(_table(spark, d, "documents"), _table(spark, d, "general_100b_mix")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents with 500 characters or more in common."""
+    found, again = spans.spans(_table(spark, d, "documents"))
+    return spans.pairs(found, again).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document stands in others."""
+    return spans.coverage(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares, p9_found, p9_shared)}
 
 _TOKENS = "greatest(1, length(text) // 4)"
 
