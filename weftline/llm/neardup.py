@@ -10,8 +10,8 @@ least one partition i, at most t_i of them, for any thresholds with sum(t_i + 1)
 be left out.  A dynamic programme chooses the thresholds so that estimated candidates and rows sent are fewest.  A
 threshold t_i is probed by keys of every choice of WIDTH - t_i coordinates.
 
-Candidates that share a key are thinned inside the join by a 128-bit digest of the signature and then verified exactly on
-the sets.  Equal sets are collapsed before and never paired.
+Candidates that share a key are thinned inside the join by a 128-bit digest of the signature, then by the whole
+signatures, and those left are verified exactly on the texts.  Equal sets are collapsed before and never paired.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import bloom
 from weftline.functions.text import WordHashes, mix, runs, words
@@ -35,8 +36,8 @@ COORDINATES = 32
 WIDTH = 4
 #: Chance that a pair at the very threshold has more mismatches than the budget; the pigeonhole still finds most of those.
 RARE = 0.004
-#: Chance that such a pair is lost by the digest inside the join.
-LOST = 1e-4
+#: Chance that such a pair is lost by the digests inside the join, and again by the signatures after it.
+LOST = 5e-4
 #: Counters of one sketch.
 COUNTERS = 1024
 #: What sending a row costs, in candidates.
@@ -55,9 +56,10 @@ def budget(similarity: float) -> int:
     return next(k for k in range(COORDINATES + 1) if _tail(COORDINATES, 1 - similarity, k) <= RARE)
 
 
-def digest_agreement(similarity: float) -> int:
-    """Coordinates whose digests must agree."""
-    return max(k for k in range(COORDINATES + 1) if 1 - _tail(COORDINATES, similarity, k - 1) <= LOST)
+def agreement(similarity: float, bits: int = 32) -> int:
+    """Coordinates that must agree, in ``bits`` bits each, for all but LOST of the pairs at the threshold."""
+    equal = similarity + (1 - similarity) / 2**bits
+    return max(k for k in range(COORDINATES + 1) if 1 - _tail(COORDINATES, equal, k - 1) <= LOST)
 
 
 def shingle_set(text: str, n: int, hashes: WordHashes) -> np.ndarray:
@@ -189,15 +191,22 @@ def _agreeing(a: str, b: str) -> Column:
     return F.lit(COORDINATES) - differing(F.col(f"{a}.d0").bitwiseXOR(F.col(f"{b}.d0"))) - differing(F.col(f"{a}.d1").bitwiseXOR(F.col(f"{b}.d1")))
 
 
-def _exact(similarity: float):
+@F.pandas_udf(T.IntegerType())
+def _matching(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series((_matrix(a) == _matrix(b)).sum(1).astype(np.int32)) if len(a) else pd.Series([], dtype="int32")
+
+
+def _exact(n: int):
     @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / (len(x) + len(y) - both))
-        return pd.Series(out)
+    def jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for a, b in batches:
+            out = []
+            for x, y in zip(a, b):
+                x, y = shingle_set(x, n, hashes), shingle_set(y, n, hashes)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both / (len(x) + len(y) - both))
+            yield pd.Series(out, dtype="float64")
 
     return jaccard
 
@@ -216,12 +225,12 @@ def classes(documents: DataFrame, n: int = 5, similarity: float = 0.8, id: str =
 
     Ids must be unique longs.  Null texts and texts of fewer than ``n`` words have no similarity to anything and do not
     appear.  Only id and text are read.  Similarities are exact; a link is missed only if no key or digest shows it, with the
-    chance ``Plan.missed`` plus LOST, which is largest at the threshold itself.
+    chance ``Plan.missed`` plus twice LOST, which is largest at the threshold itself.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = cut(rows.mapInPandas(_signatures(n), _SIGNATURE), "signatures")
-    firsts = cut(signed.groupBy("a", "b").agg(F.min(F.struct("id", "signature", "d0", "d1")).alias("s")).select("a", "b", "s.*"), "classes")
+    firsts = cut(signed.groupBy("a", "b").agg(F.min(F.struct("id", "signature", "size", "d0", "d1")).alias("s")).select("a", "b", "s.*"), "classes")
     members = signed.select("id", "a", "b").join(firsts.select("a", "b", F.col("id").alias("class")), ["a", "b"]).select("id", "class")
     chosen = plan(firsts, similarity)
     probes = chosen.probes()
@@ -234,20 +243,17 @@ def classes(documents: DataFrame, n: int = 5, similarity: float = 0.8, id: str =
             yield pd.DataFrame({"key": np.concatenate([_keys(values, c).view(np.int64) for c in probes])} | {c: np.tile(pdf[c].to_numpy(np.int64), len(probes)) for c in ("id", "d0", "d1")})
 
     keyed = firsts.select("id", "signature", "d0", "d1").mapInPandas(keys, "key long, id long, d0 long, d1 long")
-    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (_agreeing("x", "y") >= digest_agreement(similarity)))
-    pairs = cut(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "candidates")
+    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (_agreeing("x", "y") >= agreement(similarity, 4)))
+    close = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    signature = firsts.select("id", "signature", "size")
+    near = close.join(signature.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("size").alias("na")), "a").join(signature.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("size").alias("nb")), "b")
+    alike = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")
+    pairs = cut(near.where(alike & (_matching("sa", "sb") >= agreement(similarity))).select("a", "b"), "candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     needed = bloom.members(ids, bloom.bits_for(pairs.count() * 2))
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "set": [shingle_set(t or "", n, hashes).tobytes() for t in pdf["text"]]})
-
-    whole = cut(rows.where(needed(F.col("id"))).mapInPandas(sets, "id long, set binary"), "sets")
-    left = whole.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = whole.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", _exact(similarity)("sa", "sb").alias("similarity")).where(F.col("similarity") >= similarity)
+    texts = cut(rows.where(needed(F.col("id"))), "texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    links = both.select("a", "b", _exact(n)("ta", "tb").alias("similarity")).where(F.col("similarity") >= similarity)
     return Classes(members, links, chosen)
 
 
