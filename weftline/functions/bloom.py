@@ -110,3 +110,16 @@ def repeated(hashes: DataFrame, bits: int) -> Callable[[Column], Column]:
 def members(hashes: DataFrame, bits: int) -> Callable[[Column], Column]:
     """A test on a long column: false only for values that ``hashes`` does not hold; null is false."""
     return _filter(hashes, bits, False)
+
+
+def without(rows: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
+    """``rows`` whose id the one column of ``ids`` does not hold.
+
+    Rows that the filter of ``ids`` clears stay where they are; only the others meet ``ids`` in a shuffle.  Rows with a null
+    id stay.
+    """
+    maybe = members(ids, bits_for(ids.count()))
+    marked = rows.withColumn("_maybe", maybe(F.col(id)))
+    listed = ids.select(F.col(ids.columns[0]).alias("_listed"))
+    checked = marked.where("_maybe").join(listed, F.col(id) == F.col("_listed"), "left_anti")
+    return marked.where("not coalesce(_maybe, false)").unionByName(checked).drop("_maybe")
