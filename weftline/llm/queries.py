@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import budget, formatting, leakage, mixture, neardup, prose, spans
+from weftline.llm import budget, formatting, leakage, mixture, neardup, overlap, prose, spans
 
 #: Where the public tokenizers' files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -38,6 +38,23 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("group").alias("group_id"), "links")
 
 
+def _held_out(spark: SparkSession, d: str) -> tuple[DataFrame, overlap.Overlaps]:
+    records = _table(spark, d, "processed_records")
+    found = overlap.overlaps(records, overlap.bound(0.5), n=3)
+    return records, overlap.Overlaps(found.members, found.links.where("jaccard >= 0.5"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """A training record and a held-out record, equal or nearly so."""
+    met = overlap.pairs(_held_out(spark, d)[1])
+    return met.select(F.least("a", "b").alias("record_id_a"), F.greatest("a", "b").alias("record_id_b"))
+
+
+def p4_by_split(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out records per split and source, and how many of them the training split has."""
+    return overlap.by_split_and_source(*_held_out(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every member but the smallest of each group of same records."""
     same = formatting.grouped(_table(spark, d, "raw_records"))
@@ -96,7 +113,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups, p4_found, p4_by_split, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares, p9_found, p9_shared)}
 
 _TOKENS = "greatest(1, length(text) // 4)"
 
