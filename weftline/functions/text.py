@@ -6,7 +6,9 @@ them through Arrow, except where built-in expressions say exactly the same.
 
 from __future__ import annotations
 
+import hashlib
 import html
+import json
 import re
 import unicodedata
 
@@ -142,20 +144,65 @@ def truncate(text: Column, most: int) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
 
 
-#: What must not leave in a failure text, with what stands for it. Fixed values.
+#: What must not leave in a failure text, in order, with what stands for it. Fixed values.
 REDACTIONS = [
-    (r"(?i)bearer\s+[a-z0-9._~+/=-]+", "Bearer [redacted]"),
-    (r"sk-[A-Za-z0-9_-]{8,}", "[redacted-key]"),
-    (r"(?i)(api[_-]?key|token|secret|password)\s*[=:]\s*[^\s,;]+", "$1=[redacted]"),
-    (r"(?:/[A-Za-z0-9._-]+){2,}", "[path]"),
-    (r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:internal|local|example|test)\b", "[host]"),
-    (r"\bjob-[0-9]+\b", "[job]"),
+    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]"),
+    (r"\bsk-[A-Za-z0-9_-]{8,}", "[redacted-api-key]"),
+    (r"(?i)\b(token|secret|password|cookie)=([^\s;]+)", "$1=[redacted]"),
+    (r"/(?:secure|mnt/course-data|course-data|private)(?:/[^\s'\"<>)]*)?", "[private-path]"),
+    (r"\b(?:api|backend)\.internal\b", "[internal-host]"),
+    (r"\b(?:provider-)?job-[0-9a-fA-F-]{8,}\b", "[provider-job]"),
 ]
 
 
 def redact(text: Column, most: int = 4000) -> Column:
-    """Secrets, paths, hosts and job ids replaced; blank lines dropped; cut at ``most`` characters."""
+    """Secrets, private paths, hosts and job ids replaced; lines stripped at their end, blank ones dropped; cut at ``most``."""
+    text = F.coalesce(F.regexp_replace(text, "\\x00", ""), F.lit(""))
     for pattern, instead in REDACTIONS:
         text = F.regexp_replace(text, pattern, instead)
-    lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
-    return truncate(F.array_join(lines, "\n"), most)
+    lines = F.transform(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), lambda line: F.regexp_replace(line, SPACE_CLASS + "$", ""))
+    text = F.regexp_replace(F.array_join(F.filter(lines, lambda line: line != ""), "\n"), "^" + SPACE_CLASS, "")
+    return F.when(F.char_length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most - 3), SPACE_CLASS + "$", ""), F.lit("..."))).otherwise(text)
+
+
+#: Lines by which a traceback's tail is known. Fixed value.
+TRACEBACK = r"(?m)^Traceback \(most recent call last\):|^\s+File \"[^\"]+\", line \d+|^[A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception): "
+
+
+def looks_like_traceback(text: Column) -> Column:
+    return F.coalesce(text.rlike(TRACEBACK), F.lit(False))
+
+
+@F.pandas_udf(T.StringType())
+def _canonical_hash(documents: pd.Series) -> pd.Series:
+    return documents.map(lambda d: None if d is None else hashlib.sha256(json.dumps(json.loads(d), sort_keys=True, separators=(",", ":")).encode()).hexdigest())
+
+
+def canonical_hash(document: Column) -> Column:
+    """SHA-256 of a JSON text with sorted keys and without blanks; the order of its keys does not count."""
+    return _canonical_hash(document)
+
+
+def first_text(*columns: Column) -> Column:
+    """The first that is not null or blank, trimmed."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
+
+
+def number_in(text: Column) -> Column:
+    """The first run of digits as a number; null without one."""
+    return F.nullif(F.regexp_extract(text, r"\d+", 0), F.lit("")).try_cast("long")
+
+
+def clock(seconds: Column) -> Column:
+    """Seconds as HH:MM:SS."""
+    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60), F.pmod(seconds, F.lit(60)))
+
+
+def safe_id(text: Column) -> Column:
+    """Whether a run id or relative path names nothing outside its folder."""
+    return F.coalesce(text.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/-]*$") & ~text.rlike(r"(^|/)\.\.?(/|$)"), F.lit(False))
+
+
+def finite(x: Column) -> Column:
+    """The number, or null where it is not finite."""
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import exactly_once
+from weftline.plans import corpus, exactly_once
 
-QUERIES = {**exactly_once.QUERIES}
-SQL = {**exactly_once.SQL}
+QUERIES = {**corpus.QUERIES, **exactly_once.QUERIES}
+SQL = {**corpus.SQL, **exactly_once.SQL}
