@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import corpus, exactly_once
+from weftline.plans import corpus, exactly_once, runs
 
-QUERIES = {**corpus.QUERIES, **exactly_once.QUERIES}
-SQL = {**corpus.SQL, **exactly_once.SQL}
+QUERIES = {**corpus.QUERIES, **runs.QUERIES, **exactly_once.QUERIES}
+SQL = {**corpus.SQL, **runs.SQL, **exactly_once.SQL}
