@@ -58,10 +58,10 @@ def _terms(n: int, weights: str):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in batches:
-            for id, train, text in zip(pdf["id"], pdf["train"], pdf["text"]):
-                terms, w = vector(text, n, weights, hashes)
-                if len(terms):
-                    yield pd.DataFrame({"id": id, "train": train, "term": terms.view(np.int64), "w": w})
+            found = [vector(text, n, weights, hashes) for text in pdf["text"]]
+            if found:
+                sizes = [len(terms) for terms, _ in found]
+                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(np.int64), sizes), "train": np.repeat(pdf["train"].to_numpy(bool), sizes), "term": np.concatenate([terms for terms, _ in found]).view(np.int64), "w": np.concatenate([w for _, w in found])})
 
     return make
 
