@@ -2,9 +2,10 @@
 
 A weighted cosine join between the two sides.  A record is a vector over its runs of ``n`` words, of length one.  Terms
 that only one side has add nothing to any product and are dropped by Bloom filters before a shuffle.  The terms left are
-ordered from rare to frequent; a vector enters the inverted lists only with the terms up to where the rest can no longer
-reach the bound, by the rest's norm or by the rest's weights times the largest weight of each term on the other side.
-Two vectors that reach the bound share an indexed term; such pairs get their exact product on the texts.
+ordered from rare to frequent; a vector enters the inverted lists only with the terms up to where the rest can reach no
+more than the bound less SLACK, by the rest's norm or by the rest's weights times the largest weight of each term on the
+other side; a vector that can't reach the bound with all its terms is left out.  The lists' products are summed for each
+pair; if the sum and the larger rest reach the bound, the pair gets its exact product on the texts.
 
 Equal vectors of one side are one class; copies are expanded only where a caller asks for pairs.
 """
@@ -24,6 +25,8 @@ from weftline.functions.text import WordHashes, mix, runs, words
 from weftline.scratch import cut
 
 EPSILON = 1e-9
+#: How far below the bound the part that is not indexed must lie: indexing more leaves fewer pairs to verify.
+SLACK = 0.12
 
 
 def bound(jaccard: float) -> float:
@@ -88,7 +91,7 @@ class Overlaps(NamedTuple):
     links: DataFrame
 
 
-def overlaps(records: DataFrame, least_cosine: float, n: int = 5, weights: str = "even", id: str = "record_id", text: str = "text") -> Overlaps:
+def overlaps(records: DataFrame, least_cosine: float, n: int = 5, weights: str = "even", id: str = "record_id", text: str = "text", slack: float = SLACK) -> Overlaps:
     """All pairs of a training class and a held-out class whose cosine reaches ``least_cosine``.
 
     Takes id (unique longs), text and split; split ``train`` is one side, every other non-null split the other, rows with a
@@ -109,11 +112,14 @@ def overlaps(records: DataFrame, least_cosine: float, n: int = 5, weights: str =
     known = both.groupBy("term").agg(F.count("*").alias("df"), F.max(F.when(F.col("train"), F.col("w"))).alias("most_train"), F.max(F.when(~F.col("train"), F.col("w"))).alias("most_held")).where("most_train is not null and most_held is not null")
     ordered = both.join(known, "term").withColumn("most", F.when(F.col("train"), F.col("most_held")).otherwise(F.col("most_train")))
     rest = Window.partitionBy("train", "id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    reach = ordered.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).withColumn("sum", F.sum(F.col("w") * F.col("most")).over(rest))
-    lists = reach.where((F.col("norm") >= least_cosine - EPSILON) & (F.col("sum") >= least_cosine - EPSILON)).select("train", "id", "term")
-    lists = cut(lists, "lists")
-    met = lists.where("train").select(F.col("id").alias("a"), "term").join(lists.where("not train").select(F.col("id").alias("b"), "term"), "term")
-    pairs = cut(met.select("a", "b").distinct(), "candidates")
+    reach = ordered.withColumn("reach", F.least(F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)), F.sum(F.col("w") * F.col("most")).over(rest)))
+    whole = Window.partitionBy("train", "id")
+    reach = reach.withColumn("total", F.max("reach").over(whole)).withColumn("left", F.coalesce(F.max(F.when(F.col("reach") < least_cosine - slack, F.col("reach"))).over(whole), F.lit(0.0)))
+    lists = cut(reach.where((F.col("total") >= least_cosine - EPSILON) & (F.col("reach") >= least_cosine - slack)).select("train", "id", "term", "w", "left"), "lists")
+    a = lists.where("train").select(F.col("id").alias("a"), "term", F.col("w").alias("wa"), F.col("left").alias("la"))
+    b = lists.where("not train").select(F.col("id").alias("b"), "term", F.col("w").alias("wb"), F.col("left").alias("lb"))
+    met = a.join(b, "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max(F.greatest("la", "lb")).alias("left"))
+    pairs = cut(met.where(F.col("part") + F.col("left") >= least_cosine - EPSILON).select("a", "b"), "candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     needed = bloom.members(ids, bloom.bits_for(pairs.count() * 2))
     texts = rows.where(needed(F.col("id")))
