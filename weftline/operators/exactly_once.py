@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.spread import spread
+
 #: Sequence numbers that share one range set; bounds the state of a task and spreads a hot producer.
 BLOCK = 1 << 16
 
@@ -126,10 +128,10 @@ def repeats(deliveries: DataFrame) -> DataFrame:
     Takes delivery_id, event_id, experiment_id, final_run_id, type, timestamp; further columns are ignored.  Two rows are
     the same message if run and event_id (outer blanks aside) agree, or, where event_id is null or blank in both, run,
     type (null as empty) and instant; timestamps that cannot be read are compared as text, null ones are equal.  A row
-    without a run has no identity and is never a repeat.  Rows sent twice with one delivery_id are not told apart.
+    without a run or delivery_id has no identity and is never a repeat.  Rows sent twice with one delivery_id are not told apart.
     An empty table gives an empty result.
     """
-    rows = keyed(deliveries).where("run is not null")
+    rows = keyed(spread(deliveries.where("delivery_id is not null"))).where("run is not null")
     local = rows.where("producer is not null").select("delivery_id", "producer", "number").sortWithinPartitions("delivery_id").mapInPandas(_local, _SEEN)
     first = local.where("not again").select("delivery_id", "producer", "block", "number")
     across = first.repartition("producer", "block").sortWithinPartitions("producer", "block", "delivery_id").mapInPandas(_across, "delivery_id long, again boolean")

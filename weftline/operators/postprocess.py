@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import clean_text, document_hash, is_hex_digest, split_of
+from weftline.operators.spread import spread
 
 
 def with_cleaned(raw: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def with_cleaned(raw: DataFrame) -> DataFrame:
     """
     trusted = F.coalesce(F.col("text_preprocessed"), F.lit(False)) & is_hex_digest(F.col("document_hash")) & F.col("text").isNotNull()
     cleaned = F.when(F.col("trusted"), F.col("text")).otherwise(F.col("_clean"))
-    known = raw.withColumn("trusted", trusted)
+    known = spread(raw).withColumn("trusted", trusted)
     # null text never enters the cleaner: believed rows cost nothing
     known = known.withColumn("_clean", clean_text(F.when(~F.col("trusted"), F.col("text")))).withColumn("cleaned", cleaned)
     return known.withColumn("digest", F.when(F.col("trusted"), F.col("document_hash")).otherwise(document_hash(F.col("cleaned")))).drop("_clean")
