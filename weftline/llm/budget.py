@@ -144,23 +144,25 @@ def counted(documents: DataFrame, tokenizer: Tokenizer, id: str = "doc_id", text
     A null text counts as an empty one.  A row repeated with its id is counted again if it is not cut, and its pieces are
     added up if it is; ids are expected to be unique.  An empty table gives an empty result.
     """
-    rows = documents.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    kept = [f"k{i}" for i in range(len(keep))]
+    head = F.struct(F.col(id).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    rows = documents.select(head.alias("head"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = F.char_length("text")
-    whole = rows.where(size <= most_chars).select("id", *kept, tokenizer.column(F.col("text")).alias("n"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    whole = rows.where(size <= most_chars).select("head", tokenizer.column(F.col("text")).alias("n"))
+    shape = rows.schema["head"].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.to_dict("records"):
-                ends = [*tokenizer.cuts(row["text"], most_chars), len(row["text"])]
-                parts = [row["text"][a:b] for a, b in zip([0, *ends], ends)]
-                yield pd.DataFrame({c: [row[c]] * len(parts) for c in ("id", *kept)} | {"part": range(len(parts)), "text": parts})
-
-    pieces = rows.where(size > most_chars).mapInPandas(cut, ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *kept)) + ", part int, text string")
-    spread = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "part"), F.lit(salts))).repartition("salt")
-    summed = spread.select("id", *kept, tokenizer.column(F.col("text")).alias("n")).groupBy("id", *kept).agg(F.sum("n").alias("n"))
-    return whole.unionByName(summed).select(F.col("id").alias(id), *[F.col(k).alias(c) for k, c in zip(kept, keep)], tokenizer.total(F.col("n")).alias("tokens"))
+            for head, text in zip(pdf["head"], pdf["text"]):
+                ends = [*tokenizer.cuts(text, most_chars), len(text)]
+                parts = [text[a:b] for a, b in zip([0, *ends], ends)]
+                yield pd.DataFrame({"head": [head] * len(parts), "part": range(len(parts)), "text": parts})
+
+    # the head travels as JSON: pandas would turn longs beside nulls into doubles
+    pieces = rows.where(size > most_chars).select(F.to_json("head").alias("head"), "text").mapInPandas(cut, "head string, part int, text string")
+    spread = pieces.withColumn("salt", F.pmod(F.xxhash64("head", "part"), F.lit(salts))).repartition("salt")
+    summed = spread.select("head", tokenizer.column(F.col("text")).alias("n")).groupBy("head").agg(F.sum("n").alias("n"))
+    both = whole.unionByName(summed.select(F.from_json("head", shape).alias("head"), "n"))
+    return both.select(F.col("head.id").alias(id), *[F.col(f"head.k{i}").alias(c) for i, c in enumerate(keep)], tokenizer.total(F.col("n")).alias("tokens"))
 
 
 def source_of(source: Column) -> Column:

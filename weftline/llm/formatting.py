@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import bloom
 from weftline.functions.text import alnum
+from weftline.operators.spread import spread
 from weftline.scratch import cut
 
 #: A line that is a name, ``:`` or ``=``, and a value.
@@ -87,10 +88,10 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def grouped(records: DataFrame, id: str = "record_id", text: str = "text") -> DataFrame:
     """(id, first, copies): each record with the smallest id of its group and the group's size.
 
-    Null texts and texts without a letter or digit are groups of their own.  Ids must be longs and unique; a row repeated
+    Null texts and texts without a letter or digit are groups of their own.  Ids must be longs and unique, rows without one are left out; a row repeated
     with its id counts as a copy.  Other columns are not read.  An empty table gives an empty result.
     """
-    hashed = cut(records.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(_digests, "id long, high long, low long"), "formatting")
+    hashed = cut(spread(records.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))).mapInPandas(_digests, "id long, high long, low long"), "formatting")
     maybe = bloom.repeated(hashed.select("high"), bloom.bits_for(hashed.count()))
     marked = hashed.withColumn("maybe", maybe(F.col("high")))
     repeats = marked.where("maybe").drop("maybe")

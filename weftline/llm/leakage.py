@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import bloom
 from weftline.functions.text import WordHashes, _WORD, clean, runs, words
+from weftline.operators.spread import spread
 
 #: Item runs that are sent to every task; more are joined by a shuffle.
 MOST_RUNS = 2_000_000
@@ -121,10 +122,11 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = 12, least_plain: int
 
     A run with other slots counts only if its slots map one to one and at least ``least_plain`` of its words are no
     placeholders.  Runs are counted by their place in the document, once for an item.  Null texts and texts of fewer than ``n`` words have no runs;
-    only doc_id, item_id and text are read; an item or document that comes twice counts with all its rows; ids must not be null.
+    only doc_id, item_id and text are read; an item or document that comes twice counts with all its rows; rows without an id are left out.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
+    docs = spread(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"))
+    items = items.where("item_id is not null")
     plain = vocabulary(items)
     item_runs = items.select(F.col("item_id").cast("long").alias("id"), "text").mapInPandas(_runs_of(plain, n), _RUNS)
     held = item_runs.limit(most_runs + 1).toPandas() if most_runs else pd.DataFrame()

@@ -31,9 +31,9 @@ def mixture(documents: DataFrame, plan: DataFrame, seed: int = 17, total: int |
 
     ``plan`` needs id, weight, max_repeats, split, enabled.  ``total`` is the size aimed at, by default all tokens of the
     planned sources.  Weights are taken as they are; a null weight is 0, a null max_repeats no limit, a null enabled true.
-    Sources are compared trimmed and lower-cased; documents of other sources are left out.  Null texts count one token.
+    Sources are compared trimmed and lower-cased; documents of other sources are left out.  Null texts count one token; rows without doc_id are left out.
     """
-    rows = counted(documents.select("doc_id", "text", source_of(F.col("source")).alias("source")), tokenizer or Estimate(), keep=("source",))
+    rows = counted(documents.where("doc_id is not null").select("doc_id", "text", source_of(F.col("source")).alias("source")), tokenizer or Estimate(), keep=("source",))
     sized = cut(rows.where("source is not null").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int")), "sized")
     wanted = plan.where("split = 'train' and coalesce(enabled, true)").select(source_of(F.col("id")).alias("source"), "id", F.coalesce(F.nanvl("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"), "max_repeats")
     counts = sized.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))

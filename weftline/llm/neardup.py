@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from weftline.functions import bloom
 from weftline.functions.text import WordHashes, mix, runs, words
 from weftline.operators.components import components
+from weftline.operators.spread import spread
 from weftline.scratch import cut
 
 COORDINATES = 32
@@ -223,13 +224,13 @@ class Classes(NamedTuple):
 def classes(documents: DataFrame, n: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> Classes:
     """Records with equal sets of n-word runs as classes, and all links between classes.
 
-    Ids must be unique longs.  Null texts and texts of fewer than ``n`` words have no similarity to anything and do not
+    Ids must be unique longs; rows without one are left out.  Null texts and texts of fewer than ``n`` words have no similarity to anything and do not
     appear.  Only id and text are read.  Similarities are exact; a link is missed only if no key or digest shows it, with the
     chance ``Plan.missed`` plus twice LOST, which is largest at the threshold itself.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = cut(rows.mapInPandas(_signatures(n), _SIGNATURE), "signatures")
+    rows = documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    signed = cut(spread(rows).mapInPandas(_signatures(n), _SIGNATURE), "signatures")
     firsts = cut(signed.groupBy("a", "b").agg(F.min(F.struct("id", "signature", "size", "d0", "d1")).alias("s")).select("a", "b", "s.*"), "classes")
     members = signed.select("id", "a", "b").join(firsts.select("a", "b", F.col("id").alias("class")), ["a", "b"]).select("id", "class")
     chosen = plan(firsts, similarity)

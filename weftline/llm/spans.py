@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import bloom
 from weftline.functions.text import mix
+from weftline.operators.spread import spread
 from weftline.scratch import cut
 
 LEAST = 500
@@ -145,7 +146,7 @@ def _equal(x: np.ndarray, y: np.ndarray) -> int:
 
 def copies(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, first, size): records whose text stood before under a smaller id, with that id and the text's length."""
-    hashed = cut(documents.where(F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.unhex(F.md5(F.col(text))).alias("h"), F.char_length(text).alias("size")), "texts")
+    hashed = cut(documents.where(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.unhex(F.md5(F.col(text))).alias("h"), F.char_length(text).alias("size")), "texts")
     again = hashed.groupBy("h", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return cut(hashed.join(again, ["h", "size"]).where("id <> first").select("id", "first", "size"), "copies")
 
@@ -155,15 +156,15 @@ def spans(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text: st
     more between records of different text; copies are those of ``copies``.
 
     Positions and lengths count code points of the text as stored.  Null and short texts have no spans; ids must be unique
-    longs; only id and text are read.
+    longs, rows without one are left out; only id and text are read.
     """
-    rows = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     again = copies(documents, id, text)
     maybe = bloom.members(again.select("id"), bloom.bits_for(again.count()))
     marked = rows.where(F.char_length("text") >= least).withColumn("maybe", maybe(F.col("id")))
     distinct = marked.where("not maybe").drop("maybe").unionByName(marked.where("maybe").drop("maybe").join(again.select("id"), "id", "left_anti"))
     make, period, _ = _anchors(least)
-    anchors = distinct.mapInPandas(make, "h long, id long, at int, left int, near int")
+    anchors = spread(distinct).mapInPandas(make, "h long, id long, at int, left int, near int")
     x, y = anchors.alias("x"), anchors.alias("y")
     same_phase = F.pmod(F.col("x.at") - F.col("y.at"), F.lit(period)) == 0
     first_near = (F.col("x.near") == 0) | (F.col("y.near") == 0) | (F.col("x.near") != F.col("y.near"))
@@ -216,7 +217,7 @@ def coverage(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text:
     found = cut(found, "spans")
     ends = found.select(F.col("a").alias("id"), F.col("a_start").alias("start"), "length").unionByName(found.select(F.col("b").alias("id"), F.col("b_start").alias("start"), "length"))
     merged = ends.select("id", "start", (F.col("start") + F.col("length")).alias("end")).repartition("id").sortWithinPartitions("id", "start").mapInPandas(_covered, "id long, spans long, shared long")
-    rows = documents.select(F.col(id).cast("long").alias("id"), F.char_length(text).alias("chars")).join(again.select("id", "first"), "id", "left")
+    rows = documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.char_length(text).alias("chars")).join(again.select("id", "first"), "id", "left")
     copied = again.select(F.col("first").alias("id")).distinct().withColumn("copied", F.lit(True))
     rows = rows.join(copied, "id", "left").withColumn("class", F.coalesce("first", "id")).join(merged.withColumnRenamed("id", "class"), "class", "left")
     whole = (F.col("first").isNotNull() | F.coalesce("copied", F.lit(False))) & (F.col("chars") >= least)
