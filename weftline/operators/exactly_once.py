@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.spread import spread
+from weftline.scratch import cut
 
 #: Sequence numbers that share one range set; bounds the state of a task and spreads a hot producer.
 BLOCK = 1 << 16
@@ -131,7 +132,7 @@ def repeats(deliveries: DataFrame) -> DataFrame:
     without a run or delivery_id has no identity and is never a repeat.  Rows sent twice with one delivery_id are not told apart.
     An empty table gives an empty result.
     """
-    rows = keyed(spread(deliveries.where("delivery_id is not null"))).where("run is not null")
+    rows = cut(keyed(spread(deliveries.where("delivery_id is not null"))).where("run is not null"), "messages")
     local = rows.where("producer is not null").select("delivery_id", "producer", "number").sortWithinPartitions("delivery_id").mapInPandas(_local, _SEEN)
     first = local.where("not again").select("delivery_id", "producer", "block", "number")
     across = first.repartition("producer", "block").sortWithinPartitions("producer", "block", "delivery_id").mapInPandas(_across, "delivery_id long, again boolean")
