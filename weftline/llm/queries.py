@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import budget, formatting, leakage, mixture, neardup, overlap, prose, spans
+from weftline.llm import budget, formatting, leakage, mixture, neardup, overlap, prose, spans, sqltext
 
 #: Where the public tokenizers' files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -118,6 +118,11 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups,
 _TOKENS = "greatest(1, length(text) // 4)"
 
 SQL = {
+    "p2_found": sqltext.P2,
+    "p4_found": sqltext.P4,
+    "p4_by_split": sqltext.P4_COUNTS,
+    "p7_found": sqltext.P7,
+    "p9_found": sqltext.P9,
     "p6_found": f"""
 with t as (select download_id, sum({_TOKENS}) as tokens from documents group by 1),
 l as (select download_id, arg_max(estimated_tokens, updated_at) as recorded from resume_snapshots group by 1)
