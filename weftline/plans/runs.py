@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import finite
-from weftline.operators import ledger
+from weftline.operators import checks, ledger
 from weftline.plans.corpus import table
 
 ACTIVE = ("submitted", "queued", "running")
@@ -165,11 +165,39 @@ def flops(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "experiments").where("resolved_config is not null").select("experiment_id", (cost.cast("decimal(33,0)") * F.lit(6144).cast("decimal(4,0)")).cast("string").alias("flops"))
 
 
+def payload_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that payloads of a type hold beyond the known ones, and known ones they lack."""
+    keys = F.map_keys("payload")
+    rows = table(spark, d, "experiment_events").select("type", F.array_join(checks.unknown_keys(keys, ["step", "message", "validation_loss"]), ",").alias("unknown"), F.array_join(checks.missing_keys(keys, ["step"]), ",").alias("missing"))
+    return rows.groupBy("type", "unknown", "missing").agg(F.count("*").alias("events"))
+
+
+def run_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that experiment records break."""
+    rules = {
+        "loss_without_completion": F.col("final_validation_loss").isNotNull() & (F.col("status") != "completed"),
+        "last_loss_differs": F.abs(F.try_element_at("validation_losses", F.lit(-1)) - F.col("final_validation_loss")) > 1e-12,
+        "over_reserved": F.col("used_runtime_seconds") > F.col("reserved_runtime_seconds"),
+        "no_config": F.col("resolved_config").isNull(),
+        "artifacts_without_job": F.col("provider_artifacts").isNotNull() & F.col("provider_job_id").isNull(),
+    }
+    rows = table(spark, d, "experiments").select(F.explode(checks.violations(rules)).alias("rule"))
+    return rows.groupBy("rule").agg(F.count("*").alias("runs"))
+
+
+def status_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How each experiment ended by its record against its last terminal event."""
+    record = table(spark, d, "experiments").where("status in ('completed', 'failed')").select("experiment_id", "student_id", "status")
+    ended = table(spark, d, "experiment_events").where(F.col("type").isin(*TERMINAL) & (F.trim(F.coalesce("experiment_id", F.lit(""))) != ""))
+    last = ended.groupBy("experiment_id").agg(F.max_by(F.struct("type", "student_id"), "delivery_id").alias("e")).select("experiment_id", "e.student_id", F.when(F.col("e.type") == "worker_completed", "completed").otherwise("failed").alias("status"))
+    return checks.agreement(record, last, ["experiment_id"], ["student_id", "status"]).select("experiment_id", "side", F.array_join("differing", ",").alias("differing"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         event_dedup, import_report, late_events, event_log_summary, run_losses, run_state, loss_summary, best_run, queue_positions, fair_share, active_counts, budget_check, runtime_charge,
-        admin_experiments, missing_runs, launched_runs, duplicate_configs, latest_snapshots, complete_or_partial, prediction_scores, experiment_export, flops,
+        admin_experiments, missing_runs, launched_runs, duplicate_configs, latest_snapshots, complete_or_partial, prediction_scores, experiment_export, flops, payload_keys, run_violations, status_agreement,
     )
 }
 
@@ -235,4 +263,20 @@ select experiment_id, student_id, status, coalesce(cast(used_runtime_seconds as
  coalesce(cast(resolved_config.total_optimizer_steps as varchar), '') as steps, coalesce(provider_artifacts.logs_uri, '') as logs_uri, coalesce(provider_artifacts.metadata['stderr_uri'], '') as stderr_uri,
  cast(final_validation_loss is not null as varchar) as has_loss from experiments""",
     "flops": "select experiment_id, cast(6::hugeint * resolved_config.parameter_count_estimate * resolved_config.total_optimizer_steps * 1024 as varchar) as flops from experiments where resolved_config is not null",
+    "payload_keys": """
+with k as (select type, list_sort(list_filter(map_keys(payload), lambda x: x not in ('step', 'message', 'validation_loss'))) as u, case when list_contains(map_keys(payload), 'step') then '' else 'step' end as missing from experiment_events)
+select type, array_to_string(u, ',') as unknown, missing, count(*) as events from k group by 1, 2, 3""",
+    "run_violations": """
+with v as (select unnest([
+ case when final_validation_loss is not null and status <> 'completed' then 'loss_without_completion' end, case when abs(validation_losses[-1] - final_validation_loss) > 1e-12 then 'last_loss_differs' end,
+ case when used_runtime_seconds > reserved_runtime_seconds then 'over_reserved' end, case when resolved_config is null then 'no_config' end,
+ case when provider_artifacts is not null and provider_job_id is null then 'artifacts_without_job' end]) as rule from experiments)
+select rule, count(*) as runs from v where rule is not null group by 1""",
+    "status_agreement": """
+with r as (select experiment_id, student_id, status from experiments where status in ('completed', 'failed')),
+t as (select experiment_id, student_id, type, row_number() over (partition by experiment_id order by delivery_id desc) as nth from experiment_events where type in ('worker_completed', 'worker_failed') and trim(coalesce(experiment_id, '')) <> ''),
+l as (select experiment_id, student_id, case type when 'worker_completed' then 'completed' else 'failed' end as status from t where nth = 1)
+select coalesce(r.experiment_id, l.experiment_id) as experiment_id, case when r.experiment_id is null then 'right' when l.experiment_id is null then 'left' else 'both' end as side,
+ case when r.experiment_id is null or l.experiment_id is null then '' else concat_ws(',', case when r.student_id is distinct from l.student_id then 'student_id' end, case when r.status is distinct from l.status then 'status' end) end as differing
+from r full join l on r.experiment_id = l.experiment_id""",
 }
