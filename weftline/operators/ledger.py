@@ -16,12 +16,16 @@ def event_identity(df: DataFrame) -> Column:
 def idempotent(events: DataFrame, order: str) -> DataFrame:
     """Events with ``repeat``: whether an earlier event has the same identity. Events without identity never repeat.
 
-    First arrivals come from an aggregate that combines before the shuffle; only identities that do repeat are joined back.
+    First arrivals come from an aggregate that combines before the shuffle; only identities that do repeat are joined back,
+    and events without identity, which would all meet in one task, stay out of the join.
     """
     rows = events.withColumn("_identity", event_identity(events))
-    first = rows.where("_identity is not null").groupBy("_identity").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    nameless = rows.where("_identity is null").drop("_identity").withColumn("repeat", F.lit(False))
+    rows = rows.where("_identity is not null")
+    first = rows.groupBy("_identity").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     joined = rows.join(first, "_identity", "left")
-    return joined.withColumn("repeat", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_identity", "_first")
+    judged = joined.withColumn("repeat", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_identity", "_first")
+    return judged.unionByName(nameless)
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import glob
 import hashlib
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -30,11 +31,11 @@ class IndexError_(ValueError):
 def _writer(folder: str):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by shard and place: one open file, its hash kept as it grows."""
-        at, out, digest, counts = None, None, None, {}
+        at, out, digest, counts, own = None, None, None, {}, uuid.uuid4().hex
 
         def close() -> pd.DataFrame:
             out.close()
-            os.replace(f"{folder}/.{name(at)}.part-{os.getpid()}", f"{folder}/{name(at)}")
+            os.replace(f"{folder}/.{name(at)}.{own}", f"{folder}/{name(at)}")
             total = sum(counts.values())
             return pd.DataFrame({"shard": [at], "path": [name(at)], "tokens": [total], "sha256": [digest.hexdigest()], "source_token_counts": [dict(sorted(counts.items()))]})
 
@@ -47,7 +48,7 @@ def _writer(folder: str):
                     if out:
                         yield close()
                     at, digest, counts = shard, hashlib.sha256(), {}
-                    out = open(f"{folder}/.{name(at)}.part-{os.getpid()}", "wb")
+                    out = open(f"{folder}/.{name(at)}.{own}", "wb")
                 out.write(piece)
                 digest.update(piece)
                 counts[source] = counts.get(source, 0) + len(piece) // 4
