@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.exactly_once import exactly_once, repeats
+from weftline.scratch import folder
+from weftline.streaming import events
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,7 +22,17 @@ def kept_by_type(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("type").agg(F.count("*").alias("messages"), F.min("delivery_id").alias("first_delivery"), F.max("delivery_id").alias("last_delivery"))
 
 
-QUERIES = {"p3_found": found, "p3_kept_by_type": kept_by_type}
+def streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with the deliveries taken as a stream: what is there now, state per producer, results of this run read back."""
+    path = f"{d}/experiment_events.parquet"
+    spark.conf.set(*events.STATE_STORE)
+    incoming = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    at = f"{folder(spark)}/weftline/stream-{uuid.uuid4().hex}"
+    events.available_now(events.exactly_once(incoming), f"{at}/rows", f"{at}/checkpoint").start().awaitTermination()
+    return spark.read.schema("delivery_id long, again boolean").parquet(f"{at}/rows").where("again").select("delivery_id")
+
+
+QUERIES = {"p3_found": found, "p3_kept_by_type": kept_by_type, "p3_streamed": streamed}
 
 _FIRST = """
 with k as (
@@ -36,5 +50,6 @@ with k as (
 
 SQL = {
     "p3_found": _FIRST + "select delivery_id from r where nth > 1 and trim(coalesce(run, '')) <> ''",
+    "p3_streamed": _FIRST + "select delivery_id from r where nth > 1 and trim(coalesce(run, '')) <> ''",
     "p3_kept_by_type": _FIRST + "select type, count(*) as messages, min(delivery_id) as first_delivery, max(delivery_id) as last_delivery from r where nth = 1 or trim(coalesce(run, '')) = '' group by type",
 }
