@@ -26,6 +26,12 @@ def test_white_space_example():
     assert T.clean(" alpha\n\n beta\t gamma ") == "alpha beta gamma"
 
 
+@given(st.one_of(st.text(), st.text(st.characters(max_codepoint=127)), st.text("aZ9_ &;#x41é漢々½\0\t ")))
+@settings(max_examples=500)
+def test_words_are_those_of_the_cleaned_text(s):
+    assert T.words(s) == re.findall(f"[{T.HAN}]|[^\\W_{T.HAN}]+", reference_clean(s).lower())
+
+
 def test_words():
     assert T.words("A&amp;B Ｃ-3 它们x 1") == ["a", "b", "c", "3", "它", "们", "x", "1"]
     assert T.words("") == [] and T.alnum("Ab-1_ é") == "ab1é"

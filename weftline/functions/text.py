@@ -35,9 +35,20 @@ def clean(text: str) -> str:
     return _SPACE.sub(" ", text.replace("\0", " ")).strip()
 
 
+#: Lower-cases letters and digits of ASCII and turns all else into blanks.
+_ASCII = str.maketrans({c: chr(c).lower() if chr(c).isalnum() else " " for c in range(128)})
+
+
 def words(text: str) -> list[str]:
-    """Words of the cleaned, lower-cased text: runs of letters and digits; each Han character alone."""
-    return _WORD.findall(clean(text).lower())
+    """Words of the cleaned, lower-cased text: runs of letters and digits; each Han character alone.
+
+    White space need not be collapsed for that: any of it ends a word.
+    """
+    if "&" in text:
+        text = html.unescape(text)
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    return _WORD.findall(unicodedata.normalize("NFKC", text).lower())
 
 
 def alnum(text: str) -> str:
