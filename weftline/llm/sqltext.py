@@ -23,7 +23,7 @@ def words(text: str) -> str:
 
 def shingles(table: str, id: str, n: int, where: str = "true") -> str:
     """CTE body: distinct (id, s) of a table's runs of n words."""
-    run = "hash(" + ", ".join(f"w[i + {k}]" for k in range(1, n + 1)) + ")"
+    run = "concat_ws(' ', " + ", ".join(f"w[i + {k}]" for k in range(1, n + 1)) + ")"
     return f"select distinct id, {run} as s from (select id, w, unnest(range(len(w) - {n - 1})) as i from (select {id} as id, {words('text')} as w from {table} where text is not null and {where}))"
 
 
@@ -51,6 +51,6 @@ with d as ({shingles('documents', 'doc_id', 12)}), i as ({shingles('benchmark',
 select distinct d.id as doc_id, i.id as item_id from d join i on d.s = i.s"""
 
 P9 = """
-with w as (select distinct doc_id, hash(substr(text, i, 500)) as h from (select doc_id, text, unnest(range(1, length(text) - 498)) as i from documents where length(text) >= 500)),
+with w as (select distinct doc_id, md5(substr(text, i, 500)) as h from (select doc_id, text, unnest(range(1, length(text) - 498)) as i from documents where length(text) >= 500)),
 m as (select w.doc_id, w.h from w join (select h from w group by 1 having count(*) > 1) using (h))
 select distinct x.doc_id as doc_id_a, y.doc_id as doc_id_b from m x join m y on x.h = y.h and x.doc_id < y.doc_id"""
