@@ -18,6 +18,11 @@ def word_length_tokens(text: Column, eos: int = 0) -> Column:
     return F.concat(F.transform(words, lambda w: F.char_length(w).cast("long")), F.array(F.lit(eos).cast("long")))
 
 
+def word_lengths() -> Callable[[list[str]], list[list[int]]]:
+    """The test tokenizer as a loader for ``encode``."""
+    return lambda texts: [[len(w) for w in t.split()] for t in texts]
+
+
 def encode(documents: DataFrame, load: Callable[[], Callable[[list[str]], list[list[int]]]], eos: int, text: str = "text") -> DataFrame:
     """``documents`` with tokens (array of longs, the end token last) in place of text; null and empty texts are skipped.
 
