@@ -28,18 +28,24 @@ def bits_for(rows: int) -> int:
     return min(MOST_BITS, max(1 << 16, 1 << (16 * max(1, rows) - 1).bit_length()))
 
 
-def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+def _places(h: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each hash function the byte and the bit of every value."""
     h = h.astype(np.int64).view(np.uint64)
     step = (h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-    return [((h + np.uint64(k) * step) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) & np.uint64(bits - 1) for k in range(HASHES)]
+    places = [((h + np.uint64(k) * step) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) & np.uint64(bits - 1) for k in range(HASHES)]
+    return [((p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)) for p in places]
+
+
+def _has(table: np.ndarray, places: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return np.logical_and.reduce([(table[at] & bit) != 0 for at, bit in places])
 
 
 def _builder(bits: int, again_too: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    part = min(bits, PART_BITS)
+    part = min(bits, PART_BITS) // 8
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once = np.zeros(bits, bool)
-        again = np.zeros(bits if again_too else 0, bool)
+        once = np.zeros(bits // 8, np.uint8)
+        again = np.zeros(bits // 8 if again_too else 0, np.uint8)
         some = False
         for pdf in batches:
             h = pdf.iloc[:, 0].to_numpy(np.int64)
@@ -49,15 +55,15 @@ def _builder(bits: int, again_too: bool) -> Callable[[Iterator[pd.DataFrame]], I
             own, n = np.unique(h, return_counts=True)
             places = _places(own, bits)
             if again_too:
-                twice = (n > 1) | np.logical_and.reduce([once[p] for p in places])
-                for p in places:
-                    again[p[twice]] = True
-            for p in places:
-                once[p] = True
+                twice = (n > 1) | _has(once, places)
+                for at, bit in places:
+                    np.bitwise_or.at(again, at[twice], bit[twice])
+            for at, bit in places:
+                np.bitwise_or.at(once, at, bit)
         if some:
-            for k in range(0, bits, part):
+            for k in range(0, bits // 8, part):
                 if once[k : k + part].any():
-                    pack = [zlib.compress(np.packbits(x[k : k + part]).tobytes(), 1) for x in ((once, again) if again_too else (once,))]
+                    pack = [zlib.compress(x[k : k + part].tobytes(), 1) for x in ((once, again) if again_too else (once,))]
                     yield pd.DataFrame({"part": [k // part], "once": [pack[0]], "again": [pack[-1]]})
 
     return build
@@ -89,15 +95,15 @@ def _filter(hashes: DataFrame, bits: int, again_too: bool) -> Callable[[Column],
     parts = hashes.where(F.col(name).isNotNull()).mapInPandas(_builder(bits, again_too), "part int, once binary, again binary")
     merged = parts.repartition(max(1, bits // PART_BITS), "part").sortWithinPartitions("part").mapInPandas(_merger(bits, again_too), "part int, bits binary").collect()
     held = hashes.sparkSession.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in merged})
-    size = min(bits, PART_BITS)
+    size = min(bits, PART_BITS) // 8
 
     @F.pandas_udf("boolean")
     def probe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = np.zeros(bits, bool)
+        table = np.zeros(bits // 8, np.uint8)
         for k, packed in held.value.items():
-            table[k * size : (k + 1) * size] = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).view(bool)
+            table[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
         for s in batches:
-            yield pd.Series(np.logical_and.reduce([table[p] for p in _places(s.to_numpy(np.int64), bits)]))
+            yield pd.Series(_has(table, _places(s.to_numpy(np.int64), bits)))
 
     return lambda column: column.isNotNull() & probe(F.coalesce(column, F.lit(0).cast("long")))  # nulls would turn longs into doubles
 
