@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` for a step that costs much more than moving its rows: repartitioned if it has fewer partitions than there are
-    cores, which only small inputs have; a large scan stays as it is."""
+    """``df`` for a step that costs much more than moving its rows: repartitioned if it has fewer partitions than there
+    are cores, which only small inputs have; a large scan stays as it is.
+
+    For scans and what is narrow above them: to count the partitions behind a shuffle would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
