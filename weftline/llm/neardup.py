@@ -229,8 +229,8 @@ def classes(documents: DataFrame, n: int = 5, similarity: float = 0.8, id: str =
     chance ``Plan.missed`` plus twice LOST, which is largest at the threshold itself.
     """
     spark = documents.sparkSession
-    rows = documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = cut(spread(rows).mapInPandas(_signatures(n), _SIGNATURE), "signatures")
+    rows = spread(documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")))
+    signed = cut(rows.mapInPandas(_signatures(n), _SIGNATURE), "signatures")
     firsts = cut(signed.groupBy("a", "b").agg(F.min(F.struct("id", "signature", "size", "d0", "d1")).alias("s")).select("a", "b", "s.*"), "classes")
     members = signed.select("id", "a", "b").join(firsts.select("a", "b", F.col("id").alias("class")), ["a", "b"]).select("id", "class")
     chosen = plan(firsts, similarity)

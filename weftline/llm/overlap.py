@@ -98,12 +98,12 @@ def overlaps(records: DataFrame, least_cosine: float, n: int = 5, weights: str =
     Takes id (unique longs), text and split; split ``train`` is one side, every other non-null split the other, rows with a
     null split or id are left out.  Null texts and texts of fewer than ``n`` words overlap nothing and do not appear.
     """
-    rows = records.where(F.col("split").isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), (F.col("split") == "train").alias("train"), F.col(text).alias("text"))
-    signed = cut(spread(rows).mapInPandas(_classes(n, weights), "id long, train boolean, a long, b long, size int"), "vectors")
+    rows = spread(records.where(F.col("split").isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), (F.col("split") == "train").alias("train"), F.col(text).alias("text")))
+    signed = cut(rows.mapInPandas(_classes(n, weights), "id long, train boolean, a long, b long, size int"), "vectors")
     firsts = signed.groupBy("train", "a", "b").agg(F.min("id").alias("class"))
     members = cut(signed.join(firsts, ["train", "a", "b"]).select("id", "train", "class"), "members")
     distinct = bloom.without(rows, members.where("id <> class").select("id"))
-    terms = spread(distinct).mapInPandas(_terms(n, weights), "id long, train boolean, term long, w double")
+    terms = distinct.mapInPandas(_terms(n, weights), "id long, train boolean, term long, w double")
     many = bloom.bits_for(signed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     on_held = bloom.members(terms.where("not train").select("term"), many)
     train = cut(terms.where("train").where(on_held(F.col("term"))), "train-terms")

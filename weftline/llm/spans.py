@@ -158,13 +158,13 @@ def spans(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text: st
     Positions and lengths count code points of the text as stored.  Null and short texts have no spans; ids must be unique
     longs, rows without one are left out; only id and text are read.
     """
-    rows = documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = spread(documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")))
     again = copies(documents, id, text)
     maybe = bloom.members(again.select("id"), bloom.bits_for(again.count()))
     marked = rows.where(F.char_length("text") >= least).withColumn("maybe", maybe(F.col("id")))
     distinct = marked.where("not maybe").drop("maybe").unionByName(marked.where("maybe").drop("maybe").join(again.select("id"), "id", "left_anti"))
     make, period, _ = _anchors(least)
-    anchors = spread(distinct).mapInPandas(make, "h long, id long, at int, left int, near int")
+    anchors = distinct.mapInPandas(make, "h long, id long, at int, left int, near int")
     x, y = anchors.alias("x"), anchors.alias("y")
     same_phase = F.pmod(F.col("x.at") - F.col("y.at"), F.lit(period)) == 0
     first_near = (F.col("x.near") == 0) | (F.col("y.near") == 0) | (F.col("x.near") != F.col("y.near"))
