@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from weftline.functions.text import collapse_space, redact, token_estimate
 from weftline.operators import blend, ingest, postprocess, sequences, shuffle, tokens
 from weftline.operators.prefix import ordinals, prefix_sum
+from weftline.operators.spread import spread
 from weftline.plans.sqltext import SPACE, cleaned, collapsed, quoted
+from weftline.scratch import cut
 
 MIN_CHARS, MAX_CHARS, RATE = 200, 2000, 0.1
 ORDER = ["file_idx", "line_no"]
@@ -101,7 +103,8 @@ def shuffle_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(source().alias("source"), "doc_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
+    rows = spread(table(spark, d, "documents").select(source().alias("source"), "doc_id", "text"))
+    return rows.select("source", "doc_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
 
 
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +112,7 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _addressed(spark: SparkSession, d: str) -> DataFrame:
-    sized = _encoded(spark, d).select("source", "doc_id", F.size("tokens").cast("long").alias("n"))
+    sized = cut(_encoded(spark, d).select("source", "doc_id", F.size("tokens").cast("long").alias("n")), "sized")  # range partitioning reads it twice
     return sized.select("source", "doc_id").join(prefix_sum(sized, ["doc_id"], "n"), "doc_id")
 
 
@@ -195,7 +198,7 @@ def failure_redaction(spark: SparkSession, d: str) -> DataFrame:
 def white_space(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose white space cleaning changes, by source."""
     changed = collapse_space(F.col("text")) != F.col("text")
-    return table(spark, d, "documents").groupBy(source().alias("source")).agg(F.count_if(changed).alias("changed"), F.sum(F.char_length(collapse_space(F.col("text"))).cast("long")).alias("chars"))
+    return spread(table(spark, d, "documents").select("source", "text")).groupBy(source().alias("source")).agg(F.count_if(changed).alias("changed"), F.sum(F.char_length(collapse_space(F.col("text"))).cast("long")).alias("chars"))
 
 
 QUERIES = {
