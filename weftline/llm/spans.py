@@ -27,6 +27,8 @@ from weftline.operators.spread import spread
 from weftline.scratch import cut
 
 LEAST = 500
+#: A hashed window that comes more often is no longer paired where only coverage is asked.
+HOT = 64
 #: Characters of a text that are hashed at once.
 BLOCK = 1 << 20
 _BASE = 0xD1342543DE82EF95
@@ -151,6 +153,13 @@ def copies(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     return cut(hashed.join(again, ["h", "size"]).where("id <> first").select("id", "first", "size"), "copies")
 
 
+def _distinct(documents: DataFrame, least: int, id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All records, the copies among them, and the long enough records without those copies."""
+    rows = spread(documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")))
+    again = copies(documents, id, text)
+    return rows, again, bloom.without(rows.where(F.char_length("text") >= least), again.select("id"))
+
+
 def spans(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(spans, copies): spans are maximal equal runs (a, b, a_start, b_start, length), a < b, of ``least`` characters or
     more between records of different text; copies are those of ``copies``.
@@ -158,25 +167,34 @@ def spans(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text: st
     Positions and lengths count code points of the text as stored.  Null and short texts have no spans; ids must be unique
     longs, rows without one are left out; only id and text are read.
     """
-    rows = spread(documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")))
-    again = copies(documents, id, text)
-    maybe = bloom.members(again.select("id"), bloom.bits_for(again.count()))
-    marked = rows.where(F.char_length("text") >= least).withColumn("maybe", maybe(F.col("id")))
-    distinct = marked.where("not maybe").drop("maybe").unionByName(marked.where("maybe").drop("maybe").join(again.select("id"), "id", "left_anti"))
-    make, period, _ = _anchors(least)
-    anchors = distinct.mapInPandas(make, "h long, id long, at int, left int, near int")
+    rows, again, distinct = _distinct(documents, least, id, text)
+    anchors = distinct.mapInPandas(_anchors(least)[0], _ANCHOR)
+    return _extended(rows, _seeds(anchors.withColumn("hot", F.lit(False)), least), least), again
+
+
+_ANCHOR = "h long, id long, at int, left int, near int"
+
+
+def _seeds(anchors: DataFrame, least: int) -> DataFrame:
+    """(a, b, p, r): the leftmost common window of each pair of equal runs; where both records have hot windows, which are
+    missing here, all common windows."""
+    period = _anchors(least)[1]
     x, y = anchors.alias("x"), anchors.alias("y")
     same_phase = F.pmod(F.col("x.at") - F.col("y.at"), F.lit(period)) == 0
     first_near = (F.col("x.near") == 0) | (F.col("y.near") == 0) | (F.col("x.near") != F.col("y.near"))
     first_left = (F.col("x.left") == 0) | (F.col("y.left") == 0) | (F.col("x.left") != F.col("y.left"))
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & F.when(same_phase, first_near).otherwise(first_left))
-    seeds = cut(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.at").alias("p"), F.col("y.at").alias("r")), "seeds")
+    leftmost = F.when(same_phase, first_near).otherwise(first_left) | (F.col("x.hot") & F.col("y.hot"))
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & leftmost)
+    return cut(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.at").alias("p"), F.col("y.at").alias("r")), "seeds")
+
+
+def _extended(rows: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
     both = seeds.select(F.col("a").alias("id")).unionByName(seeds.select(F.col("b").alias("id")))
     needed = bloom.members(both, bloom.bits_for(seeds.count() * 2))
     texts = rows.where(needed(F.col("id")))
     per_pair = seeds.groupBy("a", "b").agg(F.collect_list(F.struct("p", "r")).alias("seeds"))
     joined = per_pair.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.mapInPandas(_extend(least), "a long, b long, a_start int, b_start int, length int"), again
+    return joined.mapInPandas(_extend(least), "a long, b long, a_start int, b_start int, length int")
 
 
 def pairs(found: DataFrame, again: DataFrame, least: int = LEAST) -> DataFrame:
@@ -190,36 +208,70 @@ def pairs(found: DataFrame, again: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union of intervals of rows sorted by id, start."""
-    at, high, total, n = None, 0, 0, 0
+    """Characters in the union of intervals, of rows sorted by id and start."""
+    at, high, total = None, 0, 0
     for pdf in batches:
         out = []
         for id, start, end in zip(pdf["id"], pdf["start"], pdf["end"]):
             if id != at:
                 if at is not None:
-                    out.append((at, n, total))
-                at, high, total, n = id, 0, 0, 0
-            n += 1
+                    out.append((at, total))
+                at, high, total = id, 0, 0
             total += max(0, end - max(start, high))
             high = max(high, end)
-        yield pd.DataFrame(out, columns=["id", "spans", "shared"])
+        yield pd.DataFrame(out, columns=["id", "shared"])
     if at is not None:
-        yield pd.DataFrame([(at, n, total)], columns=["id", "spans", "shared"])
+        yield pd.DataFrame([(at, total)], columns=["id", "shared"])
+
+
+def _windows(least: int):
+    """Hashes of all windows of ``least`` characters that hold one of a record's hot windows: (h, id, start)."""
+    period = _anchors(least)[1]
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = _Powers(BLOCK + least)
+        for pdf in batches:
+            for id, text, hot in zip(pdf["id"], pdf["text"], pdf["hot"]):
+                wanted = np.zeros(max(0, len(text) - least + 1) + 1, np.int64)
+                for at in hot:  # windows that begin at most period - 1 before it
+                    wanted[min(max(0, at - period + 1), len(wanted) - 1)] += 1
+                    wanted[min(at + 1, len(wanted) - 1)] -= 1
+                starts = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
+                for block in range(0, len(text), BLOCK):
+                    own = starts[(starts >= block) & (starts < block + BLOCK)] - block
+                    if len(own):
+                        c = mix(codes(text[block : block + BLOCK + least - 1]).astype(np.uint64) + np.uint64(1))
+                        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * powers.up[: len(c)])])
+                        h = mix((total[own + least] - total[own]) * powers.down[own])
+                        yield pd.DataFrame({"h": h.view(np.int64), "id": np.full(len(own), id, np.int64), "start": own + block})
+
+    return make
+
 
+def coverage(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """(id, chars, shared, share): for each record how many of its characters stand in a span shared elsewhere.
 
-def coverage(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, chars, spans, shared, share): for each record how many of its characters stand in a span shared elsewhere.
+    A copy of another record's text is shared whole, if it is long enough.  Null texts have null chars and share 0.
 
-    A copy of another record's text is shared whole, if it is long enough; ``spans`` counts spans of the record's text with
-    other texts.  Null texts have null chars and share 0.
+    No pairs are made of passages that many records share: hashed windows that come more than ``hot`` times are taken out of
+    the join, and around them every window of ``least`` characters is hashed and counted instead, which grows with the
+    characters there and not with their pairs.  The result is the same for every ``hot``.
     """
-    found, again = spans(documents, least, id, text)
-    found = cut(found, "spans")
+    rows, again, distinct = _distinct(documents, least, id, text)
+    anchors = distinct.mapInPandas(_anchors(least)[0], _ANCHOR)
+    often = cut(anchors.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"), "hot-windows")
+    hot_at = anchors.select("h", "id", "at").join(often, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("hot"))
+    hot_at = cut(hot_at, "hot-records")  # as many positions as the record has
+    cold = anchors.join(often, "h", "left_anti").join(hot_at.select("id", F.lit(True).alias("hot")), "id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    found = cut(_extended(rows, _seeds(cold, least), least), "spans")
     ends = found.select(F.col("a").alias("id"), F.col("a_start").alias("start"), "length").unionByName(found.select(F.col("b").alias("id"), F.col("b_start").alias("start"), "length"))
-    merged = ends.select("id", "start", (F.col("start") + F.col("length")).alias("end")).repartition("id").sortWithinPartitions("id", "start").mapInPandas(_covered, "id long, spans long, shared long")
-    rows = documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.char_length(text).alias("chars")).join(again.select("id", "first"), "id", "left")
+    windows = distinct.join(hot_at, "id").mapInPandas(_windows(least), "h long, id long, start int")
+    common = windows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
+    ends = ends.unionByName(windows.join(common, "h", "left_semi").select("id", "start", F.lit(least).alias("length")))
+    merged = ends.select("id", "start", (F.col("start") + F.col("length")).alias("end")).repartition("id").sortWithinPartitions("id", "start").mapInPandas(_covered, "id long, shared long")
+    sizes = documents.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.char_length(text).alias("chars")).join(again.select("id", "first"), "id", "left")
     copied = again.select(F.col("first").alias("id")).distinct().withColumn("copied", F.lit(True))
-    rows = rows.join(copied, "id", "left").withColumn("class", F.coalesce("first", "id")).join(merged.withColumnRenamed("id", "class"), "class", "left")
+    sizes = sizes.join(copied, "id", "left").withColumn("class", F.coalesce("first", "id")).join(merged.withColumnRenamed("id", "class"), "class", "left")
     whole = (F.col("first").isNotNull() | F.coalesce("copied", F.lit(False))) & (F.col("chars") >= least)
     shared = F.when(whole, F.col("chars").cast("long")).otherwise(F.coalesce("shared", F.lit(0).cast("long")))
-    return rows.select("id", "chars", F.coalesce("spans", F.lit(0).cast("long")).alias("spans"), shared.alias("shared"), F.coalesce(shared / F.nullif(F.col("chars"), F.lit(0)), F.lit(0.0)).alias("share"))
+    return sizes.select("id", "chars", shared.alias("shared"), F.coalesce(shared / F.nullif(F.col("chars"), F.lit(0)), F.lit(0.0)).alias("share"))
