@@ -440,7 +440,9 @@ def test_spans_equal_brute_force(spark):
     pairs = {(x.a, x.b) for x in spans.pairs(found, again, least).collect()}
     whole = {(a, b) for b in range(len(texts)) for a in range(b) if texts[a] and texts[b] and runs_of(texts[a], texts[b], least)}
     assert pairs == whole
-    share = {x.id: x for x in spans.coverage(frame(spark, texts), least).collect()}
+    shares = [{x.id: x for x in spans.coverage(frame(spark, texts), least, hot=h).collect()} for h in (spans.HOT, 1, 2, 4)]
+    share = shares[0]
+    assert all(s == share for s in shares)
     for k in kept:
         marked = set()
         for (a, b), runs in want.items():
