@@ -106,6 +106,18 @@ def test_shards(spark, tmp_path):
         shards.load_index("s3://x/index.json")
 
 
+def test_shuffled_corpus_keeps_chunks_and_mixes_sources(spark, tmp_path):
+    rows = [(s, k, [n * 100 + i for i in range(1, 5)]) for k, (n, s) in enumerate([(1, "code"), (2, "math"), (3, "general_web")])]
+    shards.write_shards(spark.createDataFrame(rows, "source_id string, k long, tokens array<long>"), ["k"], str(tmp_path / "a"), 4)
+    index = shards.shuffle_corpus(spark, f"{tmp_path}/a/index.json", str(tmp_path / "b"), 2, 17, 5)
+    assert index["source_token_counts"] == {"code": 4, "general_web": 4, "math": 4} and [s["tokens"] for s in index["shards"]] == [5, 5, 2]
+    assert shards.load_index(f"{tmp_path}/b/index.json", full=True) == index
+    got = [r.token for r in shards.read_range(spark, f"{tmp_path}/b/index.json").orderBy("position").collect()]
+    chunks = [tuple(got[k : k + 2]) for k in range(0, 12, 2)]
+    assert sorted(chunks) == [(101, 102), (103, 104), (201, 202), (203, 204), (301, 302), (303, 304)]
+    assert {c[0] // 100 for c in chunks[:3]} == {1, 2, 3}
+
+
 def test_package(spark, tmp_path):
     write(spark, tmp_path / "a")
     got = shards.package(str(tmp_path / "a"), str(tmp_path / "p"), how="hardlink")

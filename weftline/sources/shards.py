@@ -7,7 +7,7 @@ import hashlib
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import shuffle
 from weftline.operators.prefix import prefix_sum
 from weftline.operators.tokens import locate, shard_pieces
 from weftline.sources.tables import load_json, write_json
@@ -28,7 +29,7 @@ class IndexError_(ValueError):
     """An index or shard that cannot be trusted."""
 
 
-def _writer(folder: str):
+def _writer(folder: str, piece: Callable[[dict], bytes]):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by shard and place: one open file, its hash kept as it grows."""
         at, out, digest, counts, own = None, None, None, {}, uuid.uuid4().hex
@@ -43,15 +44,16 @@ def _writer(folder: str):
             return f"tokens-{k:06d}.bin"
 
         for pdf in batches:
-            for shard, source, piece in zip(pdf["shard"], pdf["source_id"], pdf["piece"]):
+            for row in pdf.to_dict("records"):
+                shard, source, data = row["shard"], row["source_id"], piece(row)
                 if shard != at:
                     if out:
                         yield close()
                     at, digest, counts = shard, hashlib.sha256(), {}
                     out = open(f"{folder}/.{name(at)}.{own}", "wb")
-                out.write(piece)
-                digest.update(piece)
-                counts[source] = counts.get(source, 0) + len(piece) // 4
+                out.write(data)
+                digest.update(data)
+                counts[source] = counts.get(source, 0) + len(data) // 4
         if out:
             yield close()
 
@@ -69,7 +71,12 @@ def write_shards(documents: DataFrame, order: list[str], folder: str, size: int
     sized = documents.select(*order, F.size("tokens").cast("long").alias("n"))
     rows = documents.select("source_id", *order, pack("tokens").alias("bytes")).join(prefix_sum(sized, order, "n"), order)
     pieces = shard_pieces(rows, size).select("shard", "place", F.coalesce(F.nullif(F.trim("source_id"), F.lit("")), F.lit("unknown")).alias("source_id"), F.substring("bytes", (F.col("from") * 4 + 1).cast("int"), (F.col("taken") * 4).cast("int")).alias("piece"))
-    written = pieces.repartition("shard").sortWithinPartitions("shard", "place").mapInPandas(_writer(folder), "shard long, path string, tokens long, sha256 string, source_token_counts map<string,long>")
+    return _publish(pieces, folder, lambda row: row["piece"])
+
+
+def _publish(pieces: DataFrame, folder: str, piece: Callable[[dict], bytes]) -> dict:
+    """Write pieces (shard, place, source_id, ...) as shards, then the index."""
+    written = pieces.repartition("shard").sortWithinPartitions("shard", "place").mapInPandas(_writer(folder, piece), "shard long, path string, tokens long, sha256 string, source_token_counts map<string,long>")
     shards = [r.asDict() for r in written.collect()]  # one row for 400 MB of tokens
     shards.sort(key=lambda r: r.pop("shard"))
     counts: dict[str, int] = {}
@@ -163,6 +170,31 @@ def read_positions(spark: SparkSession, uri: str, positions: DataFrame) -> DataF
     return located.repartition("path").sortWithinPartitions("path", "place").mapInPandas(read, "position long, token long")
 
 
+def shuffle_corpus(spark: SparkSession, uri: str, folder: str, chunk: int = 262_144, seed: int = 20260724, size: int | None = None) -> dict:
+    """Rewrite a tokenized corpus with its chunks in the balanced order; tokens are copied, never decoded.
+
+    Only metadata is planned and shuffled: a task that writes a shard reads the pieces it needs from the old files.  The
+    runs of a shard whose counts do not add up are one run of ``unknown``.  ``size`` is the largest old shard by default.
+    """
+    index, source = load_index(uri), os.path.dirname(local_path(uri))
+    os.makedirs(folder, exist_ok=True)
+    runs = []
+    for k, s in enumerate(index["shards"]):
+        counts = {n: t for n, t in s["source_token_counts"].items() if t}
+        whole = counts if sum(counts.values()) == s["tokens"] else {"unknown": s["tokens"]}
+        runs += [(k, f"{source}/{s['path']}", n, t) for n, t in sorted(whole.items())]
+    rows = spark.createDataFrame(runs, "shard long, path string, source string, tokens long")
+    planned = shuffle.schedule(shuffle.chunks(rows, chunk, ["shard", "path"], ["source"]).drop("shard"), seed, ["path"])
+    placed = planned.drop("tokens").join(prefix_sum(planned, ["step"], "tokens"), "step")
+    size = size or max(s["tokens"] for s in index["shards"])
+    pieces = shard_pieces(placed, size, "start", "tokens").select("shard", "place", F.col("source").alias("source_id"), "path", (F.col("offset") + F.col("from")).alias("at"), "taken")
+
+    def read(row: dict) -> bytes:
+        return np.fromfile(row["path"], "<u4", row["taken"], offset=4 * row["at"]).tobytes()
+
+    return _publish(pieces, folder, read)
+
+
 def listing(folder: str) -> list[str]:
     """Shard files of a folder, sorted."""
     return sorted(glob.glob(f"{folder}/tokens-*.bin"))
