@@ -113,6 +113,14 @@ def test_upsert_and_fallback(spark, rows):
     assert rows(ledger.missing(b, a, ["k"])) == [("m", 1, "w")]
 
 
+def test_balances(spark, rows):
+    data = [("s", "grant", 100), ("s", "reserve", 40), ("s", "release", 40), ("s", "charge", 25), ("s", "refund", 5), ("s", "adjust", -10), ("t", "grant", 7)]
+    df = spark.createDataFrame(data, "owner string, kind string, seconds long")
+    assert rows(ledger.balances(df, "owner")) == [("s", 90, 0, 20, 70), ("t", 7, 0, 0, 7)]
+    with pytest.raises(Exception, match="unknown kind gift"):
+        ledger.balances(df.selectExpr("owner", "'gift' as kind", "seconds"), "owner").collect()
+
+
 def test_clipped_charge(spark):
     from pyspark.sql import functions as F
 

@@ -83,6 +83,18 @@ def remaining(total: Column, reserved: Column, charged: Column) -> Column:
     return total - reserved - charged
 
 
+def balances(entries: DataFrame, owner: str, kind: str = "kind", amount: str = "seconds") -> DataFrame:
+    """(owner, total, reserved, charged, remaining) of a ledger of grant, reserve, release, charge, refund and adjust entries.
+
+    Amounts are not negative but for adjustments; a release takes back a reservation, a refund a charge.  Unknown kinds fail.
+    """
+    of = lambda *signs: sum((F.when(F.col(kind) == k, s * F.col(amount)).otherwise(0) for k, s in signs), F.lit(0))
+    known = F.col(kind).isin("grant", "adjust", "reserve", "release", "charge", "refund")
+    rows = entries.where(F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce(kind, F.lit("null")))).cast("boolean")))
+    sums = rows.groupBy(owner).agg(F.sum(of(("grant", 1), ("adjust", 1))).alias("total"), F.sum(of(("reserve", 1), ("release", -1))).alias("reserved"), F.sum(of(("charge", 1), ("refund", -1))).alias("charged"))
+    return sums.withColumn("remaining", remaining(F.col("total"), F.col("reserved"), F.col("charged")))
+
+
 def clipped(actual: Column, reserved: Column, least: int = 1) -> Column:
     """A charge between ``least`` and what is reserved; null counts as all of it."""
     return F.greatest(F.lit(least).cast("long"), F.least(F.coalesce(actual, reserved), reserved))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import tokens
 from weftline.operators.prefix import ordinals
-from weftline.plans import corpus, pipeline
+from weftline.plans import corpus, pipeline, runs
 from weftline.plans.corpus import SHARD, table
 from weftline.plans.sqltext import collapsed
 from weftline.scratch import folder
@@ -51,6 +51,25 @@ def shard_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return shards.read_range(spark, f"file://{at}/index.json", 100, 4100, block=1500)
 
 
+def corpus_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """The same shards rewritten in the balanced order of their chunks: how often each token stands there."""
+    a, b = _place(spark, "shards"), _place(spark, "shuffled")
+    rows = table(spark, d, "processed_records").where("split = 'validation'").select(corpus.source("source_id").alias("source_id"), "record_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
+    shards.write_shards(rows, ["record_id"], a, SHARD)
+    shards.shuffle_corpus(spark, f"file://{a}/index.json", b, corpus.CHUNK, corpus.SEED)
+    shards.load_index(f"{b}/index.json", full=True)
+    return shards.read_range(spark, f"file://{b}/index.json").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def ledger_export(spark: SparkSession, d: str) -> DataFrame:
+    """Experiments exported as CSV and sorted JSON lines, the CSV read again: fields as text, nothing null."""
+    at = _place(spark, "export")
+    flat = runs.experiment_export(spark, d)
+    tables.export({"experiments": flat}, f"file://{at}", {"experiments": ["experiment_id", "status", "used_runtime_seconds", "has_loss"]})
+    back = spark.read.option("nullValue", "\\N").option("emptyValue", "").csv(f"file://{at}/experiments.csv", header=True)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
+
+
 def snapshot_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Ledger tables saved as one snapshot and restored: rows of each."""
     at = _place(spark, "snapshot")
@@ -67,13 +86,15 @@ def corpus_build(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "split string, source string, tokens long")
 
 
-QUERIES = {f.__name__: f for f in (jsonl_round_trip, shard_round_trip, snapshot_round_trip, corpus_build)}
+QUERIES = {f.__name__: f for f in (jsonl_round_trip, shard_round_trip, corpus_shuffle, ledger_export, snapshot_round_trip, corpus_build)}
 
 _COUNTED = f"len(list_filter(string_split({collapsed('cleaned')}, ' '), lambda w: w <> '')) + 1"
 
 SQL = {
     "jsonl_round_trip": "select record_id, text, row_number() over (order by file_idx, line_no) - 1 as ordinal from raw_records",
     "shard_round_trip": corpus._STREAM + " select position, token from l where position >= 100 and position < 4100",
+    "corpus_shuffle": corpus._STREAM + " select token, count(*) as n from l group by 1",
+    "ledger_export": "select experiment_id, status, coalesce(cast(used_runtime_seconds as varchar), '') as used_runtime_seconds, cast(final_validation_loss is not null as varchar) as has_loss from experiments",
     "snapshot_round_trip": "select 'budget_snapshots' as name, count(*) as rows from budget_snapshots union all select 'experiments', count(*) from experiments union all select 'resume_snapshots', count(*) from resume_snapshots",
     "corpus_build": corpus._JUDGED + f" select outcome as split, {corpus._REC} as source, cast(sum({_COUNTED}) as bigint) as tokens from j where outcome in ('train', 'validation') group by 1, 2",
 }

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources import jsonl
+
 
 def unique_csv(spark: SparkSession, path: str, required: list[str], key: str) -> DataFrame:
     """A CSV with a header; missing columns, blank keys and keys that come twice fail."""
@@ -32,6 +34,14 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*text).write.option("emptyValue", "").csv(path, header=True)
 
 
+def export(frames: dict[str, DataFrame], folder: str, csv: dict[str, list[str]]) -> None:
+    """Every table as JSON lines with keys in order, and those named in ``csv`` also as CSV of the columns given."""
+    for name, df in frames.items():
+        jsonl.write_sorted(df, f"{folder}/{name}.jsonl")
+        if name in csv:
+            write_csv(df, f"{folder}/{name}.csv", csv[name])
+
+
 def load_json(where: str) -> dict:
     """A JSON object given inline, as a file URI or as a path."""
     text = where
