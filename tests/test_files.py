@@ -34,6 +34,17 @@ def test_scan_of_all_codecs_in_path_order(spark, tmp_path):
     assert got == [(0, 0, "eins", "a.jsonl"), (0, 1, None, "a.jsonl"), (0, 2, None, "s"), (1, 0, "zwei", "b"), (2, 0, "drei é", "c.jsonl")]
 
 
+def test_scan_of_a_uri_equals_that_of_the_folder(spark, tmp_path, rows):
+    put(tmp_path / "b.jsonl", [{"text": "zwei"}, {"text": "é 漢"}])
+    put(tmp_path / "a.jsonl.gz", [{"text": "eins"}, {"text": 3}], gzip.open)
+    (tmp_path / "c.jsonl").write_text("")
+    (tmp_path / "d.jsonl").write_bytes(b'{"text": "x"}\r\n{"text": "y"}')
+    (tmp_path / "note.txt").write_text("no")
+    by_folder, by_uri = (rows(jsonl.records(spark, at).select("file_idx", "line_no", F.to_json("value"))) for at in (str(tmp_path), f"file://{tmp_path}"))
+    assert [r[1:] for r in by_folder] == [r[1:] for r in by_uri] and len(by_uri) == 6
+    assert [r[0] for r in by_uri] == [0, 0, 1, 1, 2, 2]  # empty files take no number there
+
+
 def test_malformed_and_blank_lines_fail_with_their_place(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text": "x"}\n\n')
     with pytest.raises(Exception, match="line 2 of file 0"):

@@ -7,7 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIXES = (".jsonl", ".jsonl.gz", ".jsonl.zst")
@@ -55,9 +55,20 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(_lines, "file_idx int, line_no long, line string")
 
 
+def lines_of_uri(spark: SparkSession, uri: str) -> DataFrame:
+    """``lines`` through Spark's file systems, for folders that are not mounted: plain and gzip files, each read whole, so
+    shards must fit a task's memory.  Files keep their order; empty ones take no number."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl{,.gz}").text(uri, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    paths = files.select("path").distinct()
+    numbered = paths.withColumn("file_idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1).cast("int"))
+    parts = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
+    text = files.where("value <> ''").select("path", F.posexplode(parts).alias("line_no", "line"))
+    return text.join(numbered, "path").select("file_idx", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_idx, line_no, value): each line as a variant. A blank or malformed line fails with its place."""
-    rows = lines(spark, folder)
+    """(file_idx, line_no, value): each line of a folder, or of a URI, as a variant. A blank or malformed line fails with its place."""
+    rows = lines_of_uri(spark, folder) if "://" in folder else lines(spark, folder)
     value = F.try_parse_json("line")
     place = F.concat(F.lit("line "), (F.col("line_no") + 1).cast("string"), F.lit(" of file "), F.col("file_idx").cast("string"), F.lit(" is no JSON object"))
     good = value.isNotNull() & F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
