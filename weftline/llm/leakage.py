@@ -26,6 +26,8 @@ from weftline.operators.spread import spread
 MOST_RUNS = 2_000_000
 #: Words of the items' vocabulary that are kept, the most frequent first; all others are names on both sides.
 MOST_WORDS = 500_000
+#: Rows that a task hands on at once, about.
+ROWS = 100_000
 #: Units of measure and currency. Fixed values.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -94,22 +96,26 @@ def vocabulary(items: DataFrame) -> frozenset[str]:
     return frozenset(r["word"] for r in counted.where("lower > 0").orderBy(F.desc("seen"), "word").limit(MOST_WORDS).collect())
 
 
-def _runs_of(plain: frozenset[str], n: int, only: object = None):
+def _runs_of(plain: frozenset[str], n: int):
     """(id, at, template, exact, slots) of each run of n words; slots are the words at placeholders."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = Templates(plain)
+        columns = ["id", "at", "template", "exact", "slots", "plain"]
         for pdf in batches:
             out: list[tuple] = []
             for id, text in zip(pdf["id"], pdf["text"]):
                 if text is None:
                     continue
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
                 found = words(text)
                 raw, template = templates(found)
                 t, e = runs(template, n).view(np.int64), runs(raw, n).view(np.int64)
                 slot = [bool(templates.kind(w)) for w in found]
                 out += [(id, k, int(t[k]), int(e[k]), "\t".join(w for w, s in zip(found[k : k + n], slot[k : k + n]) if s), n - sum(slot[k : k + n])) for k in range(len(t))]
-            yield pd.DataFrame(out, columns=["id", "at", "template", "exact", "slots", "plain"])
+            yield pd.DataFrame(out, columns=columns)
 
     return make
 

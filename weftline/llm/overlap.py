@@ -28,6 +28,8 @@ from weftline.scratch import cut
 EPSILON = 1e-9
 #: How far below the bound the part that is not indexed must lie: indexing more leaves fewer pairs to verify.
 SLACK = 0.12
+#: Rows that a task hands on at once, about.
+ROWS = 200_000
 
 
 def bound(jaccard: float) -> float:
@@ -58,14 +60,26 @@ def _classes(n: int, weights: str):
     return make
 
 
+def _flat(held: list[tuple]) -> pd.DataFrame:
+    ids, trains, terms, w = zip(*held)
+    sizes = [len(t) for t in terms]
+    return pd.DataFrame({"id": np.repeat(np.array(ids, np.int64), sizes), "train": np.repeat(np.array(trains, bool), sizes), "term": np.concatenate(terms).view(np.int64), "w": np.concatenate(w)})
+
+
 def _terms(n: int, weights: str):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in batches:
-            found = [vector(text, n, weights, hashes) for text in pdf["text"]]
-            if found:
-                sizes = [len(terms) for terms, _ in found]
-                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(np.int64), sizes), "train": np.repeat(pdf["train"].to_numpy(bool), sizes), "term": np.concatenate([terms for terms, _ in found]).view(np.int64), "w": np.concatenate([w for _, w in found])})
+            held: list[tuple] = []
+            rows = 0
+            for id, train, text in zip(pdf["id"], pdf["train"], pdf["text"]):
+                held.append((id, train, *vector(text, n, weights, hashes)))
+                rows += len(held[-1][2])
+                if rows >= ROWS:
+                    yield _flat(held)
+                    held, rows = [], 0
+            if held:
+                yield _flat(held)
 
     return make
 

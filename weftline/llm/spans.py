@@ -31,6 +31,8 @@ LEAST = 500
 HOT = 64
 #: Characters of a text that are hashed at once.
 BLOCK = 1 << 20
+#: Rows that a task hands on at once, about.
+ROWS = 200_000
 _BASE = 0xD1342543DE82EF95
 
 
@@ -73,6 +75,10 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def _anchor_rows(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("h", "id", "at", "left", "near"), map(np.concatenate, zip(*parts)))))
+
+
 def _anchors(least: int):
     q = choose(least)
     period, window = q * q + q + 1, least - (q * q + q)
@@ -86,6 +92,7 @@ def _anchors(least: int):
         powers = _Powers(BLOCK + period + window + 1)
         for pdf in batches:
             out: list[tuple[np.ndarray, ...]] = []
+            held = 0
             for id, text in zip(pdf["id"], pdf["text"]):
                 if text is None or len(text) < least:
                     continue
@@ -106,9 +113,13 @@ def _anchors(least: int):
                         h = (run(a, np.where(have, n, 0)) >> np.uint64(33)).astype(np.int64) + 1
                         return np.where(have, h, 0).astype(np.int32)
 
+                    held += len(at)
                     out.append((run(own, window).view(np.int64), np.full(len(at), id, np.int64), at.astype(np.int32), before(period), before(gaps[at % period])))
+                    if held >= ROWS:
+                        yield _anchor_rows(out)
+                        out, held = [], 0
             if out:
-                yield pd.DataFrame(dict(zip(("h", "id", "at", "left", "near"), map(np.concatenate, zip(*out)))))
+                yield _anchor_rows(out)
 
     return make, period, window
 
