@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -48,12 +50,19 @@ class _Once(StatefulProcessor):
         pass
 
 
+def _by_value() -> None:
+    """Processors are also unpickled by a helper process of the driver that knows no shipped packages."""
+    for module in (sys.modules[__name__], sys.modules[Ranges.__module__]):
+        cloudpickle.register_pickle_by_value(module)
+
+
 def exactly_once(events: DataFrame) -> DataFrame:
     """(delivery_id, again): whether an earlier delivery, in this batch or any before, brought the message.
 
     State is a few ranges for each block of a producer's numbers, in RocksDB; order of arrival decides, and within a batch
     delivery_id.  Rows without a run are never repeats.
     """
+    _by_value()
     rows = keyed(events)
     known = rows.where("run is not null").select("delivery_id", F.coalesce("producer", "key").alias("who"), F.coalesce(F.floor(F.col("number") / BLOCK), F.lit(-1).cast("long")).alias("block"), "number")
     return known.groupBy("who", "block").transformWithStateInPandas(_Once(), "delivery_id long, again boolean", "append", "none")
@@ -90,6 +99,7 @@ def step(state: tuple, kind: str | None, loss: float | None) -> tuple:
 
 def run_states(events: DataFrame) -> DataFrame:
     """The state of each run that had events in the batch."""
+    _by_value()
     run = F.when(F.trim("final_run_id") != "", F.col("final_run_id")).otherwise(F.col("experiment_id"))
     rows = events.select(run.alias("run_id"), "delivery_id", "type", "loss").where("run_id is not null")
     return rows.groupBy("run_id").transformWithStateInPandas(_Run(), "run_id string, accepted long, losses long, last_loss double, last_type string, ended boolean, late long", "update", "none")
