@@ -7,32 +7,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positions(addressed: DataFrame, tokens: str = "tokens", start: str = "start") -> DataFrame:
-    """(position, token): each token of documents with their start addresses."""
-    return addressed.select(F.col(start).alias("_s"), F.posexplode(tokens).alias("_k", "token")).select((F.col("_s") + F.col("_k")).alias("position"), "token")
+def positions(addressed: DataFrame, tokens: str = "tokens", start: str = "start", by: list[str] | None = None) -> DataFrame:
+    """(*by, position, token): each token of documents with their start addresses."""
+    by = by or []
+    return addressed.select(*by, F.col(start).alias("_s"), F.posexplode(tokens).alias("_k", "token")).select(*by, (F.col("_s") + F.col("_k")).alias("position"), "token")
 
 
-def with_labels(stream: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """(position, token, label): the label is the next token, null after the last one.
+def with_labels(stream: DataFrame, block: int = 1 << 20, by: list[str] | None = None) -> DataFrame:
+    """(*by, position, token, label): the label is the next token within ``by``, null after the last one.
 
     Windows run inside blocks of positions; the first token of each block is also sent to the block before, so no window
     spans the stream and no self-join is needed.
     """
-    own = stream.select("position", "token", F.floor(F.col("position") / block).alias("_b"), F.lit(True).alias("_own"))
-    ahead = stream.where(F.pmod("position", F.lit(block)) == 0).select("position", "token", (F.floor(F.col("position") / block) - 1).alias("_b"), F.lit(False).alias("_own"))
+    by = by or []
+    own = stream.select(*by, "position", "token", F.floor(F.col("position") / block).alias("_b"), F.lit(True).alias("_own"))
+    ahead = stream.where(F.pmod("position", F.lit(block)) == 0).select(*by, "position", "token", (F.floor(F.col("position") / block) - 1).alias("_b"), F.lit(False).alias("_own"))
     both = own.unionByName(ahead)
-    label = F.lead("token").over(Window.partitionBy("_b").orderBy("position"))
-    return both.withColumn("label", label).where("_own").select("position", "token", "label")
+    label = F.lead("token").over(Window.partitionBy(*by, "_b").orderBy("position"))
+    return both.withColumn("label", label).where("_own").select(*by, "position", "token", "label")
 
 
-def packed(labelled: DataFrame, length: int, first: int = 0, last: int | None = None) -> DataFrame:
-    """(sequence, input_ids, labels): whole sequences of ``length`` tokens of [first, last); the rest is left out."""
+def packed(labelled: DataFrame, length: int, first: int = 0, last: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(*by, sequence, input_ids, labels): whole sequences of ``length`` tokens of [first, last) within ``by``; the rest is left out."""
+    by = by or []
     rows = labelled.where(F.col("position") >= first)
     if last is not None:
         rows = rows.where(F.col("position") < last)
     rows = rows.where("label is not null").withColumn("sequence", F.floor((F.col("position") - first) / length))
-    held = rows.groupBy("sequence").agg(F.sort_array(F.collect_list(F.struct("position", "token", "label"))).alias("_t"))
-    return held.where(F.size("_t") == length).select("sequence", F.transform("_t", lambda t: t["token"]).alias("input_ids"), F.transform("_t", lambda t: t["label"]).alias("labels"))
+    held = rows.groupBy(*by, "sequence").agg(F.sort_array(F.collect_list(F.struct("position", "token", "label"))).alias("_t"))
+    return held.where(F.size("_t") == length).select(*by, "sequence", F.transform("_t", lambda t: t["token"]).alias("input_ids"), F.transform("_t", lambda t: t["label"]).alias("labels"))
 
 
 def permutation(sequences: int, seed: int, chunk: int) -> list[int]:
@@ -40,6 +43,6 @@ def permutation(sequences: int, seed: int, chunk: int) -> list[int]:
     return np.random.default_rng(seed + chunk).permutation(np.arange(sequences, dtype=np.int64)).tolist()
 
 
-def largest_token(labelled: DataFrame) -> DataFrame:
-    """One row: the largest id among tokens and labels."""
-    return labelled.agg(F.max(F.greatest("token", F.coalesce("label", "token"))).alias("largest"))
+def largest_token(labelled: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The largest id among tokens and labels: one row, or one for each ``by``."""
+    return labelled.groupBy(*(by or [])).agg(F.max(F.greatest("token", F.coalesce("label", "token"))).alias("largest"))

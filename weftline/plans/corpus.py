@@ -128,23 +128,50 @@ def train_token_cap(spark: SparkSession, d: str) -> DataFrame:
     return tokens.capped(rows, limits, ["record_id"])
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "processed_records").where("split = 'validation'").select("record_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
-    starts = prefix_sum(rows.select("record_id", F.size("tokens").cast("long").alias("n")), ["record_id"], "n")
-    return sequences.with_labels(sequences.positions(rows.join(starts, "record_id")))
+def split_of(column: str = "split") -> Column:
+    """The split of a record; one without a split is train."""
+    return F.coalesce(column, F.lit("train"))
+
+
+def _stream(spark: SparkSession, d: str, *only: str) -> DataFrame:
+    """(split, position, token, label) of all processed records, or of some splits; each split is a stream of its own."""
+    records = table(spark, d, "processed_records").withColumn("split", split_of())
+    if only:
+        records = records.where(F.col("split").isin(*only))
+    rows = records.select("split", "record_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
+    starts = prefix_sum(rows.select("split", "record_id", F.size("tokens").cast("long").alias("n")), ["record_id"], "n", by=["split"])
+    return sequences.with_labels(sequences.positions(rows.join(starts, ["split", "record_id"]), by=["split"]), by=["split"])
 
 
 def next_token(spark: SparkSession, d: str) -> DataFrame:
+    """Of the validation records only, as its SQL; ``next_token_splits`` has all."""
+    return _stream(spark, d, "validation").drop("split")
+
+
+def next_token_splits(spark: SparkSession, d: str) -> DataFrame:
     return _stream(spark, d)
 
 
+def _joined(packed: DataFrame, *by: str) -> DataFrame:
+    return packed.select(*by, "sequence", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"))
+
+
 def sequence_packing(spark: SparkSession, d: str) -> DataFrame:
-    packed = sequences.packed(_stream(spark, d), LENGTH)
-    return packed.select("sequence", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"))
+    """Of the validation records only, as its SQL; ``sequence_packing_splits`` has all."""
+    return _joined(sequences.packed(_stream(spark, d, "validation"), LENGTH))
+
+
+def sequence_packing_splits(spark: SparkSession, d: str) -> DataFrame:
+    return _joined(sequences.packed(_stream(spark, d), LENGTH, by=["split"]), "split")
 
 
 def vocab_check(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.largest_token(_stream(spark, d))
+    """Of the validation records only, as its SQL; ``vocab_check_splits`` has all."""
+    return sequences.largest_token(_stream(spark, d, "validation"))
+
+
+def vocab_check_splits(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.largest_token(_stream(spark, d), ["split"])
 
 
 def _shards(spark: SparkSession, d: str) -> DataFrame:
@@ -206,6 +233,7 @@ QUERIES = {
     for f in (
         clean_dedup_split, postprocess_stats, stats_by_source, blend_allocation, download_tasks, download_shards, download_budget_prefix, token_estimates, download_stats,
         processed_shuffle, shuffle_buckets, token_counts, token_shards, train_token_cap, next_token, sequence_packing, vocab_check, source_count_maps, token_chunk_plan,
+        next_token_splits, sequence_packing_splits, vocab_check_splits,
         balanced_chunk_schedule, shard_audit, shard_lookup, secret_scan, failure_redaction, white_space,
     )
 }
@@ -238,6 +266,12 @@ s as (select record_id, t, coalesce(sum(len(t)) over (order by record_id rows be
 p as (select cast(start + i as bigint) as position, t[i + 1] as token from (select start, t, unnest(range(len(t))) as i from s)),
 l as (select position, token, lead(token) over (order by position) as label from p)"""
 
+_STREAMS = f"""
+with r as (select coalesce(split, 'train') as split, record_id, {_TOKENS} as t from processed_records),
+s as (select split, record_id, t, coalesce(sum(len(t)) over (partition by split order by record_id rows between unbounded preceding and 1 preceding), 0) as start from r),
+p as (select split, cast(start + i as bigint) as position, t[i + 1] as token from (select split, start, t, unnest(range(len(t))) as i from s)),
+l as (select split, position, token, lead(token) over (partition by split order by position) as label from p)"""
+
 _SHARDS = """
 with o as (select shard_id, any_value(source_token_counts) as m from token_shards group by 1),
 e as (select shard_id, coalesce(nullif(trim(k), ''), 'unknown') as source, m[k] as v from (select shard_id, m, unnest(map_keys(m)) as k from o)),
@@ -303,6 +337,11 @@ select source_id, record_id, n from f where taken union all select source_id, re
     + f""", q as (select position // {LENGTH} as sequence, string_agg(cast(token as varchar), ',' order by position) as input_ids, string_agg(cast(label as varchar), ',' order by position) as labels, count(label) as n from l where label is not null group by 1)
 select sequence, input_ids, labels from q where n = {LENGTH}""",
     "vocab_check": _STREAM + " select max(token) as largest from l",
+    "next_token_splits": _STREAMS + " select split, position, token, label from l",
+    "sequence_packing_splits": _STREAMS
+    + f""", q as (select split, position // {LENGTH} as sequence, string_agg(cast(token as varchar), ',' order by position) as input_ids, string_agg(cast(label as varchar), ',' order by position) as labels, count(label) as n from l where label is not null group by 1, 2)
+select split, sequence, input_ids, labels from q where n = {LENGTH}""",
+    "vocab_check_splits": _STREAMS + " select split, max(token) as largest from l group by 1",
     "source_count_maps": _SHARDS + " select shard_id, source, tokens from c",
     "token_chunk_plan": _SHARDS
     + f""", s as (select *, coalesce(sum(tokens) over (partition by shard_id order by source rows between unbounded preceding and 1 preceding), 0) as start from c),
