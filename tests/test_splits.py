@@ -32,3 +32,35 @@ def test_labels_stay_within_their_split(spark, records):
     ends = {r["split"]: (r["position"], r["token"]) for r in got.where("label is null").collect()}
     assert ends == {"train": (4003, 0), "validation": (399, 0), "test": (2, 0)}
     assert got.count() == 4004 + 400 + 3
+
+
+def test_round_trip_reads_every_token_of_every_split(spark, records, rows):
+    got = entry.queries()["shard_round_trip_splits"](spark, records)
+    assert rows(got) == rows(entry.queries()["next_token_splits"](spark, records), "split", "position", "token")
+
+
+def test_round_trip_across_shards(spark, tmp_path, rows):
+    """Several shards of a split, the last one not full, none of whose borders is a block's."""
+    from weftline.plans import files
+
+    text = " ".join("x" * (1 + k % 9) for k in range(1699))
+    spark.createDataFrame([(k, text, "s", "train") for k in range(10)], "record_id long, text string, source_id string, split string").write.parquet(f"{tmp_path}/processed_records.parquet")
+    got = rows(files.shard_round_trip_splits(spark, str(tmp_path)))
+    want = ([1 + k % 9 for k in range(1699)] + [0]) * 10
+    assert got == sorted([("train", p, t) for p, t in enumerate(want)], key=repr)
+    assert len(got) > 3 * files.SHARD
+
+
+def test_partial_range_is_part_of_the_whole(spark, tmp_path, rows):
+    from weftline.sources import shards
+
+    docs = spark.createDataFrame([(k, "s", [k] * 70) for k in range(100)], "record_id long, source_id string, tokens array<long>")
+    shards.write_shards(docs, ["record_id"], str(tmp_path), 500)
+    uri = f"file://{tmp_path}/index.json"
+    assert rows(shards.read_range(spark, uri, 100, 4100, block=150)) == rows(shards.read_range(spark, uri).where("position >= 100 and position < 4100"))
+
+
+def test_shuffle_rewrites_every_split(spark, records, rows):
+    got = entry.queries()["corpus_shuffle_splits"](spark, records)
+    assert {r["split"]: r["n"] for r in got.groupBy("split").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {"train": 4004, "validation": 400, "test": 3}
+    assert rows(got.where("split = 'test'")) == [("test", 0, 1), ("test", 1, 1), ("test", 40, 1)]

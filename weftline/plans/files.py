@@ -42,23 +42,62 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(ordinals(rows, ["file_idx", "line_no"]), ["file_idx", "line_no"]).select("record_id", "text", "ordinal")
 
 
+def _tokens(spark: SparkSession, d: str, split: str) -> DataFrame:
+    rows = table(spark, d, "processed_records").where("text is not null").where(corpus.split_of() == split)
+    return rows.select(corpus.source("source_id").alias("source_id"), "record_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
+
+
+def _splits(spark: SparkSession, d: str) -> list[str]:
+    """Splits that have tokens; a text has at least its end token."""
+    return sorted(r[0] for r in table(spark, d, "processed_records").where("text is not null").select(corpus.split_of()).distinct().collect())
+
+
+def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def shard_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of the validation records written as binary shards, audited, and read back by address."""
+    """Tokens of the validation records written as binary shards, audited, and positions 100 to 4100 read back by address, as its
+    SQL; ``shard_round_trip_splits`` has all."""
     at = _place(spark, "shards")
-    rows = table(spark, d, "processed_records").where("split = 'validation'").select(corpus.source("source_id").alias("source_id"), "record_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
-    shards.write_shards(rows, ["record_id"], at, SHARD)
+    shards.write_shards(_tokens(spark, d, "validation"), ["record_id"], at, SHARD)
     shards.load_index(f"{at}/index.json", full=True)
     return shards.read_range(spark, f"file://{at}/index.json", 100, 4100, block=1500)
 
 
-def corpus_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    """The same shards rewritten in the balanced order of their chunks: how often each token stands there."""
+def shard_round_trip_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each split written as binary shards of its own, audited, and all read back by address."""
+    parts = []
+    for split in _splits(spark, d):
+        at = _place(spark, "shards")
+        shards.write_shards(_tokens(spark, d, split), ["record_id"], at, SHARD)
+        shards.load_index(f"{at}/index.json", full=True)
+        parts.append(shards.read_range(spark, f"file://{at}/index.json", block=1500).select(F.lit(split).alias("split"), "position", "token"))
+    return _union(parts, spark, "split string, position long, token long")
+
+
+def _reordered(spark: SparkSession, d: str, split: str) -> DataFrame:
+    """(position, token) of a split's shards after their chunks were put in the balanced order."""
     a, b = _place(spark, "shards"), _place(spark, "shuffled")
-    rows = table(spark, d, "processed_records").where("split = 'validation'").select(corpus.source("source_id").alias("source_id"), "record_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
-    shards.write_shards(rows, ["record_id"], a, SHARD)
+    shards.write_shards(_tokens(spark, d, split), ["record_id"], a, SHARD)
     shards.shuffle_corpus(spark, f"file://{a}/index.json", b, corpus.CHUNK, corpus.SEED)
     shards.load_index(f"{b}/index.json", full=True)
-    return shards.read_range(spark, f"file://{b}/index.json").groupBy("token").agg(F.count("*").alias("n"))
+    return shards.read_range(spark, f"file://{b}/index.json")
+
+
+def corpus_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """The validation shards rewritten in the balanced order of their chunks: how often each token stands there, as its SQL;
+    ``corpus_shuffle_splits`` has all."""
+    return _reordered(spark, d, "validation").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def corpus_shuffle_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The shards of each split rewritten in the balanced order of their chunks: how often each token stands there."""
+    parts = [_reordered(spark, d, s).groupBy("token").agg(F.count("*").alias("n")).select(F.lit(s).alias("split"), "token", "n") for s in _splits(spark, d)]
+    return _union(parts, spark, "split string, token long, n long")
 
 
 def ledger_export(spark: SparkSession, d: str) -> DataFrame:
@@ -86,14 +125,16 @@ def corpus_build(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "split string, source string, tokens long")
 
 
-QUERIES = {f.__name__: f for f in (jsonl_round_trip, shard_round_trip, corpus_shuffle, ledger_export, snapshot_round_trip, corpus_build)}
+QUERIES = {f.__name__: f for f in (jsonl_round_trip, shard_round_trip, shard_round_trip_splits, corpus_shuffle, corpus_shuffle_splits, ledger_export, snapshot_round_trip, corpus_build)}
 
 _COUNTED = f"len(list_filter(string_split({collapsed('cleaned')}, ' '), lambda w: w <> '')) + 1"
 
 SQL = {
     "jsonl_round_trip": "select record_id, text, row_number() over (order by file_idx, line_no) - 1 as ordinal from raw_records",
     "shard_round_trip": corpus._STREAM + " select position, token from l where position >= 100 and position < 4100",
+    "shard_round_trip_splits": corpus._STREAMS + " select split, position, token from l",
     "corpus_shuffle": corpus._STREAM + " select token, count(*) as n from l group by 1",
+    "corpus_shuffle_splits": corpus._STREAMS + " select split, token, count(*) as n from l group by 1, 2",
     "ledger_export": "select experiment_id, status, coalesce(cast(used_runtime_seconds as varchar), '') as used_runtime_seconds, cast(final_validation_loss is not null as varchar) as has_loss from experiments",
     "snapshot_round_trip": "select 'budget_snapshots' as name, count(*) as rows from budget_snapshots union all select 'experiments', count(*) from experiments union all select 'resume_snapshots', count(*) from resume_snapshots",
     "corpus_build": corpus._JUDGED + f" select outcome as split, {corpus._REC} as source, cast(sum({_COUNTED}) as bigint) as tokens from j where outcome in ('train', 'validation') group by 1, 2",
