@@ -88,6 +88,10 @@ class Whitespace(Tokenizer):
         return summed + 1
 
 
+#: White space as tokenizers have it: Python's without U+001C to U+001F.
+_BLANK = r"[^\S\x1c-\x1f]"
+
+
 class BytePairs(Tokenizer):
     """Byte-level BPE from a rank file.
 
@@ -96,7 +100,7 @@ class BytePairs(Tokenizer):
     match too; both kinds are used, the second for scripts without blanks.
     """
 
-    boundary = re.compile(r"\S(?=\s)|[^\W\d_](?=[.,!?;:。，！？；：、])")
+    boundary = re.compile(rf"\S(?={_BLANK})|[^\W\d_](?=[.,!?;:。，！？；：、])")
 
     def __init__(self, path: str, pattern: str) -> None:
         self.path, self.pattern, self._encoding = path, pattern, None
@@ -121,7 +125,7 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 class WordPairs(Tokenizer):
     """A tokenizers file that drops white space and never joins words across it."""
 
-    boundary = re.compile(r"\S(?=\s)")
+    boundary = re.compile(rf"\S(?={_BLANK})")
 
     def __init__(self, path: str) -> None:
         self.path, self._tokenizer = path, None
