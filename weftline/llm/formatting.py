@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,14 +30,100 @@ class _Object(list):
     """A JSON object as its pairs: names that come twice stay."""
 
 
-def _fields(value: object) -> object:
-    if isinstance(value, _Object):
-        return sorted(([alnum(k), _fields(v)] for k, v in value), key=repr)
-    if isinstance(value, list):
-        return {"list": [_fields(v) for v in value]}
-    if value is None or isinstance(value, bool):
-        return json.dumps(value)
-    return alnum(str(value))
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+_WORDS = {"null": None, "true": True, "false": False, "NaN": "NaN", "Infinity": "Infinity", "-Infinity": "-Infinity"}
+
+
+def _deep(text: str) -> object:
+    """What ``_load`` gives, with a stack of its own: for values nested deeper than the json module follows."""
+
+    def skip(at: int) -> int:
+        return _BLANK.match(text, at).end()
+
+    def name(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(f"no name at {at}")
+        found, at = scanstring(text, at + 1, False)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            raise ValueError(f"no colon at {at}")
+        return found, skip(at + 1)
+
+    def scalar(at: int) -> tuple[object, int]:
+        if text[at : at + 1] == '"':
+            return scanstring(text, at + 1, False)
+        for word, value in _WORDS.items():
+            if text.startswith(word, at):
+                return value, at + len(word)
+        if m := _NUMBER.match(text, at):
+            return m[0], m.end()
+        raise ValueError(f"no value at {at}")
+
+    boxes: list[list] = []
+    names: list[str] = []
+    at = skip(0)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            boxes.append(_Object() if c == "{" else [])
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                if c == "{":
+                    found, at = name(at)
+                    names.append(found)
+                continue
+            value, at = boxes.pop(), at + 1
+        else:
+            value, at = scalar(at)
+        while boxes:
+            box, fields = boxes[-1], isinstance(boxes[-1], _Object)
+            box.append((names.pop(), value) if fields else value)
+            at = skip(at)
+            c = text[at : at + 1]
+            if c == ",":
+                at = skip(at + 1)
+                if fields:
+                    found, at = name(at)
+                    names.append(found)
+                break
+            if c != ("}" if fields else "]"):
+                raise ValueError(f"no end at {at}")
+            value, at = boxes.pop(), at + 1
+        else:
+            if skip(at) != len(text):
+                raise ValueError(f"more at {at}")
+            return value
+
+
+def _load(text: str) -> object:
+    """JSON with objects as pairs and numbers as written."""
+    try:
+        return json.loads(text, object_pairs_hook=_Object, parse_int=str, parse_float=str, parse_constant=str, strict=False)
+    except RecursionError:
+        return _deep(text)
+
+
+def _fields(top: list) -> object:
+    """Sorted fields of an object; objects and lists inside stand as hashes of their own form, innermost first, so depth has no limit."""
+    order = [top]
+    for box in order:
+        order += [v for v in ((v for _, v in box) if isinstance(box, _Object) else box) if isinstance(v, list)]
+    forms: dict[int, object] = {}
+
+    def form(v: object) -> object:
+        if isinstance(v, list):
+            return forms.pop(id(v))
+        return json.dumps(v) if v is None or isinstance(v, bool) else alnum(str(v))
+
+    for box in reversed(order):
+        if isinstance(box, _Object):
+            kind, found = "object", sorted(([alnum(k), form(v)] for k, v in box), key=repr)
+        else:
+            kind, found = "list", [form(v) for v in box]
+        if box is top:
+            return found
+        forms[id(box)] = {kind: hashlib.blake2b(repr(found).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()}
 
 
 def canonical(text: str | None) -> str | None:
@@ -53,8 +140,8 @@ def canonical(text: str | None) -> str | None:
     fields = None
     if text.lstrip()[:1] == "{":
         try:
-            fields = _fields(json.loads(text, object_pairs_hook=_Object, parse_int=str, parse_float=str, parse_constant=str, strict=False))
-        except (ValueError, RecursionError):
+            fields = _fields(_load(text))
+        except ValueError:
             fields = None
     if fields is None:
         lines = [line for line in text.splitlines() if line.strip()]
