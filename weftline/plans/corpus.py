@@ -201,12 +201,21 @@ def shard_audit(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("shard_id", F.array_join(wrong, ",").alias("wrong")).agg(F.count("*").alias("rows"))
 
 
-def shard_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Every 997th address with the shard that holds it."""
+def _located(spark: SparkSession, d: str, step: int) -> DataFrame:
     shards = shuffle.source_counts(_shards(spark, d)).groupBy("shard_id").agg(F.sum("tokens").alias("tokens"))
     addressed = shards.select("shard_id").join(prefix_sum(shards, ["shard_id"], "tokens", "offset"), "shard_id")
     end = addressed.agg(F.max(F.col("offset") + F.col("tokens"))).first()[0] or 0
-    return tokens.locate(spark.range(0, end, 997).withColumnRenamed("id", "position"), addressed).select("position", "shard_id", "place")
+    return tokens.locate(spark.range(0, end, step).withColumnRenamed("id", "position"), addressed).select("position", "shard_id", "place")
+
+
+def shard_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every 997th address with the shard that holds it, as its SQL; ``shard_lookup_every`` has all."""
+    return _located(spark, d, 997)
+
+
+def shard_lookup_every(spark: SparkSession, d: str) -> DataFrame:
+    """Every address with the shard that holds it."""
+    return _located(spark, d, 1)
 
 
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +242,7 @@ QUERIES = {
     for f in (
         clean_dedup_split, postprocess_stats, stats_by_source, blend_allocation, download_tasks, download_shards, download_budget_prefix, token_estimates, download_stats,
         processed_shuffle, shuffle_buckets, token_counts, token_shards, train_token_cap, next_token, sequence_packing, vocab_check, source_count_maps, token_chunk_plan,
-        next_token_splits, sequence_packing_splits, vocab_check_splits,
+        next_token_splits, sequence_packing_splits, vocab_check_splits, shard_lookup_every,
         balanced_chunk_schedule, shard_audit, shard_lookup, secret_scan, failure_redaction, white_space,
     )
 }
@@ -355,6 +364,10 @@ select shard_id, wrong, count(*) as rows from w group by 1, 2""",
     + """, s as (select shard_id, cast(sum(tokens) as bigint) as tokens from c group by 1),
 a as (select shard_id, tokens, cast(coalesce(sum(tokens) over (order by shard_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from s)
 select x.position, shard_id, x.position - start as place from range(0, (select max(start + tokens) from a), 997) as x(position) join a on x.position >= start and x.position < start + tokens""",
+    "shard_lookup_every": _SHARDS
+    + """, s as (select shard_id, cast(sum(tokens) as bigint) as tokens from c group by 1),
+a as (select shard_id, tokens, cast(coalesce(sum(tokens) over (order by shard_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from s)
+select x.position, shard_id, x.position - start as place from range(0, (select max(start + tokens) from a)) as x(position) join a on x.position >= start and x.position < start + tokens""",
     "secret_scan": f"select {_DOC} as source, count(*) filter ({' or '.join(f'contains(text, {quoted(s)})' for s in SECRETS)}) as documents, bool_or({' or '.join(f'contains(text, {quoted(s)})' for s in SECRETS)}) as found from documents group by 1",
     "failure_redaction": rf"""
 with t as (select record_id, 'job-0a1b2c3d at api.internal token=abc /private/x ' || coalesce(text, '') as x from raw_records),
