@@ -12,3 +12,10 @@ def spread(df: DataFrame) -> DataFrame:
     For scans and what is narrow above them: to count the partitions behind a shuffle would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def few(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """``df`` in at most ``per_core`` partitions a core, merged without a shuffle: for steps of which every task hands on a
+    summary whose size does not depend on its rows.  For scans and what is narrow above them."""
+    most = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(most) if df.rdd.getNumPartitions() > most else df

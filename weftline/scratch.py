@@ -31,15 +31,20 @@ def folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and return the table; what follows reads it instead of recomputing."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    path = written(spark, f"{folder(spark)}/weftline/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def written(spark: SparkSession, path: str) -> str:
+    """Note a path of this process for ``clear``."""
+    _written.append((spark, path))
+    return path
+
+
 def clear() -> None:
     """Delete every table that ``cut`` wrote in this process; results that still read them must be stored before."""
     while _written:
