@@ -45,6 +45,29 @@ def test_scan_of_a_uri_equals_that_of_the_folder(spark, tmp_path, rows):
     assert [r[0] for r in by_uri] == [0, 0, 1, 1, 2, 2]  # empty files take no number there
 
 
+def test_raw_records_of_a_uri_equal_those_of_the_folder(spark, tmp_path, rows):
+    put(tmp_path / "b.c.jsonl", [{"text": "zwei"}, {"text": "drei", "source_id": "s"}])
+    put(tmp_path / "a.jsonl.gz", [{"text": "eins", "text_preprocessed": True}], gzip.open)
+    by_folder, by_uri = (rows(jsonl.raw_records(spark, at)) for at in (str(tmp_path), f"file://{tmp_path}"))
+    assert by_folder == by_uri and [r[3] for r in by_uri] == ["a.jsonl", "b.c", "s"]
+    (tmp_path / "empty").mkdir()
+    for at in (f"{tmp_path}/empty", f"file://{tmp_path}/empty"):
+        with pytest.raises(FileNotFoundError, match="no JSON lines"):
+            jsonl.raw_records(spark, at)
+
+
+def test_files_of_splits(spark, tmp_path, rows):
+    put(tmp_path / "train.jsonl", [{"text": "a"}, {"text": "b"}])
+    put(tmp_path / "validation.jsonl.gz", [{"text": "c"}], gzip.open)
+    got = jsonl.split_records(spark, str(tmp_path), ["validation", "train", "validation"])
+    assert rows(got.select("split", "line_no", jsonl.text_of(F.col("value"), "text"))) == [("train", 0, "a"), ("train", 1, "b"), ("validation", 0, "c")]
+    with pytest.raises(FileNotFoundError):
+        jsonl.split_file(str(tmp_path), "test")
+    put(tmp_path / "train.jsonl.gz", [], gzip.open)
+    with pytest.raises(ValueError, match="several files: train.jsonl, train.jsonl.gz"):
+        jsonl.split_file(str(tmp_path), "train")
+
+
 def test_malformed_and_blank_lines_fail_with_their_place(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text": "x"}\n\n')
     with pytest.raises(Exception, match="line 2 of file 0"):
@@ -93,6 +116,8 @@ def test_snapshot_round_trip(spark, tmp_path, rows):
     assert rows(tables.load_tables(spark, str(tmp_path))["u"]) == [(1, "a")]
     with pytest.raises(ValueError):
         tables.load_tables(spark, str(tmp_path), version=2)
+    with pytest.raises(ValueError, match="differ .* in u, v"):
+        tables.load_tables(spark, str(tmp_path), {"t", "v"})
 
 
 def write(spark, folder, size=3):
@@ -129,9 +154,28 @@ def test_shuffled_corpus_keeps_chunks_and_mixes_sources(spark, tmp_path):
     assert {c[0] // 100 for c in chunks[:3]} == {1, 2, 3}
 
 
+def test_order_of_sources_is_that_of_first_appearance():
+    index = {"shards": [{"source_token_counts": {"m": 1, " b ": 2, "z": 0}}, {"source_token_counts": {"a": 3, "b": 1, " ": 4}}]}
+    assert list(shards.source_order(index)) == ["b", "m", "a", "unknown"]
+    assert list(shards.source_order(index, ["z", "m", "z"])) == ["z", "m", "b", "a", "unknown"]
+    assert shards.normal_counts({" x": 1, "x ": 2, "": 3, "y": 0}) == {"x": 3, "unknown": 3}
+
+
 def test_package(spark, tmp_path):
     write(spark, tmp_path / "a")
-    got = shards.package(str(tmp_path / "a"), str(tmp_path / "p"), how="hardlink")
+    for k in range(5):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        np.array([k], "<u4").tofile(tmp_path / "many" / f"tokens-{k:06d}.bin")
+    shards.package(str(tmp_path / "many"), str(tmp_path / "q"), 2, 2)
+    read = lambda p: [int(np.fromfile(f, "<u4")[0]) for f in shards.listing(str(p))]
+    assert read(tmp_path / "q" / "train") == [0, 1] and read(tmp_path / "q" / "validation") == [2, 3]
+    shards.package(str(tmp_path / "many"), str(tmp_path / "r"), 4, 1, validation_source=str(tmp_path / "q" / "validation"))
+    assert read(tmp_path / "r" / "train") == [0, 1, 2, 3] and read(tmp_path / "r" / "validation") == [2]
+    with pytest.raises(ValueError, match="wanted"):
+        shards.package(str(tmp_path / "many"), str(tmp_path / "s"), 5, 1)
+    got = shards.package(str(tmp_path / "a"), str(tmp_path / "p"), 1, how="hardlink")
+    summary = shards.index_summary(spark, {s: f"{tmp_path}/p/{s}/index.json" for s in ("train", "validation")})
+    assert sorted(map(tuple, summary.collect())) == [("train", 1, 3, 0, 3), ("validation", 1, 2, 0, 2)]
     assert got["train"]["total_tokens"] == 3 and shards.load_index(f"{tmp_path}/p/validation/index.json", full=True)["total_tokens"] == 2
 
 
@@ -152,7 +196,7 @@ def test_pipeline(spark, tmp_path):
     docs = [{"body": " ".join(words[(i * k) % 5] for i in range(12)) + f" {k}", "source_id": "code" if k % 2 else "math"} for k in range(40)]
     put(raw / "a.jsonl", docs)
     put(raw / "b.jsonl", docs[:5] + [{"body": "x"}])
-    settings = {"text_field": "body", "min_chars": 20, "validation_rate": 0.3, "buckets": 4, "shard_tokens": 64, "limits": {"code": 100}}
+    settings = {"tokenizer": "lengths", "text_field": "body", "min_chars": 20, "validation_rate": 0.3, "buckets": 4, "shard_tokens": 64, "limits": {"code": 100}}
     got = pipeline.prepare(spark, str(raw), str(tmp_path / "out"), lengths, 0, **settings)
     s = got["statistics"]
     assert (s["input_documents"], s["dropped_duplicate_documents"], s["dropped_short_documents"]) == (46, 5, 1)
@@ -161,6 +205,13 @@ def test_pipeline(spark, tmp_path):
     assert train["source_token_counts"]["code"] <= 100 and all(x["tokens"] == 64 for x in train["shards"][:-1])
     assert got["splits"]["validation"]["total_tokens"] == 14 * s["kept_validation_documents"]
     assert pipeline.prepare(spark, str(raw), str(tmp_path / "out"), None, 0, **settings) == got  # not run again
+    os.remove(f"{tmp_path}/out/train/tokens-000000.bin")
+    assert pipeline.prepare(spark, str(raw), str(tmp_path / "out"), lengths, 0, **settings) == got  # a shard was lost
+    other = pipeline.prepare(spark, f"file://{raw}", str(tmp_path / "out"), lambda: lambda texts: [[1] for _ in texts], 0, **settings | {"tokenizer": "ones"})
+    assert other["splits"]["validation"]["total_tokens"] == 2 * s["kept_validation_documents"] and other["statistics"] == s
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        pipeline.prepare(spark, f"file://{tmp_path}/none", str(tmp_path / "out"), lengths, 0)
 
 
 def test_streams(spark, tmp_path, rows):
@@ -190,4 +241,4 @@ def test_bloom(spark):
     listed = df.where("h % 10 = 0").unionByName(spark.createDataFrame([(None,)], "h long"))
     left = bloom.without(df.unionByName(spark.createDataFrame([(None,)], "h long")), listed, "h")
     assert left.count() == 1801
-    assert bloom.bits_for(0) == 1 << 16 and bloom.bits_for(10**12) == bloom.MOST_BITS
+    assert bloom.bits_for(0) == 1 << 16 and bloom.bits_for(10**12) == 1 << 44

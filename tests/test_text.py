@@ -78,5 +78,7 @@ def test_canonical_hash_ignores_key_order(spark):
 
 
 def test_traceback(spark):
-    df = spark.createDataFrame([("x\nTraceback (most recent call last):\n",), ("ValueError: no",), ("fine",), (None,)], "t string")
-    assert [r[0] for r in df.select(T.looks_like_traceback(F.col("t"))).collect()] == [True, True, False, False]
+    yes = ["x\nTraceback (most recent call last):\n", "TRACEBACK (MOST RECENT CALL LAST):", "ValueError: no", "at step 3 got torch.cuda.OutOfMemoryError: x", "a\nmy_exception: b", "Worker failed for exp-1", "0 valueERROR:"]
+    no = ["fine", "", None, "ValueError", "no errors: none", 'File "a.py", line 3', "worker failed"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(yes + no)], "k int, t string")
+    assert [r[0] for r in df.orderBy("k").select(T.looks_like_traceback(F.col("t"))).collect()] == [True] * len(yes) + [False] * len(no)

@@ -176,12 +176,18 @@ def redact(text: Column, most: int = 4000) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most - 3), SPACE_CLASS + "$", ""), F.lit("..."))).otherwise(text)
 
 
-#: Lines by which a traceback's tail is known. Fixed value.
-TRACEBACK = r"(?m)^Traceback \(most recent call last\):|^\s+File \"[^\"]+\", line \d+|^[A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception): "
+#: What the tail of a failed worker's log holds, in any letter case: one of two texts anywhere, or a line with an exception's name and a colon. Fixed values.
+TRACEBACK_TEXTS = ("traceback (most recent call last):", "worker failed for ")
+TRACEBACK_NAME = r"(?i)\b[a-z_][a-z0-9_.]*(error|exception):"
 
 
 def looks_like_traceback(text: Column) -> Column:
-    return F.coalesce(text.rlike(TRACEBACK), F.lit(False))
+    """Whether a log's tail shows a failure of the worker's own code; null shows none."""
+    low = F.lower(text)
+    found = text.rlike(TRACEBACK_NAME)
+    for known in TRACEBACK_TEXTS:
+        found = found | F.contains(low, F.lit(known))
+    return F.coalesce(found, F.lit(False))
 
 
 @F.pandas_udf(T.StringType())

@@ -31,18 +31,21 @@ def prepare(
     buckets: int = shuffle.BUCKETS,
     shard_tokens: int = 100_000_000,
     limits: dict[str, int] | None = None,
+    tokenizer: str = "",
 ) -> dict:
     """Clean, deduplicate, split, shuffle, tokenize, cap and write shards; gives the manifest, also written to ``out``.
 
-    A run whose inputs and settings equal those of the manifest found there is not repeated.
+    A run whose inputs, settings and ``tokenizer`` (the name by which ``load`` is told from others; by default that of the
+    function) equal those of the manifest found there is not repeated, if every shard it wrote is still there and whole.
     """
-    settings = {"text_field": text_field, "min_chars": min_chars, "max_chars": max_chars, "validation_rate": validation_rate, "seed": seed, "buckets": buckets, "shard_tokens": shard_tokens, "limits": limits, "eos": eos}
-    print_ = tables.fingerprint(raw, **settings)
+    named = tokenizer or f"{getattr(load, '__module__', '')}:{getattr(load, '__qualname__', repr(load))}"
+    settings = {"text_field": text_field, "min_chars": min_chars, "max_chars": max_chars, "validation_rate": validation_rate, "seed": seed, "buckets": buckets, "shard_tokens": shard_tokens, "limits": limits, "eos": eos, "tokenizer": named}
+    print_ = tables.fingerprint(spark, raw, **settings)
     try:
         before = tables.load_json(f"{out}/manifest.json")
-        if before.get("fingerprint") == print_:
+        if before.get("fingerprint") == print_ and all(shards.load_index(f"{out}/{s}/index.json")["total_tokens"] == before["splits"][s]["total_tokens"] for s in SPLITS):
             return before
-    except FileNotFoundError:
+    except (FileNotFoundError, KeyError, shards.IndexError_):
         pass
     records = jsonl.raw_records(spark, raw, text_field)
     order = ["file_idx", "line_no"]

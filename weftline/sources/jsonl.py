@@ -7,7 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIXES = (".jsonl", ".jsonl.gz", ".jsonl.zst")
@@ -19,6 +19,9 @@ def input_files(folder: str) -> list[str]:
     return sorted(found)
 
 
+_LINE = ["file_idx", "line_no", "line", "path"]
+
+
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Lines of files, streamed: a file is never held whole."""
     import gzip
@@ -36,23 +39,42 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     stream = raw
                 held: list[tuple] = []
                 for k, line in enumerate(io.TextIOWrapper(stream, "utf-8", newline="\n")):
-                    held.append((index, k, line.rstrip("\r\n")))
+                    held.append((index, k, line.rstrip("\r\n"), path))
                     if len(held) == 4096:
-                        yield pd.DataFrame(held, columns=["file_idx", "line_no", "line"])
+                        yield pd.DataFrame(held, columns=_LINE)
                         held = []
-                yield pd.DataFrame(held, columns=["file_idx", "line_no", "line"])
+                yield pd.DataFrame(held, columns=_LINE)
+
+
+def split_file(folder: str, split: str) -> str:
+    """The file of a split in a folder of processed records, whatever its codec; none and more than one fail."""
+    found = [p for p in (os.path.join(folder, split + s) for s in SUFFIXES) if os.path.exists(p)]
+    if not found:
+        raise FileNotFoundError(f"{folder} has no file of split {split}")
+    if len(found) > 1:
+        raise ValueError(f"split {split} has several files: {', '.join(map(os.path.basename, found))}")
+    return found[0]
+
+
+def split_records(spark: SparkSession, folder: str, splits: list[str]) -> DataFrame:
+    """(split, line_no, value): the processed records of the splits named, each once, in the order named."""
+    paths = [(k, s, split_file(folder, s)) for k, s in enumerate(dict.fromkeys(splits))]
+    files = spark.createDataFrame([(k, p) for k, _, p in paths], "file_idx int, path string").repartition(len(paths), "file_idx")
+    rows = files.mapInPandas(_lines, "file_idx int, line_no long, line string, path string")
+    names = F.element_at(F.array(*[F.lit(s) for _, s, _ in paths]), F.col("file_idx") + 1)
+    return _parsed(rows).select(names.alias("split"), "line_no", "value")
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_idx, line_no, line) of every JSON-lines file of a shared folder, plain, gzip or zstandard, files in path order.
+    """(file_idx, line_no, line, path) of every JSON-lines file of a shared folder, plain, gzip or zstandard, files in path order.
 
     A file is one task: shards are meant to be of moderate size, and the compressed ones cannot be split anyway.
     """
     paths = input_files(folder)
     if not paths:
-        return spark.createDataFrame([], "file_idx int, line_no long, line string")
+        return spark.createDataFrame([], "file_idx int, line_no long, line string, path string")
     files = spark.createDataFrame(list(enumerate(paths)), "file_idx int, path string").repartition(len(paths), "file_idx")
-    return files.mapInPandas(_lines, "file_idx int, line_no long, line string")
+    return files.mapInPandas(_lines, "file_idx int, line_no long, line string, path string")
 
 
 def lines_of_uri(spark: SparkSession, uri: str) -> DataFrame:
@@ -63,16 +85,31 @@ def lines_of_uri(spark: SparkSession, uri: str) -> DataFrame:
     numbered = paths.withColumn("file_idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1).cast("int"))
     parts = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
     text = files.where("value <> ''").select("path", F.posexplode(parts).alias("line_no", "line"))
-    return text.join(numbered, "path").select("file_idx", F.col("line_no").cast("long").alias("line_no"), "line")
+    return text.join(numbered, "path").select("file_idx", F.col("line_no").cast("long").alias("line_no"), "line", "path")
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_idx, line_no, value): each line of a folder, or of a URI, as a variant. A blank or malformed line fails with its place."""
-    rows = lines_of_uri(spark, folder) if "://" in folder else lines(spark, folder)
+def records(spark: SparkSession, folder: str, named: bool = False) -> DataFrame:
+    """(file_idx, line_no, value): each line of a folder, or of a URI, as a variant. A blank or malformed line fails with its place.
+
+    With ``named`` also stem, the file's name without its last suffix; then a folder without any file fails.
+    """
+    if "://" in folder:
+        rows = lines_of_uri(spark, folder)
+        if named and rows.select("path").isEmpty():
+            raise FileNotFoundError(f"{folder} holds no JSON lines")
+    else:
+        rows = lines(spark, folder)
+        if named and not input_files(folder):
+            raise FileNotFoundError(f"{folder} holds no JSON lines")
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)\z", 1), r"(?<=.)\.[^.]*\z", "").alias("stem")
+    return _parsed(rows, *([stem] if named else []))
+
+
+def _parsed(rows: DataFrame, *more: Column) -> DataFrame:
     value = F.try_parse_json("line")
     place = F.concat(F.lit("line "), (F.col("line_no") + 1).cast("string"), F.lit(" of file "), F.col("file_idx").cast("string"), F.lit(" is no JSON object"))
     good = value.isNotNull() & F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-    return rows.select("file_idx", "line_no", F.when(good, value).otherwise(F.raise_error(place).cast("variant")).alias("value"))
+    return rows.select("file_idx", "line_no", F.when(good, value).otherwise(F.raise_error(place).cast("variant")).alias("value"), *more)
 
 
 def text_of(value, field: str, required: bool = False):
@@ -87,13 +124,11 @@ def text_of(value, field: str, required: bool = False):
 
 
 def raw_records(spark: SparkSession, folder: str, field: str = "text") -> DataFrame:
-    """Raw records of a folder: order, text (null where it is no string), source_id (the file's stem by default), hash and flag."""
-    stems = dict(enumerate(os.path.splitext(os.path.basename(p))[0] for p in input_files(folder)))
-    rows = records(spark, folder)
+    """Raw records of a folder or URI, which must hold some file: order, text (null where it is no string), source_id (the file's stem by default), hash and flag."""
+    rows = records(spark, folder, named=True)
     value = F.col("value")
-    names = spark.createDataFrame(list(stems.items()) or [], "file_idx int, stem string")
     flag = F.schema_of_variant(F.try_variant_get(value, "$.text_preprocessed", "variant")) == "BOOLEAN"
-    return rows.join(names, "file_idx").select(
+    return rows.select(
         "file_idx",
         "line_no",
         text_of(value, field).alias("text"),

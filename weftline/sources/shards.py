@@ -7,7 +7,7 @@ import hashlib
 import os
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -170,21 +170,51 @@ def read_positions(spark: SparkSession, uri: str, positions: DataFrame) -> DataF
     return located.repartition("path").sortWithinPartitions("path", "place").mapInPandas(read, "position long, token long")
 
 
-def shuffle_corpus(spark: SparkSession, uri: str, folder: str, chunk: int = 262_144, seed: int = 20260724, size: int | None = None) -> dict:
-    """Rewrite a tokenized corpus with its chunks in the balanced order; tokens are copied, never decoded.
+def normal_counts(counts: dict[str, int] | None) -> dict[str, int]:
+    """Counts by trimmed source, a blank one being ``unknown``; zero counts dropped."""
+    out: dict[str, int] = {}
+    for name, n in (counts or {}).items():
+        if n:
+            key = name.strip() or "unknown"
+            out[key] = out.get(key, 0) + n
+    return out
+
+
+def source_order(index: dict, first: Sequence[str] = ()) -> dict[str, int]:
+    """The rank of each source: those named ``first`` in their order, then by first appearance over all shards, by name within one."""
+    names = [n.strip() or "unknown" for n in first]
+    for s in index["shards"]:
+        names += sorted(normal_counts(s["source_token_counts"]))
+    return {n: k for k, n in enumerate(dict.fromkeys(names))}
+
+
+def index_summary(spark: SparkSession, indexes: dict[str, str]) -> DataFrame:
+    """(split, shards, tokens, sources, largest_shard) of the index of each split."""
+    rows = []
+    for split, uri in indexes.items():
+        index = load_index(uri)
+        sizes = [s["tokens"] for s in index["shards"]]
+        rows.append((split, len(sizes), sum(sizes), len(normal_counts(index["source_token_counts"])), max(sizes, default=0)))
+    return spark.createDataFrame(rows, "split string, shards long, tokens long, sources long, largest_shard long")
+
+
+def shuffle_corpus(spark: SparkSession, uri: str, folder: str, chunk: int = 262_144, seed: int = 20260724, size: int | None = None, first_sources: Sequence[str] = ()) -> dict:
+    """Rewrite a tokenized corpus with its chunks in the stride order; tokens are copied, never decoded.
 
-    Only metadata is planned and shuffled: a task that writes a shard reads the pieces it needs from the old files.  The
-    runs of a shard whose counts do not add up are one run of ``unknown``.  ``size`` is the largest old shard by default.
+    Only metadata is planned and shuffled: a task that writes a shard reads the pieces it needs from the old files.  A
+    shard's runs lie in ``source_order``; those of a shard whose counts do not add up are one run of ``unknown``.  ``size``
+    is the largest old shard by default.
     """
     index, source = load_index(uri), os.path.dirname(local_path(uri))
     os.makedirs(folder, exist_ok=True)
     runs = []
+    order = source_order(index, first_sources)
     for k, s in enumerate(index["shards"]):
-        counts = {n: t for n, t in s["source_token_counts"].items() if t}
+        counts = normal_counts(s["source_token_counts"])
         whole = counts if sum(counts.values()) == s["tokens"] else {"unknown": s["tokens"]}
-        runs += [(k, f"{source}/{s['path']}", n, t) for n, t in sorted(whole.items())]
-    rows = spark.createDataFrame(runs, "shard long, path string, source string, tokens long")
-    planned = shuffle.schedule(shuffle.chunks(rows, chunk, ["shard", "path"], ["source"]).drop("shard"), seed, ["path"])
+        runs += [(k, f"{source}/{s['path']}", n, order.get(n, len(order)), t) for n, t in whole.items()]
+    rows = spark.createDataFrame(runs, "shard long, path string, source string, rank int, tokens long")
+    planned = shuffle.schedule(shuffle.chunks(rows, chunk, ["shard", "path"], ["rank", "source"]).select("shard", "path", "source", "chunk", "offset", "tokens"), seed, ["shard"])
     placed = planned.drop("tokens").join(prefix_sum(planned, ["step"], "tokens"), "step")
     size = size or max(s["tokens"] for s in index["shards"])
     pieces = shard_pieces(placed, size, "start", "tokens").select("shard", "place", F.col("source").alias("source_id"), "path", (F.col("offset") + F.col("from")).alias("at"), "taken")
@@ -200,19 +230,23 @@ def listing(folder: str) -> list[str]:
     return sorted(glob.glob(f"{folder}/tokens-*.bin"))
 
 
-def package(source: str, folder: str, validation_shards: int = 1, how: str = "copy") -> dict[str, dict]:
-    """Carve validation shards off the end of a folder of shards and lay out train and validation with an index each.
+def package(source: str, folder: str, train_shards: int, validation_shards: int = 1, how: str = "copy", validation_source: str | None = None) -> dict[str, dict]:
+    """Lay out the first ``train_shards`` shards of a folder as train, and as validation the next ``validation_shards`` of it or
+    the first of a folder of their own, with an index each.
 
-    ``how`` is copy, hardlink or symlink.  Hashes are computed anew.
+    ``how`` is copy, hardlink or symlink.  Hashes are computed anew.  Too few shards fail.
     """
     import shutil
 
+    if min(train_shards, validation_shards) < 1:
+        raise ValueError("train_shards and validation_shards must be positive")
     found = listing(source)
-    if len(found) <= validation_shards:
-        raise IndexError_("too few shards to carve validation from")
+    rest = found[train_shards:] if validation_source is None else listing(validation_source)
+    if len(found) < train_shards or len(rest) < validation_shards:
+        raise IndexError_(f"{train_shards} shards of train and {validation_shards} of validation are wanted; there are {len(found)}" + ("" if validation_source is None else f" and {len(rest)}"))
     place = {"copy": shutil.copyfile, "hardlink": os.link, "symlink": os.symlink}[how]
     out = {}
-    for split, files in (("train", found[:-validation_shards]), ("validation", found[-validation_shards:])):
+    for split, files in (("train", found[:train_shards]), ("validation", rest[:validation_shards])):
         os.makedirs(f"{folder}/{split}", exist_ok=True)
         shards = []
         for k, path in enumerate(files):

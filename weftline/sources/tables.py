@@ -80,10 +80,15 @@ def clear_folder(folder: str, known: re.Pattern) -> None:
         shutil.rmtree(at) if os.path.isdir(at) else os.remove(at)
 
 
-def fingerprint(folder: str, **settings: object) -> str:
-    """What a result depends on: settings, and the name, size and time of every input file."""
-    files = sorted((os.path.relpath(p, folder), os.stat(p).st_size, os.stat(p).st_mtime_ns) for at, _, fs in os.walk(folder) for p in (os.path.join(at, f) for f in fs))
-    return hashlib.sha256(json.dumps([settings, files], sort_keys=True, default=str).encode()).hexdigest()
+def fingerprint(spark: SparkSession, folder: str, **settings: object) -> str:
+    """What a result depends on: settings, and the path, size and time of every input file, of a folder or of a URI."""
+    if "://" in folder:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", F.unix_micros("modificationTime").alias("at"))
+        found = files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "at"))).first()
+        seen: list = [folder, *found]
+    else:
+        seen = sorted((os.path.relpath(p, folder), os.stat(p).st_size, os.stat(p).st_mtime_ns) for at, _, fs in os.walk(folder) for p in (os.path.join(at, f) for f in fs))
+    return hashlib.sha256(json.dumps([settings, seen], sort_keys=True, default=str).encode()).hexdigest()
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str, version: int = 1) -> None:
@@ -94,9 +99,11 @@ def save_tables(tables: dict[str, DataFrame], folder: str, version: int = 1) ->
     write_json(f"{folder}/snapshot.json", {"version": version, "folder": at, "tables": sorted(tables)})
 
 
-def load_tables(spark: SparkSession, folder: str, version: int = 1) -> dict[str, DataFrame]:
-    """The tables of the published snapshot; another version fails."""
+def load_tables(spark: SparkSession, folder: str, known: set[str] | None = None, version: int = 1) -> dict[str, DataFrame]:
+    """The tables of the published snapshot; another version fails, and so does any other set of tables than ``known``."""
     manifest = load_json(f"{folder}/snapshot.json")
     if manifest["version"] != version:
         raise ValueError(f"snapshot version {manifest['version']}, not {version}")
+    if known is not None and set(manifest["tables"]) != known:
+        raise ValueError(f"the snapshot's tables differ from those known in {', '.join(sorted(known ^ set(manifest['tables'])))}")
     return {name: spark.read.parquet(f"{folder}/{manifest['folder']}/{name}") for name in manifest["tables"]}

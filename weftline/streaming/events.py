@@ -76,10 +76,9 @@ class _Run(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values=None) -> Iterator[pd.DataFrame]:
         state = self.state.get() if self.state.exists() else (0, 0, None, None, False, 0)
-        for pdf in rows:
-            pass_ = pdf.sort_values("delivery_id")
-            for kind, loss in zip(pass_["type"], pass_["loss"]):
-                state = step(state, kind, None if pd.isna(loss) else float(loss))
+        batch = pd.concat(list(rows)).sort_values("delivery_id")  # a run may come in several pieces
+        for kind, loss in zip(batch["type"], batch["loss"]):
+            state = step(state, kind, None if pd.isna(loss) else float(loss))
         self.state.update(state)
         yield pd.DataFrame([(key[0], *state)], columns=["run_id", "accepted", "losses", "last_loss", "last_type", "ended", "late"])
 
