@@ -110,10 +110,21 @@ def test_balanced_schedule_interleaves(spark):
     assert sorted((r.source, r.offset) for r in got) == [("code", 0), ("code", 2), ("general_web", 4), ("general_web", 6), ("math", 8), ("math", 10)]
 
 
-@given(st.dictionaries(st.sampled_from("abcd"), st.lists(st.integers(1, 9), min_size=1, max_size=8), min_size=1), st.integers(0, 99))
-def test_balanced_gives_each_item_once(groups, seed):
-    items = [(s, n, (s, k)) for s, ns in groups.items() for k, n in enumerate(ns)]
-    assert sorted(shuffle.balanced(items, seed)) == sorted(x for _, _, x in items)
+def test_schedule_gives_each_chunk_once_and_every_source_its_stride(spark):
+    r = random.Random(3)
+    data = [(k % 7, s, 0, 100 * k, r.randint(1, 9)) for k, s in enumerate("a" * 60 + "b" * 20 + "c")]
+    df = spark.createDataFrame(data, "shard_id long, source string, chunk long, offset long, tokens long")
+    got, again = ([tuple(x) for x in shuffle.schedule(d, 5, ["shard_id"]).orderBy("step").collect()] for d in (df, df.repartition(4)))
+    assert got == again and sorted(x[:5] for x in got) == sorted(data) and [x[5] for x in got] == list(range(81))
+    whole = {s: sum(n for _, t, _, _, n in data if t == s) for s in "abc"}
+    given = dict.fromkeys("abc", 0)
+    for _, s, _, _, n, step in got:
+        given[s] += n
+        if step < 80:
+            assert abs(given["a"] / whole["a"] - given["b"] / whole["b"]) < 0.12
+    other = [tuple(x) for x in shuffle.schedule(df, 6, ["shard_id"]).orderBy("step").collect()]
+    assert [x[:5] for x in other] != [x[:5] for x in got]
+    assert shuffle.schedule(df.where("false"), 5, ["shard_id"]).count() == 0
 
 
 def test_word_length_tokens(spark):
@@ -158,15 +169,29 @@ def test_locate(spark):
 
 
 def test_labels_and_packing(spark):
-    stream = spark.createDataFrame([(k, k * 10) for k in range(11)], "position long, token long")
-    labelled = sequences.with_labels(stream, block=4)
-    assert [r.label for r in labelled.orderBy("position").collect()] == [*range(10, 110, 10), None]
-    packed = sequences.packed(labelled, 4).orderBy("sequence").collect()
+    data = [(0, [0, 10, 20]), (3, []), (3, [30]), (4, [40, 50, 60, 70, 80, 90]), (10, [100])]
+    docs = spark.createDataFrame(data, "start long, tokens array<long>")
+    assert [tuple(r) for r in sequences.labelled(docs).orderBy("position").collect()] == [(k, 10 * k, 10 * k + 10 if k < 10 else None) for k in range(11)]
+    packed = sequences.packed(docs, 4).orderBy("sequence").collect()
     assert [r.input_ids for r in packed] == [[0, 10, 20, 30], [40, 50, 60, 70]] and packed[1].labels == [50, 60, 70, 80]
-    assert sequences.largest_token(labelled).first().largest == 100
+    assert sequences.largest_token(docs).first().largest == 100
     assert sequences.permutation(5, 3, 4) == np.random.default_rng(7).permutation(np.arange(5)).tolist()
 
 
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=12), st.integers(1, 6), st.integers(0, 7), st.one_of(st.none(), st.integers(0, 40)))
+@settings(max_examples=6, deadline=None)
+def test_packing_equals_brute_force(spark, sizes, length, first, last):
+    stream = list(range(100, 100 + sum(sizes)))
+    docs = [(sum(sizes[:k]), stream[sum(sizes[:k]) : sum(sizes[: k + 1])], "s") for k in range(len(sizes))]
+    want, at = [], first
+    while at + length <= min(len(stream) - 1, len(stream) if last is None else last):
+        want.append((stream[at : at + length], stream[at + 1 : at + length + 1]))
+        at += length
+    df = spark.createDataFrame(docs, "start long, tokens array<long>, split string").repartition(3)
+    got = sequences.packed(df, length, first, last, ["split"]).orderBy("sequence").collect()
+    assert [(r.input_ids, r.labels) for r in got] == want and [r.sequence for r in got] == list(range(len(want)))
+
+
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=25))
 @settings(max_examples=8, deadline=None)
 def test_components(spark, links):

@@ -136,9 +136,10 @@ def repeats(deliveries: DataFrame) -> DataFrame:
     local = rows.where("producer is not null").select("delivery_id", "producer", "number").sortWithinPartitions("delivery_id").mapInPandas(_local, _SEEN)
     first = local.where("not again").select("delivery_id", "producer", "block", "number")
     across = first.repartition("producer", "block").sortWithinPartitions("producer", "block", "delivery_id").mapInPandas(_across, "delivery_id long, again boolean")
-    odd = rows.where("producer is null").select("delivery_id", F.xxhash64("key").alias("h"), "key")
-    earliest = odd.groupBy("h", "key").agg(F.min("delivery_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    by_key = odd.join(earliest, ["h", "key"]).where("delivery_id > first")
+    odd = rows.where("producer is null").select("delivery_id", "key")
+    # by key the aggregate combines before its shuffle; the lookup is by delivery_id, so a key of a million rows is no single task
+    first = odd.groupBy("key").agg(F.min("delivery_id").alias("delivery_id")).select("delivery_id")
+    by_key = odd.select("delivery_id").join(first, "delivery_id", "left_anti")
     return local.where("again").select("delivery_id").unionByName(across.where("again").select("delivery_id")).unionByName(by_key.select("delivery_id"))
 
 

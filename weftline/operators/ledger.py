@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.prefix import ordinals
+from weftline.scratch import cut
+
 
 def event_identity(df: DataFrame) -> Column:
     """(kind, run, event_id), trimmed; null for a row that names no event or no run. The final run goes first."""
@@ -16,16 +19,13 @@ def event_identity(df: DataFrame) -> Column:
 def idempotent(events: DataFrame, order: str) -> DataFrame:
     """Events with ``repeat``: whether an earlier event has the same identity. Events without identity never repeat.
 
-    First arrivals come from an aggregate that combines before the shuffle; only identities that do repeat are joined back,
-    and events without identity, which would all meet in one task, stay out of the join.
+    First arrivals come from an aggregate that combines before the shuffle; then an event repeats if it is not one of them.
+    That join is on ``order``, which is unique, so an identity sent a million times is no single task.
     """
     rows = events.withColumn("_identity", event_identity(events))
-    nameless = rows.where("_identity is null").drop("_identity").withColumn("repeat", F.lit(False))
-    rows = rows.where("_identity is not null")
-    first = rows.groupBy("_identity").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(first, "_identity", "left")
-    judged = joined.withColumn("repeat", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_identity", "_first")
-    return judged.unionByName(nameless)
+    first = rows.where("_identity is not null").groupBy("_identity").agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_is_first"))
+    joined = rows.join(first, order, "left")
+    return joined.select(*events.columns, (F.col("_identity").isNotNull() & F.col("_is_first").isNull()).alias("repeat"))
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -42,9 +42,9 @@ def first_per(df: DataFrame, key: list[str], order: str) -> DataFrame:
 def before_terminal(events: DataFrame, run: list[str], order: str, terminal: Column) -> DataFrame:
     """Events with ``late``: whether they come after the first terminal event of their run.
 
-    Runs are found by an aggregate, so a run with most of the events is no single task.
+    Runs are found by an aggregate and written down, so that the join can split a run with most of the events.
     """
-    ends = events.where(terminal).groupBy(*run).agg(F.min(order).alias("_end"))
+    ends = cut(events.where(terminal).groupBy(*run).agg(F.min(order).alias("_end")), "ends")
     return events.join(ends, run, "left").withColumn("late", F.coalesce(F.col(order) > F.col("_end"), F.lit(False))).drop("_end")
 
 
@@ -64,19 +64,28 @@ def loss_summary(losses: Column) -> list[Column]:
     ]
 
 
+def loss_totals(df: DataFrame, key: list[str], order: str, loss: str) -> DataFrame:
+    """``loss_summary`` of the non-null values of each key, by aggregates alone: no list is held, however long a run is."""
+    rows = df.where(F.col(loss).isNotNull()).groupBy(*key)
+    return rows.agg(F.count("*").cast("int").alias("evaluations"), F.min_by(loss, order).alias("first_loss"), F.max_by(loss, order).alias("last_loss"), F.min(loss).alias("lowest_loss"))
+
+
 def fair_share(queue: DataFrame, owner: str, position: str) -> DataFrame:
     """Adds round and rank: everybody's first item, then everybody's second; within a round by first appearance.
 
-    A queue is what waits for hardware, thousands of rows; the rank over all of it is one window.
+    Positions are unique.  Rounds and ranks come from two-phase prefix sums, so neither the queue nor an owner with most of
+    it is one task.
     """
-    mine = Window.partitionBy(owner).orderBy(position)
-    rows = queue.withColumn("round", F.row_number().over(mine)).withColumn("_first", F.min(position).over(Window.partitionBy(owner)))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("round", "_first"))).drop("_first")
+    mine = ordinals(queue.select(owner, position), [position], "_round", [owner])
+    first = queue.groupBy(owner).agg(F.min(position).alias("_first"))
+    rows = queue.join(mine, [owner, position]).join(first, owner).withColumn("round", F.col("_round") + 1)
+    ranked = ordinals(rows.select("round", "_first"), ["round", "_first"], "_rank")
+    return rows.join(ranked, ["round", "_first"]).withColumn("rank", F.col("_rank") + 1).drop("_first", "_round", "_rank")
 
 
 def queue_positions(items: DataFrame, order: str) -> DataFrame:
-    """Adds position, from 1."""
-    return items.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)))
+    """Adds position, from 1, by the unique column ``order``."""
+    return items.join(ordinals(items.select(order), [order], "_at"), order).withColumn("position", F.col("_at") + 1).drop("_at")
 
 
 def remaining(total: Column, reserved: Column, charged: Column) -> Column:

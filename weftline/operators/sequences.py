@@ -1,41 +1,55 @@
-"""Training sequences over the token address space."""
+"""Training sequences over the token address space.
+
+Documents stay arrays of tokens with a start address; sequences are cut from them by arithmetic, as shards are.  Only where a
+document or a sequence ends is the next one's first token needed.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def positions(addressed: DataFrame, tokens: str = "tokens", start: str = "start", by: list[str] | None = None) -> DataFrame:
-    """(*by, position, token): each token of documents with their start addresses."""
-    by = by or []
-    return addressed.select(*by, F.col(start).alias("_s"), F.posexplode(tokens).alias("_k", "token")).select(*by, (F.col("_s") + F.col("_k")).alias("position"), "token")
+def with_next(documents: DataFrame, by: list[str] | None = None, tokens: str = "tokens", start: str = "start") -> DataFrame:
+    """``documents`` that hold tokens, with next: the first token after the document within ``by``, null after the last one.
 
+    A document's end is the start of the next one that holds tokens, so the neighbour comes from an equi-join of addresses
+    with one token a row, not from a window over the stream.
+    """
+    by = by or []
+    held = documents.where(F.size(tokens) > 0).withColumn("_at", F.col(start) + F.size(tokens))
+    firsts = held.select(*by, F.col(start).alias("_at"), F.element_at(tokens, 1).alias("next"))
+    return held.join(firsts, [*by, "_at"], "left").drop("_at")
 
-def with_labels(stream: DataFrame, block: int = 1 << 20, by: list[str] | None = None) -> DataFrame:
-    """(*by, position, token, label): the label is the next token within ``by``, null after the last one.
 
-    Windows run inside blocks of positions; the first token of each block is also sent to the block before, so no window
-    spans the stream and no self-join is needed.
-    """
+def labelled(documents: DataFrame, by: list[str] | None = None, tokens: str = "tokens", start: str = "start") -> DataFrame:
+    """(*by, position, token, label): every token of documents with their start addresses; the label is the next token within
+    ``by``, null after the last one."""
     by = by or []
-    own = stream.select(*by, "position", "token", F.floor(F.col("position") / block).alias("_b"), F.lit(True).alias("_own"))
-    ahead = stream.where(F.pmod("position", F.lit(block)) == 0).select(*by, "position", "token", (F.floor(F.col("position") / block) - 1).alias("_b"), F.lit(False).alias("_own"))
-    both = own.unionByName(ahead)
-    label = F.lead("token").over(Window.partitionBy(*by, "_b").orderBy("position"))
-    return both.withColumn("label", label).where("_own").select(*by, "position", "token", "label")
+    rows = with_next(documents, by, tokens, start)
+    ahead = F.concat(F.slice(tokens, F.lit(2), F.size(tokens)), F.array("next"))
+    pairs = rows.select(*by, F.col(start).alias("_s"), F.posexplode(F.arrays_zip(F.col(tokens).alias("token"), ahead.alias("label"))).alias("_k", "_t"))
+    return pairs.select(*by, (F.col("_s") + F.col("_k")).alias("position"), F.col("_t")["token"].alias("token"), F.col("_t")["label"].alias("label"))
+
 
+def packed(documents: DataFrame, length: int, first: int = 0, last: int | None = None, by: list[str] | None = None, tokens: str = "tokens", start: str = "start") -> DataFrame:
+    """(*by, sequence, input_ids, labels): whole sequences of ``length`` tokens of [first, last) within ``by``, each with the
+    token after every one of its tokens; what is left is left out.
 
-def packed(labelled: DataFrame, length: int, first: int = 0, last: int | None = None, by: list[str] | None = None) -> DataFrame:
-    """(*by, sequence, input_ids, labels): whole sequences of ``length`` tokens of [first, last) within ``by``; the rest is left out."""
+    A sequence is made of slices: ``length`` tokens and one more, which the sequence after it begins with.
+    """
     by = by or []
-    rows = labelled.where(F.col("position") >= first)
+    s, n, at = F.col(start) - first, F.size(tokens).cast("long"), F.col("sequence") * length
+    most = F.floor((s + n - 1) / length)
     if last is not None:
-        rows = rows.where(F.col("position") < last)
-    rows = rows.where("label is not null").withColumn("sequence", F.floor((F.col("position") - first) / length))
-    held = rows.groupBy(*by, "sequence").agg(F.sort_array(F.collect_list(F.struct("position", "token", "label"))).alias("_t"))
-    return held.where(F.size("_t") == length).select(*by, "sequence", F.transform("_t", lambda t: t["token"]).alias("input_ids"), F.transform("_t", lambda t: t["label"]).alias("labels"))
+        most = F.least(most, F.lit((last - first) // length - 1))
+    least = F.greatest(F.lit(0).cast("long"), F.floor((s - 1) / length))
+    rows = documents.where((n > 0) & (most >= least)).withColumn("sequence", F.explode(F.sequence(least, most)))
+    low, high = F.greatest(s, at), F.least(s + n, at + length + 1)
+    slices = rows.where(high > low).select(*by, "sequence", F.struct(low.alias("low"), F.slice(tokens, (low - s + 1).cast("int"), (high - low).cast("int")).alias("part")).alias("piece"))
+    held = slices.groupBy(*by, "sequence").agg(F.flatten(F.transform(F.sort_array(F.collect_list("piece")), lambda x: x["part"])).alias("_t"))
+    return held.where(F.size("_t") == length + 1).select(*by, "sequence", F.slice("_t", 1, length).alias("input_ids"), F.slice("_t", 2, length).alias("labels"))
 
 
 def permutation(sequences: int, seed: int, chunk: int) -> list[int]:
@@ -43,6 +57,6 @@ def permutation(sequences: int, seed: int, chunk: int) -> list[int]:
     return np.random.default_rng(seed + chunk).permutation(np.arange(sequences, dtype=np.int64)).tolist()
 
 
-def largest_token(labelled: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The largest id among tokens and labels: one row, or one for each ``by``."""
-    return labelled.groupBy(*(by or [])).agg(F.max(F.greatest("token", F.coalesce("label", "token"))).alias("largest"))
+def largest_token(documents: DataFrame, by: list[str] | None = None, tokens: Column | str = "tokens") -> DataFrame:
+    """The largest id among tokens and labels, which are tokens too: one row, or one for each ``by``."""
+    return documents.groupBy(*(by or [])).agg(F.max(F.array_max(tokens)).alias("largest"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import collapse_space
+from weftline.operators.prefix import prefix_sum
 
 
 def word_length_tokens(text: Column, eos: int = 0) -> Column:
@@ -47,12 +48,20 @@ def capped(documents: DataFrame, limits: DataFrame, order: list[str], source: st
     """Rows (source, *order, tokens) that greedy caps accept: in order, a document is taken if it still fits under its source's
     limit, else skipped, and later, smaller ones are tried.  Sources without a limit are taken whole.
 
-    Each decision depends on all before it, so a source is one stream: narrow rows, sorted with spill, folded in constant
-    memory.  ``limits`` has (source, most).
+    Everything before a source's first document that does not fit is taken by a parallel prefix sum.  After it each decision
+    depends on all before it; only the documents no larger than what is left then go on, as narrow rows sorted with spill and
+    folded in constant memory.  ``limits`` has (source, most); ``order`` is unique within a source.
     """
     rows = documents.select(source, *order, tokens)
-    joined = rows.join(limits.select(F.col("source").alias(source), "most"), source, "left")
+    named = limits.select(F.col("source").alias(source), "most")
+    joined = rows.join(named, source, "left")
     free = joined.where("most is null").select(source, *order, tokens)
+    summed = prefix_sum(joined.where("most is not null"), order, tokens, "_before", [source]).join(named, source)
+    over = summed.where(F.col("_before") + F.col(tokens) > F.col("most"))
+    first = over.groupBy(source).agg(F.min(F.struct(*order)).alias("_first"), F.min_by("_before", F.struct(*order)).alias("_used"))
+    judged = summed.join(first, source, "left")
+    taken = judged.where(F.col("_first").isNull() | (F.struct(*order) < F.col("_first"))).select(source, *order, tokens)
+    later = judged.where((F.struct(*order) > F.col("_first")) & (F.col(tokens) <= F.col("most") - F.col("_used"))).select(source, *order, tokens, (F.col("most") - F.col("_used")).alias("most"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, used = None, 0
@@ -66,8 +75,8 @@ def capped(documents: DataFrame, limits: DataFrame, order: list[str], source: st
                 take.append(fits)
             yield pdf[np.array(take, bool)].drop(columns="most")
 
-    held = joined.where("most is not null").repartition(source).sortWithinPartitions(source, *order)
-    return free.unionByName(held.mapInPandas(fold, rows.schema))
+    held = later.repartition(source).sortWithinPartitions(source, *order)
+    return free.unionByName(taken).unionByName(held.mapInPandas(fold, taken.schema))
 
 
 def shard_pieces(addressed: DataFrame, size: int, start: str = "start", tokens: str = "n") -> DataFrame:

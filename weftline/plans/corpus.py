@@ -133,45 +133,29 @@ def split_of(column: str = "split") -> Column:
     return F.coalesce(column, F.lit("train"))
 
 
-def _stream(spark: SparkSession, d: str, *only: str) -> DataFrame:
-    """(split, position, token, label) of all processed records, or of some splits; each split is a stream of its own."""
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """(split, record_id, tokens, start) of all processed records; each split is a stream of its own."""
     records = table(spark, d, "processed_records").withColumn("split", split_of())
-    if only:
-        records = records.where(F.col("split").isin(*only))
     rows = records.select("split", "record_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
     starts = prefix_sum(rows.select("split", "record_id", F.size("tokens").cast("long").alias("n")), ["record_id"], "n", by=["split"])
-    return sequences.with_labels(sequences.positions(rows.join(starts, ["split", "record_id"]), by=["split"]), by=["split"])
+    return rows.join(starts, ["split", "record_id"])
 
 
 def next_token(spark: SparkSession, d: str) -> DataFrame:
-    """Of the validation records only, as its SQL; ``next_token_splits`` has all."""
-    return _stream(spark, d, "validation").drop("split")
-
-
-def next_token_splits(spark: SparkSession, d: str) -> DataFrame:
-    return _stream(spark, d)
-
-
-def _joined(packed: DataFrame, *by: str) -> DataFrame:
-    return packed.select(*by, "sequence", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"))
+    """Every token of every split with its address and the token after it."""
+    return sequences.labelled(_stream(spark, d), ["split"])
 
 
 def sequence_packing(spark: SparkSession, d: str) -> DataFrame:
-    """Of the validation records only, as its SQL; ``sequence_packing_splits`` has all."""
-    return _joined(sequences.packed(_stream(spark, d, "validation"), LENGTH))
-
-
-def sequence_packing_splits(spark: SparkSession, d: str) -> DataFrame:
-    return _joined(sequences.packed(_stream(spark, d), LENGTH, by=["split"]), "split")
+    """Every whole training sequence of every split, tokens and labels."""
+    packed = sequences.packed(_stream(spark, d), LENGTH, by=["split"])
+    return packed.select("split", "sequence", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"))
 
 
 def vocab_check(spark: SparkSession, d: str) -> DataFrame:
-    """Of the validation records only, as its SQL; ``vocab_check_splits`` has all."""
-    return sequences.largest_token(_stream(spark, d, "validation"))
-
-
-def vocab_check_splits(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.largest_token(_stream(spark, d), ["split"])
+    """The largest token id of each split."""
+    records = table(spark, d, "processed_records").select(split_of().alias("split"), tokens.word_length_tokens(F.col("text")).alias("tokens"))
+    return sequences.largest_token(records, ["split"])
 
 
 def _shards(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +169,9 @@ def source_count_maps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_chunk_plan(spark: SparkSession, d: str) -> DataFrame:
-    return shuffle.chunks(shuffle.source_counts(_shards(spark, d)), CHUNK, ["shard_id"], ["source"])
+    """Runs of sources cut into chunks; in a shard sources lie as they first appear over all shards."""
+    runs = shuffle.with_first(shuffle.source_counts(_shards(spark, d)), "shard_id")
+    return shuffle.chunks(runs, CHUNK, ["shard_id"], ["first", "source"])
 
 
 def balanced_chunk_schedule(spark: SparkSession, d: str) -> DataFrame:
@@ -201,21 +187,12 @@ def shard_audit(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("shard_id", F.array_join(wrong, ",").alias("wrong")).agg(F.count("*").alias("rows"))
 
 
-def _located(spark: SparkSession, d: str, step: int) -> DataFrame:
+def shard_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every address with the shard that holds it."""
     shards = shuffle.source_counts(_shards(spark, d)).groupBy("shard_id").agg(F.sum("tokens").alias("tokens"))
     addressed = shards.select("shard_id").join(prefix_sum(shards, ["shard_id"], "tokens", "offset"), "shard_id")
     end = addressed.agg(F.max(F.col("offset") + F.col("tokens"))).first()[0] or 0
-    return tokens.locate(spark.range(0, end, step).withColumnRenamed("id", "position"), addressed).select("position", "shard_id", "place")
-
-
-def shard_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Every 997th address with the shard that holds it, as its SQL; ``shard_lookup_every`` has all."""
-    return _located(spark, d, 997)
-
-
-def shard_lookup_every(spark: SparkSession, d: str) -> DataFrame:
-    """Every address with the shard that holds it."""
-    return _located(spark, d, 1)
+    return tokens.locate(spark.range(0, end).withColumnRenamed("id", "position"), addressed).select("position", "shard_id", "place")
 
 
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -242,7 +219,6 @@ QUERIES = {
     for f in (
         clean_dedup_split, postprocess_stats, stats_by_source, blend_allocation, download_tasks, download_shards, download_budget_prefix, token_estimates, download_stats,
         processed_shuffle, shuffle_buckets, token_counts, token_shards, train_token_cap, next_token, sequence_packing, vocab_check, source_count_maps, token_chunk_plan,
-        next_token_splits, sequence_packing_splits, vocab_check_splits, shard_lookup_every,
         balanced_chunk_schedule, shard_audit, shard_lookup, secret_scan, failure_redaction, white_space,
     )
 }
@@ -269,12 +245,6 @@ with c as (
 _WORDS = f"list_filter(string_split({collapsed('text')}, ' '), lambda w: w <> '')"
 _TOKENS = f"list_append(list_transform({_WORDS}, lambda w: cast(length(w) as bigint)), 0)"
 
-_STREAM = f"""
-with r as (select record_id, {_TOKENS} as t from processed_records where split = 'validation'),
-s as (select record_id, t, coalesce(sum(len(t)) over (order by record_id rows between unbounded preceding and 1 preceding), 0) as start from r),
-p as (select cast(start + i as bigint) as position, t[i + 1] as token from (select start, t, unnest(range(len(t))) as i from s)),
-l as (select position, token, lead(token) over (order by position) as label from p)"""
-
 _STREAMS = f"""
 with r as (select coalesce(split, 'train') as split, record_id, {_TOKENS} as t from processed_records),
 s as (select split, record_id, t, coalesce(sum(len(t)) over (partition by split order by record_id rows between unbounded preceding and 1 preceding), 0) as start from r),
@@ -286,6 +256,14 @@ with o as (select shard_id, any_value(source_token_counts) as m from token_shard
 e as (select shard_id, coalesce(nullif(trim(k), ''), 'unknown') as source, m[k] as v from (select shard_id, m, unnest(map_keys(m)) as k from o)),
 c as (select shard_id, source, cast(sum(v) as bigint) as tokens from e group by 1, 2 having sum(v) > 0)"""
 
+_CHUNKS = (
+    _SHARDS
+    + f""", f as (select *, min(shard_id) over (partition by source) as first from c),
+s as (select *, coalesce(sum(tokens) over (partition by shard_id order by first, source rows between unbounded preceding and 1 preceding), 0) as start from f),
+k as (select shard_id, source, tokens, cast(start as bigint) as start, unnest(range((tokens - 1) // {CHUNK} + 1)) as chunk from s),
+u as (select shard_id, source, chunk, start + chunk * {CHUNK} as "offset", least({CHUNK}, tokens - chunk * {CHUNK}) as tokens from k)"""
+)
+
 _KEYED = f"""
 with o as (select *, row_number() over (partition by split order by record_id) - 1 as ordinal from processed_records),
 k as (select record_id, split, sha256(concat_ws(chr(0), '{SEED}', split, cast(ordinal as varchar), coalesce(nullif(trim(document_hash), ''), 'record:' || record_id))) as key from o),
@@ -341,21 +319,17 @@ f as (
   select o.source_id, o.record_id, o.n, o.k, f.used + o.n <= {CAP}, f.used + case when f.used + o.n <= {CAP} then o.n else 0 end from f join o on o.source_id = f.source_id and o.k = f.k + 1
 )
 select source_id, record_id, n from f where taken union all select source_id, record_id, n from t where source_id not in (select source from l)""",
-    "next_token": _STREAM + " select position, token, label from l",
-    "sequence_packing": _STREAM
-    + f""", q as (select position // {LENGTH} as sequence, string_agg(cast(token as varchar), ',' order by position) as input_ids, string_agg(cast(label as varchar), ',' order by position) as labels, count(label) as n from l where label is not null group by 1)
-select sequence, input_ids, labels from q where n = {LENGTH}""",
-    "vocab_check": _STREAM + " select max(token) as largest from l",
-    "next_token_splits": _STREAMS + " select split, position, token, label from l",
-    "sequence_packing_splits": _STREAMS
+    "next_token": _STREAMS + " select split, position, token, label from l",
+    "sequence_packing": _STREAMS
     + f""", q as (select split, position // {LENGTH} as sequence, string_agg(cast(token as varchar), ',' order by position) as input_ids, string_agg(cast(label as varchar), ',' order by position) as labels, count(label) as n from l where label is not null group by 1, 2)
 select split, sequence, input_ids, labels from q where n = {LENGTH}""",
-    "vocab_check_splits": _STREAMS + " select split, max(token) as largest from l group by 1",
+    "vocab_check": _STREAMS + " select split, max(token) as largest from l group by 1",
     "source_count_maps": _SHARDS + " select shard_id, source, tokens from c",
-    "token_chunk_plan": _SHARDS
-    + f""", s as (select *, coalesce(sum(tokens) over (partition by shard_id order by source rows between unbounded preceding and 1 preceding), 0) as start from c),
-k as (select shard_id, source, tokens, cast(start as bigint) as start, unnest(range((tokens - 1) // {CHUNK} + 1)) as chunk from s)
-select shard_id, source, chunk, start + chunk * {CHUNK} as "offset", least({CHUNK}, tokens - chunk * {CHUNK}) as tokens from k""",
+    "token_chunk_plan": _CHUNKS + ' select shard_id, source, chunk, "offset", tokens from u',
+    "balanced_chunk_schedule": _CHUNKS
+    + f""", h as (select *, sha256(concat_ws(chr(0), '{SEED}', source, cast(shard_id as varchar), cast("offset" as varchar))) as h from u),
+b as (select *, coalesce(sum(tokens) over (partition by source order by h rows between unbounded preceding and 1 preceding), 0) as before, sum(tokens) over (partition by source) as whole from h)
+select shard_id, source, chunk, "offset", tokens, row_number() over (order by cast(2 * before + tokens as double) / cast(2 * whole as double), h) - 1 as step from b""",
     "shard_audit": """
 with w as (select shard_id, concat_ws(',', case when coalesce(tokens <> list_sum(map_values(source_token_counts)), true) then 'tokens' end, case when coalesce(dtype <> 'uint32', true) then 'dtype' end,
  case when coalesce(byte_order <> 'little', true) then 'byte_order' end, case when not coalesce(regexp_full_match(sha256, '[0-9a-f]{64}'), false) then 'sha256' end) as wrong from token_shards)
@@ -363,10 +337,6 @@ select shard_id, wrong, count(*) as rows from w group by 1, 2""",
     "shard_lookup": _SHARDS
     + """, s as (select shard_id, cast(sum(tokens) as bigint) as tokens from c group by 1),
 a as (select shard_id, tokens, cast(coalesce(sum(tokens) over (order by shard_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from s)
-select x.position, shard_id, x.position - start as place from range(0, (select max(start + tokens) from a), 997) as x(position) join a on x.position >= start and x.position < start + tokens""",
-    "shard_lookup_every": _SHARDS
-    + """, s as (select shard_id, cast(sum(tokens) as bigint) as tokens from c group by 1),
-a as (select shard_id, tokens, cast(coalesce(sum(tokens) over (order by shard_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from s)
 select x.position, shard_id, x.position - start as place from range(0, (select max(start + tokens) from a)) as x(position) join a on x.position >= start and x.position < start + tokens""",
     "secret_scan": f"select {_DOC} as source, count(*) filter ({' or '.join(f'contains(text, {quoted(s)})' for s in SECRETS)}) as documents, bool_or({' or '.join(f'contains(text, {quoted(s)})' for s in SECRETS)}) as found from documents group by 1",
     "failure_redaction": rf"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,62 +43,46 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(ordinals(rows, ["file_idx", "line_no"]), ["file_idx", "line_no"]).select("record_id", "text", "ordinal")
 
 
-def _tokens(spark: SparkSession, d: str, split: str) -> DataFrame:
-    rows = table(spark, d, "processed_records").where("text is not null").where(corpus.split_of() == split)
-    return rows.select(corpus.source("source_id").alias("source_id"), "record_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "processed_records").where("text is not null")
+    return rows.select(corpus.split_of().alias("split"), corpus.source("source_id").alias("source_id"), "record_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
 
 
-def _splits(spark: SparkSession, d: str) -> list[str]:
-    """Splits that have tokens; a text has at least its end token."""
-    return sorted(r[0] for r in table(spark, d, "processed_records").where("text is not null").select(corpus.split_of()).distinct().collect())
+def _by_split(spark: SparkSession, d: str, through: Callable[[DataFrame], str]) -> DataFrame:
+    """(split, position, token) of each split's tokens, written and read back by ``through``, which gives the index to read.
 
-
-def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
-    out = spark.createDataFrame([], schema)
-    for p in parts:
-        out = out.unionByName(p)
+    A corpus has a few splits, each with an index of its own; a text has at least its end token.
+    """
+    rows = _tokens(spark, d)
+    out = spark.createDataFrame([], "split string, position long, token long")
+    for (split,) in sorted(rows.select("split").distinct().collect()):
+        uri = through(rows.where(F.col("split") == split).drop("split"))
+        shards.load_index(uri, full=True)
+        out = out.unionByName(shards.read_range(spark, uri, block=1500).select(F.lit(split).alias("split"), "position", "token"))
     return out
 
 
 def shard_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of the validation records written as binary shards, audited, and positions 100 to 4100 read back by address, as its
-    SQL; ``shard_round_trip_splits`` has all."""
-    at = _place(spark, "shards")
-    shards.write_shards(_tokens(spark, d, "validation"), ["record_id"], at, SHARD)
-    shards.load_index(f"{at}/index.json", full=True)
-    return shards.read_range(spark, f"file://{at}/index.json", 100, 4100, block=1500)
-
-
-def shard_round_trip_splits(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each split written as binary shards of its own, audited, and all read back by address."""
-    parts = []
-    for split in _splits(spark, d):
-        at = _place(spark, "shards")
-        shards.write_shards(_tokens(spark, d, split), ["record_id"], at, SHARD)
-        shards.load_index(f"{at}/index.json", full=True)
-        parts.append(shards.read_range(spark, f"file://{at}/index.json", block=1500).select(F.lit(split).alias("split"), "position", "token"))
-    return _union(parts, spark, "split string, position long, token long")
 
+    def through(rows: DataFrame) -> str:
+        at = _place(spark, "shards")
+        shards.write_shards(rows, ["record_id"], at, SHARD)
+        return f"file://{at}/index.json"
 
-def _reordered(spark: SparkSession, d: str, split: str) -> DataFrame:
-    """(position, token) of a split's shards after their chunks were put in the balanced order."""
-    a, b = _place(spark, "shards"), _place(spark, "shuffled")
-    shards.write_shards(_tokens(spark, d, split), ["record_id"], a, SHARD)
-    shards.shuffle_corpus(spark, f"file://{a}/index.json", b, corpus.CHUNK, corpus.SEED)
-    shards.load_index(f"{b}/index.json", full=True)
-    return shards.read_range(spark, f"file://{b}/index.json")
+    return _by_split(spark, d, through)
 
 
 def corpus_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    """The validation shards rewritten in the balanced order of their chunks: how often each token stands there, as its SQL;
-    ``corpus_shuffle_splits`` has all."""
-    return _reordered(spark, d, "validation").groupBy("token").agg(F.count("*").alias("n"))
+    """The shards of each split rewritten in the stride order of their chunks, and every token read back by its new address."""
 
+    def through(rows: DataFrame) -> str:
+        a, b = _place(spark, "shards"), _place(spark, "shuffled")
+        shards.write_shards(rows, ["record_id"], a, SHARD)
+        shards.shuffle_corpus(spark, f"file://{a}/index.json", b, corpus.CHUNK, corpus.SEED)
+        return f"file://{b}/index.json"
 
-def corpus_shuffle_splits(spark: SparkSession, d: str) -> DataFrame:
-    """The shards of each split rewritten in the balanced order of their chunks: how often each token stands there."""
-    parts = [_reordered(spark, d, s).groupBy("token").agg(F.count("*").alias("n")).select(F.lit(s).alias("split"), "token", "n") for s in _splits(spark, d)]
-    return _union(parts, spark, "split string, token long, n long")
+    return _by_split(spark, d, through)
 
 
 def ledger_export(spark: SparkSession, d: str) -> DataFrame:
@@ -110,11 +95,15 @@ def ledger_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshot_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Ledger tables saved as one snapshot and restored: rows of each."""
+    """Ledger tables saved as one snapshot and restored: every row of each, its columns as one text."""
     at = _place(spark, "snapshot")
-    tables.save_tables({n: table(spark, d, n) for n in ("budget_snapshots", "experiments", "resume_snapshots")}, at)
-    found = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in sorted(tables.load_tables(spark, at).items())]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    tables.save_tables({n: table(spark, d, n) for n in _TEXTS}, at)
+    back = tables.load_tables(spark, at, set(_TEXTS))
+    out = spark.createDataFrame([], "name string, key string, content string")
+    for name, (key, columns) in _TEXTS.items():
+        content = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+        out = out.unionByName(back[name].select(F.lit(name).alias("name"), F.col(key).cast("string").alias("key"), content.alias("content")))
+    return out
 
 
 def corpus_build(spark: SparkSession, d: str) -> DataFrame:
@@ -125,17 +114,37 @@ def corpus_build(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "split string, source string, tokens long")
 
 
-QUERIES = {f.__name__: f for f in (jsonl_round_trip, shard_round_trip, shard_round_trip_splits, corpus_shuffle, corpus_shuffle_splits, ledger_export, snapshot_round_trip, corpus_build)}
+QUERIES = {f.__name__: f for f in (jsonl_round_trip, shard_round_trip, corpus_shuffle, ledger_export, snapshot_round_trip, corpus_build)}
 
 _COUNTED = f"len(list_filter(string_split({collapsed('cleaned')}, ' '), lambda w: w <> '')) + 1"
 
+#: Chunks of each split's shards in the stride order, joined with the tokens they hold.
+_REORDERED = f"""
+with r as (select coalesce(split, 'train') as split, record_id, {corpus._REC} as source, {corpus._TOKENS} as t from processed_records where text is not null),
+s as (select *, coalesce(sum(len(t)) over (partition by split order by record_id rows between unbounded preceding and 1 preceding), 0) as start from r),
+p as (select split, source, cast(start + i as bigint) as position, t[i + 1] as token from (select *, unnest(range(len(t))) as i from s)),
+q as (select split, position // {SHARD} as shard, source, count(*) as tokens from p group by 1, 2, 3),
+f as (select *, min(shard) over (partition by split, source) as first from q),
+g as (select *, cast(coalesce(sum(tokens) over (partition by split, shard order by first, source rows between unbounded preceding and 1 preceding), 0) as bigint) as start from f),
+k as (select *, unnest(range((tokens - 1) // {corpus.CHUNK} + 1)) as chunk from g),
+u as (select split, shard, source, start + chunk * {corpus.CHUNK} as off, least({corpus.CHUNK}, tokens - chunk * {corpus.CHUNK}) as n from k),
+h as (select *, sha256(concat_ws(chr(0), '{corpus.SEED}', source, cast(shard as varchar), cast(off as varchar))) as h from u),
+b as (select *, coalesce(sum(n) over (partition by split, source order by h rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over (partition by split, source) as whole from h),
+w as (select split, shard * {SHARD} + off as old, n, cast(coalesce(sum(n) over (partition by split order by cast(2 * before + n as double) / cast(2 * whole as double), h rows between unbounded preceding and 1 preceding), 0) as bigint) as new from b)
+select p.split, new + position - old as position, token from p join w on p.split = w.split and position >= old and position < old + n"""
+
+#: The columns of a snapshot's tables as one text, null as nothing.
+_TEXTS = {
+    "budget_snapshots": ("student_id", ["total_seconds", "reserved_seconds", "charged_seconds", "remaining_seconds"]),
+    "experiments": ("experiment_id", ["student_id", "status", "failure_reason", "used_runtime_seconds", "completed_at", "failed_at", "config_hash", "provider_job_id", "resolved_config.total_optimizer_steps"]),
+    "resume_snapshots": ("snapshot_id", ["download_id", "logical_source_id", "status", "scanned_documents", "written_documents", "estimated_tokens", "stop_reason"]),
+}
+
 SQL = {
     "jsonl_round_trip": "select record_id, text, row_number() over (order by file_idx, line_no) - 1 as ordinal from raw_records",
-    "shard_round_trip": corpus._STREAM + " select position, token from l where position >= 100 and position < 4100",
-    "shard_round_trip_splits": corpus._STREAMS + " select split, position, token from l",
-    "corpus_shuffle": corpus._STREAM + " select token, count(*) as n from l group by 1",
-    "corpus_shuffle_splits": corpus._STREAMS + " select split, token, count(*) as n from l group by 1, 2",
+    "shard_round_trip": corpus._STREAMS + " select split, position, token from l",
+    "corpus_shuffle": _REORDERED,
     "ledger_export": "select experiment_id, status, coalesce(cast(used_runtime_seconds as varchar), '') as used_runtime_seconds, cast(final_validation_loss is not null as varchar) as has_loss from experiments",
-    "snapshot_round_trip": "select 'budget_snapshots' as name, count(*) as rows from budget_snapshots union all select 'experiments', count(*) from experiments union all select 'resume_snapshots', count(*) from resume_snapshots",
+    "snapshot_round_trip": " union all ".join(f"select '{n}' as name, cast({k} as varchar) as key, concat_ws('|', {', '.join(f"coalesce(cast({c} as varchar), '')" for c in cs)}) as content from {n}" for n, (k, cs) in _TEXTS.items()),
     "corpus_build": corpus._JUDGED + f" select outcome as split, {corpus._REC} as source, cast(sum({_COUNTED}) as bigint) as tokens from j where outcome in ('train', 'validation') group by 1, 2",
 }

@@ -43,11 +43,10 @@ def event_log_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_losses(spark: SparkSession, d: str) -> DataFrame:
-    """Losses of each run in order of arrival, repeats and late events left out."""
+    """Number, first, last and lowest loss of each run in order of arrival, repeats and late events left out."""
     kept = ledger.idempotent(_events(spark, d), "delivery_id").where("not repeat")
     live = ledger.before_terminal(kept, ["run_id"], "delivery_id", F.col("type").isin(*TERMINAL)).where("not late and type = 'validation'")
-    losses = ledger.values_in_order(live.withColumn("loss", F.col("payload")["validation_loss"].try_cast("double")), ["run_id"], "delivery_id", "loss", "losses")
-    return losses.select("run_id", *ledger.loss_summary(F.col("losses")))
+    return ledger.loss_totals(live.withColumn("loss", F.col("payload")["validation_loss"].try_cast("double")), ["run_id"], "delivery_id", "loss")
 
 
 def run_state(spark: SparkSession, d: str) -> DataFrame:
