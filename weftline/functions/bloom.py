@@ -57,7 +57,7 @@ class Shape:
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """Part and 32 bits of each value, in one number."""
-        u = h.astype(np.int64).view(np.uint64)
+        u = h.view(np.uint64)
         part = np.zeros(len(u), np.uint64) if self.parts == 1 else (u ^ _SIGN) >> self._shift
         return part << np.uint64(32) | mix(u) & np.uint64(0xFFFFFFFF)
 
@@ -82,7 +82,11 @@ def _set(table: np.ndarray, places: list[tuple[np.ndarray, np.ndarray]], which:
         np.bitwise_or.at(table, at[which], bit[which])
 
 
-def _builder(shape: Shape) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _first_column(pdf: pd.DataFrame) -> np.ndarray:
+    return pdf.iloc[:, 0].to_numpy(np.int64)
+
+
+def _builder(shape: Shape, values: Callable[[pd.DataFrame], np.ndarray] = _first_column) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     size = shape.part_bits // 8
 
     def packed(x: np.ndarray) -> tuple[bool, bytes]:
@@ -105,7 +109,7 @@ def _builder(shape: Shape) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
         for pdf in batches:
-            h = pdf.iloc[:, 0].to_numpy(np.int64)
+            h = values(pdf)
             if len(h):
                 held.append(shape.codes(h))
                 rows += len(h)
@@ -152,29 +156,60 @@ def _merger(shape: Shape, again_too: bool) -> Callable[[Iterator[pd.DataFrame]],
     return merge
 
 
+_SENT = "part long, once_bits boolean, once binary, again_bits boolean, again binary"
+
+
+def _merged(sent: DataFrame, shape: Shape, again_too: bool) -> DataFrame:
+    """(part, bits) of what tasks sent."""
+    tasks = min(shape.parts, 4 * sent.sparkSession.sparkContext.defaultParallelism)
+    return sent.repartition(tasks, "part").sortWithinPartitions("part").mapInPandas(_merger(shape, again_too), "part long, bits binary")
+
+
 def _parts(hashes: DataFrame, shape: Shape, again_too: bool) -> DataFrame:
     """(part, bits) of the filter of the one column of ``hashes``."""
-    name = hashes.columns[0]
-    sent = few(hashes.where(F.col(name).isNotNull())).mapInPandas(_builder(shape), "part long, once_bits boolean, once binary, again_bits boolean, again binary")
-    return sent.repartition(min(shape.parts, 4 * hashes.sparkSession.sparkContext.defaultParallelism), "part").sortWithinPartitions("part").mapInPandas(_merger(shape, again_too), "part long, bits binary")
+    sent = few(hashes.where(F.col(hashes.columns[0]).isNotNull())).mapInPandas(_builder(shape), _SENT)
+    return _merged(sent, shape, again_too)
+
+
+class Tester:
+    """The test of a filter's pass on arrays of values, to be called in tasks: false only for values the filter does not hold."""
+
+    def __init__(self, spark, rows: list, shape: Shape, first: int = 0) -> None:
+        self.held = spark.sparkContext.broadcast({r["part"] - first: bytes(r["bits"]) for r in rows})
+        self.shape, self.first, self._table = shape, first, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        size, parts = self.shape.part_bits // 8, self.shape.parts // self.shape.passes
+        if self._table is None:
+            self._table = np.zeros(size * parts, np.uint8)
+            for k, packed in self.held.value.items():
+                self._table[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        codes = self.shape.codes(h)
+        part = np.clip((codes >> np.uint64(32)).astype(np.int64) - self.first, 0, parts - 1)
+        return _has(self._table, self.shape.places(codes & np.uint64(0xFFFFFFFF)), part * size)
+
+
+def tester(rows: DataFrame, values: Callable[[pd.DataFrame], np.ndarray], bits: int) -> Tester:
+    """A test on arrays of 64-bit values that ``values`` finds in pieces of ``rows``; at most PASS_BITS."""
+    shape = Shape(bits)
+    if shape.passes > 1:
+        raise ValueError(f"a filter of {bits} bits takes several passes")
+    return Tester(rows.sparkSession, _merged(few(rows).mapInPandas(_builder(shape, values), _SENT), shape, False).collect(), shape)
 
 
-def _probe(spark, rows: list, shape: Shape, first: int = 0) -> tuple[Callable[[Column], Column], object]:
-    """The test of one pass, whose parts begin at ``first``; and what was sent for it."""
-    held = spark.sparkContext.broadcast({r["part"] - first: bytes(r["bits"]) for r in rows})
-    size, parts = shape.part_bits // 8, shape.parts // shape.passes
+def _probe(spark, rows: list, shape: Shape, first: int = 0) -> tuple[Callable[[Column], Column], Tester]:
+    """The test of one pass, whose parts begin at ``first``, on a column."""
+    test = Tester(spark, rows, shape, first)
 
     @F.pandas_udf("boolean")
     def probe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = np.zeros(size * parts, np.uint8)
-        for k, packed in held.value.items():
-            table[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
         for s in batches:
-            codes = shape.codes(s.to_numpy(np.int64))
-            part = np.clip((codes >> np.uint64(32)).astype(np.int64) - first, 0, parts - 1)
-            yield pd.Series(_has(table, shape.places(codes & np.uint64(0xFFFFFFFF)), part * size))
+            yield pd.Series(test(s.to_numpy(np.int64)))
 
-    return (lambda column: column.isNotNull() & probe(F.coalesce(column, F.lit(0).cast("long")))), held  # nulls would turn longs into doubles
+    return (lambda column: column.isNotNull() & probe(F.coalesce(column, F.lit(0).cast("long")))), test  # nulls would turn longs into doubles
 
 
 def _filter(hashes: DataFrame, bits: int, again_too: bool) -> Callable[[Column], Column]:
@@ -215,7 +250,7 @@ def marked_repeats(table: DataFrame, column: str, rows: int, name: str = "maybe"
         low, high = shape.range(k)
         test, held = _probe(spark, parts.where(F.col("part").between(k * per, (k + 1) * per - 1)).collect(), shape, k * per)
         table.where(F.col(column).between(low, high)).withColumn(name, test(F.col(column))).write.mode("append").parquet(path)
-        held.destroy()
+        held.held.destroy()
     table.where(F.col(column).isNull()).withColumn(name, F.lit(False)).write.mode("append").parquet(written(spark, path))
     return spark.read.parquet(path)
 
