@@ -55,6 +55,12 @@ def p4_by_split(spark: SparkSession, d: str) -> DataFrame:
     return overlap.by_split_and_source(*_held_out(spark, d))
 
 
+def p4_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with its class of equal vectors of counted word pairs, and how many classes of the other side have a cosine of 0.8 or more with it."""
+    found = overlap.linked(overlap.overlaps(_table(spark, d, "processed_records"), 0.8, n=2, weights="tf"))
+    return found.select(F.col("id").alias("record_id"), F.col("class").alias("class_id"), "links")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every member but the smallest of each group of same records."""
     same = formatting.grouped(_table(spark, d, "raw_records"))
@@ -113,7 +119,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups, p4_found, p4_by_split, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups, p4_found, p4_by_split, p4_weighted, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares, p9_found, p9_shared)}
 
 _TOKENS = "greatest(1, length(text) // 4)"
 
@@ -121,6 +127,7 @@ SQL = {
     "p2_found": sqltext.P2,
     "p4_found": sqltext.P4,
     "p4_by_split": sqltext.P4_COUNTS,
+    "p4_weighted": sqltext.P4_WEIGHTED,
     "p7_found": sqltext.P7,
     "p9_found": sqltext.P9,
     "p6_found": f"""

@@ -46,6 +46,18 @@ P4_COUNTS = P4.rsplit("select least", 1)[0] + """
 select split, nullif(lower(trim(source_id)), '') as source, count(*) as records, count(h.b) as found
 from processed_records r left join (select distinct b from pairs) h on h.b = r.record_id where split is not null and split <> 'train' group by 1, 2"""
 
+#: Vectors of counted word pairs: classes of equal ones of one side, cosines between classes of the two sides.
+P4_WEIGHTED = f"""
+with r as (select record_id as id, split = 'train' as train, {words('text')} as w from processed_records where text is not null and split is not null),
+p as (select id, train, concat_ws(' ', w[i + 1], w[i + 2]) as s from (select id, train, w, unnest(range(len(w) - 1)) as i from r)),
+v as (select id, train, s, count(*) as n from p group by 1, 2, 3),
+m as (select id, train, string_agg(s || chr(0) || n, chr(1) order by s) as vector, sqrt(sum(n * n)) as norm from v group by 1, 2),
+c as (select id, train, norm, min(id) over (partition by train, vector) as class_id from m),
+k as (select v.*, norm from v join c using (id) where c.id = c.class_id),
+l as (select x.id as a, y.id as b from k x join k y on x.s = y.s and x.train and not y.train group by 1, 2 having sum(x.n * y.n) / any_value(x.norm * y.norm) >= 0.8 - 1e-9),
+e as (select a as class_id, count(*) as links from l group by 1 union all select b, count(*) from l group by 1)
+select c.id as record_id, c.class_id, coalesce(links, 0) as links from c left join e on e.class_id = c.class_id"""
+
 P7 = f"""
 with d as ({shingles('documents', 'doc_id', 12)}), i as ({shingles('benchmark', 'item_id', 12)})
 select distinct d.id as doc_id, i.id as item_id from d join i on d.s = i.s"""
