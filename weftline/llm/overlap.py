@@ -33,7 +33,7 @@ from weftline.scratch import cut
 
 EPSILON = 1e-6
 #: How far below the bound the part that is not indexed must lie: indexing more leaves fewer pairs to verify.
-SLACK = 0.12
+SLACK = 0.04
 #: Cells of term statistics, at most; four bytes each are sent to every task.
 CELLS = 1 << 22
 #: Cells that are merged together.
@@ -256,22 +256,22 @@ def overlaps(records: DataFrame, least_cosine: float, n: int = 5, weights: str =
     vectors = cut(rows.mapInPandas(_vectors(n, weights), _VECTOR), "vectors")
     firsts = cut(vectors.groupBy("train", "a", "b").agg(F.min("id").alias("class")), "vector-classes")
     members = cut(vectors.select("id", "train", "a", "b").join(firsts, ["train", "a", "b"]).select("id", "train", "class"), "members")
-    distinct = cut(bloom.without(vectors, members.where("id <> class").select("id")).select("id", "train", "size", "terms", "times"), "distinct-vectors")
     sums = {r["train"]: r["n"] for r in vectors.groupBy("train").agg(F.sum("size").alias("n")).collect()}
-    cells = min(cells, max(1 << 12, bloom.bits_for(max(sums.values(), default=0)) // 16))
-    known = _cells(distinct, cells)
+    cells = min(cells, max(1 << 12, bloom.bits_for(max(sums.values(), default=0)) // 64))
+    known = _cells(vectors, cells)  # copies raise counts and change no bound
+    distinct = bloom.without(vectors.select("id", "train", "size", "terms", "times"), members.where("id <> class").select("id"))
     test: dict[bool, bloom.Tester | None] = {True: None, False: None}
     for side in test:  # cells alone tell terms of one side where there are enough of them; beyond one pass of a filter, lists are joined unfiltered
         bits = bloom.bits_for(sums.get(side, 0))
-        if sums.get(side, 0) > cells and bits <= bloom.PASS_BITS:
-            test[side] = bloom.tester(distinct.where(F.col("train") == side).select("terms"), _flat, bits)
+        if sums.get(side, 0) > 8 * cells and bits <= bloom.PASS_BITS:
+            test[side] = bloom.tester(vectors.where(F.col("train") == side).select("terms"), _flat, bits)
     lists = cut(distinct.mapInPandas(_lists(spark.sparkContext.broadcast(known), test[False], test[True], least_cosine, slack), "key long, id long, train boolean, w float, rest float"), "lists")
     a = lists.where("train").select(F.col("id").alias("a"), "key", F.col("w").alias("wa"), F.col("rest").alias("ra"))
     b = lists.where("not train").select(F.col("id").alias("b"), "key", F.col("w").alias("wb"), F.col("rest").alias("rb"))
     met = a.join(b, "key").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max(F.greatest("ra", "rb")).alias("rest"))
     pairs = cut(met.where(F.col("part") + F.col("rest") >= least_cosine - EPSILON).select("a", "b"), "candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    stored = bloom.meeting(distinct, ids)
+    stored = bloom.meeting(vectors, ids)
     x, y = (stored.select(F.col("id").alias(s), F.col("terms").alias(f"x{s}"), F.col("times").alias(f"t{s}")) for s in "ab")
     links = pairs.join(x, "a").join(y, "b").mapInPandas(_products, "a long, b long, cosine double, jaccard double").where(F.col("cosine") >= least_cosine - 1e-9)
     return Overlaps(members, links)
