@@ -208,6 +208,17 @@ def test_cosine_of_term_counts(spark):
 # 5
 
 
+def test_collapse_in_passes_and_with_a_hot_group(spark):
+    """A group of a third of all records; the filter as large as ever but sent in 1, 4 and 16 passes."""
+    texts = ["The same, text."] * 500 + ["THE SAME TEXT"] * 500 + [f"text {k}" for k in range(1500)] + [None] * 250 + ["!"] * 250
+    df = frame(spark, texts, "record_id")
+    for pass_bits in (1 << 28, 1 << 14, 1 << 12):
+        got = {r.id: r.copies for r in formatting.collapsed(df, pass_bits=pass_bits).collect()}
+        assert got == {0: 1000} | {k: 1 for k in range(1000, 3000)}
+        rows = formatting.grouped(df, pass_bits=pass_bits)
+        assert rows.count() == 3000 and rows.where("first = 0 and copies = 1000").count() == 1000
+
+
 def test_canonical_forms():
     same = [
         ['{"a": 1, "b": {"c": "X y", "d": [1, 2]}}', '{ "B": {"d": [1,2], "c": "x-Y"}, "A": "1" }'],
@@ -339,6 +350,59 @@ def test_other_numbers_names_and_units(spark):
         assert got[0, 1].exact_runs == 0 and got[0, 1].other_runs == 11
         assert got[1, 1].other_runs < got[0, 1].other_runs
         assert got[2, 1].exact_runs == 11
+        assert got[1, 1].other_runs == 0 and got[1, 1].refused_runs == 11  # one mapping over the whole alignment
+        assert got[2, 1].exact_slot_runs == 11  # numbers and units: without the slots these were any re-parameterised run
+
+
+NAMES = {"en": "Marla Tobin Quenya Peskin Orlando Ingrid Yusuf Delphine".split(), "de": "Jürgen Anneliese Torben Mechthild Korbinian Svenja Ottokar Wiebke".split(), "zh": [a + b for a in "王李张" for b in "芳强丽"] + ["小明", "小红", "老周"]}
+ITEMS = {
+    "en": [
+        "On Monday {a} buys {n} apples for {m} {u} and later {b} sells {n} pears, so how much money does {a} have to pay for all of them?",
+        "When the train that {a} takes leaves the old station it needs {n} {u} to reach the coast, while {b} drives there in {m} {u}; who is faster and why?",
+        "In the garden {a} and {b} dig {n} holes each, and every hole takes them {m} {u}. How long are they going to work if nobody helps {a} at all?",
+    ],
+    "de": [
+        "Am Morgen kauft {a} auf dem Markt {n} Birnen für {m} {u} und danach verkauft {b} noch {n} Eier, also wie viel muss {a} am Ende bezahlen?",
+        "Wenn der alte Zug mit {a} pünktlich abfährt, braucht er {n} {u} bis zur Küste, während {b} mit dem Auto in {m} {u} dort ist; wer ist schneller?",
+    ],
+    "zh": ["昨天{a}在学校门口的商店里买了{n}支铅笔，后来{b}又送给{a}{m}支铅笔，请问{a}现在一共有多少支铅笔，{b}还剩下多少支？"],
+}
+WORDS = {"en": ["minutes", "hours", "dollars", "seconds"], "de": ["minuten", "stunden", "euro", "sekunden"], "zh": ["元"]}
+
+
+def filled(r, lang, text, break_it=False):
+    a, b = r.sample(NAMES[lang], 2)
+    values = {"a": a, "b": b, "n": r.randint(10, 4999), "m": r.randint(10, 4999), "u": r.choice(WORDS[lang])}
+    first = text.replace("{n}", str(values["n"] + 7000), 1).replace("{a}", "Zebulon" if lang != "zh" else "小天", 1) if break_it else text
+    return first.format(**values)
+
+
+def test_recall_of_reparameterised_items(spark):
+    r = random.Random(21)
+    items, docs, want, broken = [], [], set(), set()
+    for lang, texts in ITEMS.items():
+        for text in texts:
+            for _ in range(10):
+                items.append(filled(r, lang, text))
+                for k in range(3):
+                    other = filled(r, lang, text, break_it=k == 2)
+                    if k < 2:
+                        want.add((len(docs), text))
+                    elif max(text.count("{a}"), text.count("{n}")) > 1:  # else another first name or number is as good as any
+                        broken.add((len(docs), text))
+                    docs.append(f"{sentence(r, 30).capitalize()}. {natural(r)} {other} {sentence(r, 25)}")
+    owner = [t for ts in ITEMS.values() for t in ts for _ in range(10)]
+    df, bench = frame(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    by_mode = []
+    for most in (leakage.MOST_RUNS, 0):
+        got = leakage.leaks(df, bench, most_runs=most)
+        by_mode.append(sorted(map(tuple, got.collect())))
+    assert by_mode[0] == by_mode[1]
+    found = {(d, owner[i]) for d, i, exact, _, other, _ in by_mode[0] if other}
+    recall = len(found & want) / len(want)
+    print("recall", recall, "of", len(want), "broken reported", len(found & broken), "of", len(broken))
+    assert recall >= 0.9
+    assert len(found & broken) <= 0.1 * len(broken)
 
 
 # 8

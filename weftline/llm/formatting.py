@@ -172,22 +172,33 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "high": pd.array(high, "Int64"), "low": pd.array(low, "Int64")})
 
 
-def grouped(records: DataFrame, id: str = "record_id", text: str = "text") -> DataFrame:
+def _marked(records: DataFrame, id: str, text: str, pass_bits: int) -> DataFrame:
+    """(id, high, low, maybe): each record's hash, and whether it may be a repeat; files are sorted by the hash, for the passes
+    of a filter larger than one task is sent at once."""
+    rows = spread(records.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")))
+    hashed = cut(rows.mapInPandas(_digests, "id long, high long, low long").sortWithinPartitions("high"), "formatting")
+    return bloom.marked_repeats(hashed, "high", hashed.count(), pass_bits=pass_bits)
+
+
+def grouped(records: DataFrame, id: str = "record_id", text: str = "text", pass_bits: int = bloom.PASS_BITS) -> DataFrame:
     """(id, first, copies): each record with the smallest id of its group and the group's size.
 
     Null texts and texts without a letter or digit are groups of their own.  Ids must be longs and unique, rows without one are left out; a row repeated
     with its id counts as a copy.  Other columns are not read.  An empty table gives an empty result.
+
+    Groups are written down before members are joined to them, so that a group of a tenth of all records can be split.
     """
-    hashed = cut(spread(records.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))).mapInPandas(_digests, "id long, high long, low long"), "formatting")
-    maybe = bloom.repeated(hashed.select("high"), bloom.bits_for(hashed.count()))
-    marked = hashed.withColumn("maybe", maybe(F.col("high")))
+    marked = _marked(records, id, text, pass_bits)
     repeats = marked.where("maybe").drop("maybe")
-    groups = repeats.groupBy("high", "low").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    groups = cut(repeats.groupBy("high", "low").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "formatting-groups")
     shared = repeats.join(groups, ["high", "low"]).select("id", "first", "copies")
     alone = marked.where("not maybe").select("id", F.col("id").alias("first"), F.lit(1).cast("long").alias("copies"))
     return alone.unionByName(shared)
 
 
-def collapsed(records: DataFrame, id: str = "record_id", text: str = "text") -> DataFrame:
-    """One row (id, copies) for each group of same records."""
-    return grouped(records, id, text).where("id = first").select("id", "copies").dropDuplicates(["id"])
+def collapsed(records: DataFrame, id: str = "record_id", text: str = "text", pass_bits: int = bloom.PASS_BITS) -> DataFrame:
+    """One row (id, copies) for each group of same records, as in ``grouped``: one aggregate of the possible repeats, which
+    combines before it shuffles."""
+    marked = _marked(records, id, text, pass_bits)
+    shared = marked.where("maybe").groupBy("high", "low").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "copies")
+    return marked.where("not maybe").select("id", F.lit(1).cast("long").alias("copies")).unionByName(shared)

@@ -93,9 +93,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """Items that leaked: into how many documents verbatim, and how many hold them only with other numbers, names or units."""
-    met = leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
-    return met.groupBy("item_id").agg(F.count_if(F.col("exact_runs") > 0).alias("verbatim"), F.count_if(F.col("exact_runs") == 0).alias("reparameterised"))
+    """Items that leaked verbatim, and into how many documents."""
+    met = leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark")).where("exact_runs > 0")
+    return met.groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def p7_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an item only with other numbers, names or units."""
+    return leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark")).where("exact_runs = 0 and other_runs > 0").select("doc_id", "item_id", "other_runs")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +124,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups, p4_found, p4_by_split, p4_weighted, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p8_found, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups, p4_found, p4_by_split, p4_weighted, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p7_reparameterised, p8_found, p8_shares, p9_found, p9_shared)}
 
 _TOKENS = "greatest(1, length(text) // 4)"
 
@@ -128,7 +133,10 @@ SQL = {
     "p4_found": sqltext.P4,
     "p4_by_split": sqltext.P4_COUNTS,
     "p4_weighted": sqltext.P4_WEIGHTED,
+    "p5_found": sqltext.P5,
+    "p5_copies": sqltext.P5_COPIES,
     "p7_found": sqltext.P7,
+    "p7_items": sqltext.P7_ITEMS,
     "p9_found": sqltext.P9,
     "p6_found": f"""
 with t as (select download_id, sum({_TOKENS}) as tokens from documents group by 1),

@@ -58,10 +58,31 @@ l as (select x.id as a, y.id as b from k x join k y on x.s = y.s and x.train and
 e as (select a as class_id, count(*) as links from l group by 1 union all select b, count(*) from l group by 1)
 select c.id as record_id, c.class_id, coalesce(links, 0) as links from c left join e on e.class_id = c.class_id"""
 
+_ALNUM = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_FIELD = r"^\s*([^\s:=][^:=]*?)\s*[:=]\s*(\S.*)$"
+
+#: Canonical forms: leaves of a JSON object by path, lines of name and value, or letters and digits; for objects whose names hold no dot.
+P5_FORMS = rf"""
+with t as (select record_id, text, {_ALNUM.format('text')} as plain from raw_records),
+o as (select record_id, text from t where plain <> '' and ltrim(text) like '{{%' and json_valid(text)),
+l as (select record_id, lines from (select record_id, list_filter(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '\S')) as lines
+  from t where plain <> '' and record_id not in (select record_id from o)) where len(lines) >= 3 and list_bool_and(list_transform(lines, lambda x: regexp_matches(x, {quoted(_FIELD)})))),
+f as (select record_id, regexp_replace(lower(substr(fullkey, 2)), '[^\p{{L}}\p{{N}}.\[\]]', '', 'g') as name, {_ALNUM.format("coalesce(atom ->> '$', 'null')")} as value from o, json_tree(o.text) where type not in ('OBJECT', 'ARRAY')
+  union all select record_id, '.' || {_ALNUM.format(f"regexp_extract(x, {quoted(_FIELD)}, 1)")}, {_ALNUM.format(f"regexp_extract(x, {quoted(_FIELD)}, 2)")} from (select record_id, unnest(lines) as x from l)),
+g as (select record_id, 'f' || string_agg(name || '=' || value, ';' order by name, value) as form from f group by 1),
+c as (select record_id, case when plain <> '' then coalesce(form, 't' || plain) end as form from t left join g using (record_id)),
+m as (select record_id, case when form is null then record_id else min(record_id) over (partition by form) end as first, case when form is null then 1 else count(*) over (partition by form) end as copies from c)"""
+
+P5 = P5_FORMS + " select first as first_record_id, record_id from m where record_id <> first"
+
+P5_COPIES = P5_FORMS + " select record_id, copies from m where record_id = first"
+
 P7 = f"""
 with d as ({shingles('documents', 'doc_id', 12)}), i as ({shingles('benchmark', 'item_id', 12)})
 select distinct d.id as doc_id, i.id as item_id from d join i on d.s = i.s"""
 
+P7_ITEMS = f"select item_id, count(*) as documents from ({P7}) group by 1"
+
 P9 = """
 with w as (select distinct doc_id, md5(substr(text, i, 500)) as h from (select doc_id, text, unnest(range(1, length(text) - 498)) as i from documents where length(text) >= 500)),
 m as (select w.doc_id, w.h from w join (select h from w group by 1 having count(*) > 1) using (h))
