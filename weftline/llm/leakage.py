@@ -37,10 +37,10 @@ from weftline.scratch import cut
 MOST_RUNS = 400_000
 #: Runs that meet which are looked at together, about.
 MET = 500_000
-#: Words of a language that stand before common nouns, not before names. Fixed values.
+#: Words that stand before common nouns, not before names: those of German, which writes nouns with capitals, also with one word between. Fixed values.
+GERMAN = frozenset("der die das den dem des ein eine einen einem einer eines kein keine keinen mein dein sein ihr unser euer dieser diese dieses jeder jede jedes im am zum zur vom beim".split())
 ARTICLES = frozenset(
     "the a an this that these those my your his her its our their some any each every no another which what "
-    "der die das den dem des ein eine einen einem einer eines kein keine keinen mein dein sein ihr unser euer dieser diese dieses jeder jede jedes im am zum zur vom beim "
     "el la los las un una unos unas mi tu su este esta estos estas cada del al "
     "le les une du au aux mon ton son ma ta sa ce cette ces chaque".split()
 )
@@ -59,7 +59,7 @@ FAMILIAR, NOT_NAMES = "小老阿", "时学心说数区麦组师板虎鼠们子
 SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
 
 #: Codes of words.
-_NUMBER, _UNIT, _ARTICLE, _FAMILIAR, _SURNAME, _OTHER_HAN, _HAN_NAME, _STOP = (1 << k for k in range(8))
+_NUMBER, _UNIT, _ARTICLE, _FAMILIAR, _SURNAME, _OTHER_HAN, _HAN_NAME, _STOP, _GERMAN = (1 << k for k in range(9))
 #: Template words of slots, and kinds of slots.
 _SLOTS = np.array([0, *WordHashes()(["\0number", "\0unit", "\0name"])], np.uint64)
 _STOPS = ".!?:\"\n"
@@ -84,7 +84,7 @@ def _code(word: str) -> int:
         return code | (_UNIT if word in UNITS else 0)
     if not word.isalpha() and any(c.isnumeric() for c in word):
         return _NUMBER
-    return (_UNIT if word in UNITS else 0) | (_ARTICLE if word in ARTICLES else 0)
+    return (_UNIT if word in UNITS else 0) | (_ARTICLE if word in ARTICLES else _ARTICLE | _GERMAN if word in GERMAN else 0)
 
 
 class Codes:
@@ -99,12 +99,12 @@ class Codes:
         if len(known) > self.most:
             known.clear()
         try:
-            return np.fromiter(map(known.__getitem__, found), np.uint8, len(found))
+            return np.fromiter(map(known.__getitem__, found), np.uint16, len(found))
         except KeyError:
             for w in set(found):
                 if w not in known:
                     known[w] = _code(w)
-            return np.fromiter(map(known.__getitem__, found), np.uint8, len(found))
+            return np.fromiter(map(known.__getitem__, found), np.uint16, len(found))
 
 
 class Template(NamedTuple):
@@ -162,7 +162,7 @@ class Maker:
         number = code == _NUMBER
         unit = ((code & _UNIT) > 0) & (_shifted(number, 1, of) | _shifted(number, -1, of))
         article = (code & _ARTICLE) > 0
-        guided = _shifted(article, 1, of) & ~first | _shifted(article, 2, of) & ~first & ~_shifted(first, 1, of)
+        guided = _shifted(article, 1, of) & ~first | _shifted((code & _GERMAN) > 0, 2, of) & ~first & ~_shifted(first, 1, of)
         name = title & ~first & ~guided & ~number & ~article
         key = mix(raw + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         if name.any():
