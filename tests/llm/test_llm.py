@@ -103,6 +103,47 @@ def test_prose_statistics_of_odd_texts(spark):
     assert len(x) == 1 and (x[0].words, x[0].lines, x[0].ending_lines, x[0].common_words) == (6, 2, 0.5, 0.5)
 
 
+def test_a_long_text_beside_short_ones(spark):
+    """300,000 lines: labelled alone, in memory that does not grow with the number of texts beside it."""
+    r = random.Random(3)
+    texts = ["\n".join(f"- item {k % 977}" for k in range(300_000))] + [natural(r) for _ in range(50)]
+    got = {x.doc_id: x for x in prose.statistics(frame(spark, texts), lexicon(spark)).collect()}
+    assert got[0].lines == 300_000 and got[0].words == 600_000 and got[0]["list"] > 0.9
+    assert all(got[k].prose > 0.5 for k in range(1, 51))
+
+
+def test_lines_are_those_of_the_text(spark):
+    """A paragraph is one line with one end, though it is labelled in pieces; a blob without blanks is one word."""
+    r = random.Random(4)
+    paragraph = natural(r) + " " + natural(r)
+    texts = [paragraph, paragraph + "\n\n  \nno end here", "x" * 1000, "ａｂ，ｃ。\r\n&lt;x&gt;"]
+    assert len(paragraph) > 2 * prose.LONG
+    got = {x.doc_id: (x.lines, x.ending_lines, x.words) for x in prose.statistics(frame(spark, texts), lexicon(spark)).collect()}
+    n = len(words(paragraph))
+    assert got == {0: (1, 1.0, n), 1: (2, 0.5, n + 3), 2: (1, 0.0, 1), 3: (2, 0.5, 3)}
+
+
+def test_groups_of_documents_are_bounded():
+    lengths = np.array([0, 5, prose.CELLS + 7, 1, 1, prose.CELLS // 2, prose.CELLS // 2, 3])
+    groups = list(prose._side_by_side(lengths))
+    assert sorted(k for g in groups for k in g) == [k for k, n in enumerate(lengths) if n]
+    assert all(len(g) == 1 or len(g) * lengths[g].max() <= prose.CELLS for g in groups)
+
+
+def test_draws_of_the_sample_agree(spark):
+    r = random.Random(8)
+    names = ["prose"] * 5 + ["wrapped", "list", "table", "pairs", "symbols", "blob", "pile", "again"]
+    df = spark.createDataFrame([(k, kinds(r, r.choice(names))) for k in range(400)], "doc_id long, text string")
+    draws = [{x.doc_id for x in prose.not_prose(df, lexicon(spark), 100, seed).select("doc_id").collect()} for seed in (0, 1, 2)]
+    assert draws[0] == draws[1] == draws[2] and 100 < len(draws[0]) < 300
+
+
+def test_too_many_common_words(spark, monkeypatch):
+    monkeypatch.setattr(prose, "MOST_WORDS", 3)
+    with pytest.raises(ValueError, match="common words"):
+        prose.statistics(frame(spark, ["x"]), lexicon(spark))
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(0)
     model = prose.fit([])

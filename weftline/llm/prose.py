@@ -1,17 +1,17 @@
 """Statistics of each document, and the shares of prose, list, table and junk in it.
 
-Every line becomes a few discrete observations (share of common words, symbols, delimiters, how it begins and ends, ...).
-A hidden Markov model with one state for each kind of text labels the lines; the labels' shares, weighted by characters,
-are the document's.  The model is fitted at each run on a bounded sample: lines that rules know for certain give the
-first tables, a few rounds of expectation-maximisation on the whole sample the rest.  Then one pass without a shuffle
-labels every document.
+Every line becomes a few discrete observations (share of common words, symbols, delimiters, how it begins and ends, ...);
+a long line is observed in several pieces, but counts as one line in the statistics.  A hidden Markov model with one state
+for each kind of text labels lines and pieces; the labels' shares, weighted by characters, are the document's.  The model is
+fitted at each run on a bounded sample: lines that rules know for certain give the first tables, a few rounds of
+expectation-maximisation on the whole sample the rest.  Then one pass without a shuffle labels every document.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,24 +21,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import HAN
+from weftline.llm.shingles import pieces
 from weftline.operators.spread import spread
 
 KINDS = ("prose", "list", "table", "junk")
-#: Documents that the model is fitted on, at most.
+#: Documents that the model is fitted on, at most, and characters of each of them, at most: the driver holds no more.
 SAMPLE = 2000
-#: A line longer than this is taken as several, parted after sentences or at blanks.
+SAMPLE_CHARS = 20_000
+#: Common words, at most; they go to every task.
+MOST_WORDS = 100_000
+#: A line longer than this is labelled in pieces, parted after sentences or at blanks.
 LONG = 240
+#: Lines of documents that are labelled side by side, padded ones included, at most; a longer document is labelled alone.
+CELLS = 1 << 17
 ROUNDS = 6
 #: What a Han character of a common word counts: grammar takes fewer characters there than words elsewhere.
 HAN_WEIGHT = 1.4
 
 _TOKEN = re.compile(f"[{HAN}]+|[^\\W_{HAN}]+")
-_WIDE = re.compile("[\uff10-\uff5a]")
-_END = re.compile(r"[.?!…。？！]+[\"'”’»)\]」』]*$")
+_WIDE = re.compile("[\uff01-\uff5e]")
+#: Full-width forms and what they are made of.
+WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
+ENDS = frozenset(".?!…。？！")
+CLOSERS = "\"'”’»)]」』"
 _PART = re.compile(r"(?<=[.?!;。？！；])\s*|\s+")
 _START = re.compile(r"(?:(\[[ xX]?\])|([-*•◦▪‣·–—+])|(\(?(?:\d{1,4}|[a-zA-Z])[.):])|(\|))\s")
-_PLAIN = frozenset(" .,?!'\"’“”。，？！、;:；：()-—")
-_TIGHT = re.compile(r"(?<=\S),(?=\S)|[|\t;=]")
+#: Characters that are no symbols, besides letters and digits.
+PLAIN = " .,?!'\"’“”。，？！、;:；：()-—"
+_SYMBOL = re.compile(f"[^\\w{re.escape(PLAIN)}]|_")
+_COMMA = re.compile(r"(?<=\S),(?=\S)")
+_WORDS = str.maketrans({chr(c): chr(c) if chr(c).isalnum() else " " for c in range(128)})
+_SYMBOLS = str.maketrans({chr(c): None for c in range(128) if chr(c).isalnum() or chr(c) in PLAIN})
 
 
 class Lexicon(NamedTuple):
@@ -71,12 +84,12 @@ def _pieces(line: str) -> list[str]:
 
 
 def lines_of(text: str) -> list[str]:
-    """Lines that are not blank, long ones in pieces; entities resolved and full-width forms made plain."""
+    """Lines that are not blank, without outer white space; entities resolved and full-width forms made plain."""
     if "&" in text:
         text = html.unescape(text)
-    if _WIDE.search(text):
-        text = unicodedata.normalize("NFKC", text)
-    return [p for line in text.splitlines() if line.strip() for p in _pieces(line) if p.strip()]
+    if not text.isascii() and _WIDE.search(text):
+        text = text.translate(WIDE)
+    return [s for line in text.splitlines() if (s := line.strip())]
 
 
 class Line(NamedTuple):
@@ -93,72 +106,99 @@ class Line(NamedTuple):
 SIZES = (6, 3, 5, 4, 5, 6, 6, 4, 3)
 
 
-def _bin(x: float, *limits: float) -> int:
-    return sum(x >= t for t in limits)
-
-
-def observe(line: str, lexicon: Lexicon) -> Line:
-    """Figures of one line and its observations."""
-    s = line.strip()
-    tokens = _TOKEN.findall(s.lower())
-    n = letters = han = 0
-    common = 0.0
-    odd = 0
-    for t in tokens:
-        letters += len(t)
-        if t[0] >= "⺀" and not t.isascii() and _HAN_ONE.match(t):
-            han += len(t)
-            n += len(t)
-            common += HAN_WEIGHT * sum(map(len, lexicon.han.findall(t)))
-        else:
-            n += 1
-            if t in lexicon.words:
-                common += 1
-            if not t.isalpha():
-                odd += 1
+#: Where the values of observations part.
+_SHARE, _TIGHT, _SYMBOLIC, _COUNT, _LENGTH, _ODD, _DISTINCT = (0.001, 0.08, 0.15, 0.24, 0.36), (0.001, 0.15, 0.4), (0.001, 0.04, 0.12, 0.3), (1, 2, 4, 8, 16), (2.5, 4, 7, 12), (0.001, 0.15, 0.4), (0.35, 0.6)
+
+
+def _counted(s: str, lexicon: Lexicon) -> tuple:
+    """(words, letters, common, odd, characters of Han, tokens, symbols) of a stripped line."""
+    if s.isascii():
+        tokens = s.lower().translate(_WORDS).split()
+        symbols = len(s.translate(_SYMBOLS))
+    else:
+        tokens = _TOKEN.findall(s.lower())
+        symbols = len(_SYMBOL.findall(s))
+        if _HAN_ONE.search(s):
+            n = letters = han = odd = 0
+            common = 0.0
+            for t in tokens:
+                letters += len(t)
+                if _HAN_ONE.match(t):
+                    han += len(t)
+                    n += len(t)
+                    common += HAN_WEIGHT * sum(map(len, lexicon.han.findall(t)))
+                else:
+                    n += 1
+                    common += t in lexicon.words
+                    odd += not t.isalpha()
+            return n, letters, common, odd, han, tokens, symbols
+    n = len(tokens)
+    return n, sum(map(len, tokens)), float(sum(map(lexicon.words.__contains__, tokens))), n - sum(map(str.isalpha, tokens)), 0, tokens, symbols
+
+
+def _figures(s: str, lexicon: Lexicon) -> tuple:
+    """(chars, words, letters, common, symbols, ends, *observations) of a stripped line."""
+    n, letters, common, odd, han, tokens, symbols = _counted(s, lexicon)
     chars = len(s) - s.count(" ")
-    symbols = sum(c not in _PLAIN and not c.isalnum() for c in s)
-    share = min(1.0, common / n) if n else 0.0
-    ends = bool(_END.search(s))
+    ends = s.rstrip(CLOSERS)[-1:] in ENDS
     start = _START.match(s + " ")
-    tight = len(_TIGHT.findall(s))
-    latin = len(tokens) if not han else 0
+    tight = s.count("|") + s.count("\t") + s.count(";") + s.count("=") + (len(_COMMA.findall(s)) if "," in s else 0)
     units = max(1, n if not han else len(tokens))
-    distinct = len(set(tokens)) / len(tokens) if len(tokens) >= 8 else 1.0
-    seen = (
-        _bin(share, 0.001, 0.08, 0.15, 0.24, 0.36),
+    return (
+        chars,
+        n,
+        letters,
+        common,
+        symbols,
+        ends,
+        bisect_right(_SHARE, min(1.0, common / n) if n else 0.0),
         2 if ends else int(not s[-1:].isalnum()),
         start.lastindex if start else 0,
-        _bin(tight / units, 0.001, 0.15, 0.4),
-        _bin(symbols / max(1, chars), 0.001, 0.04, 0.12, 0.3),
-        _bin(n, 1, 2, 4, 8, 16),
-        5 if han > letters / 2 else _bin(letters / max(1, latin or n), 2.5, 4, 7, 12),
-        _bin(odd / max(1, n), 0.001, 0.15, 0.4),
-        _bin(distinct, 0.35, 0.6),
+        bisect_right(_TIGHT, tight / units),
+        bisect_right(_SYMBOLIC, symbols / max(1, chars)),
+        bisect_right(_COUNT, n),
+        5 if han > letters / 2 else bisect_right(_LENGTH, letters / max(1, (len(tokens) if not han else 0) or n)),
+        bisect_right(_ODD, odd / max(1, n)),
+        bisect_right(_DISTINCT, len(set(tokens)) / len(tokens) if len(tokens) >= 8 else 1.0),
     )
-    return Line(chars, n, letters, common, symbols, ends, seen)
+
+
+def observe(line: str, lexicon: Lexicon) -> Line:
+    """Figures of one line and its observations."""
+    chars, words, letters, common, symbols, ends, *seen = _figures(line.strip(), lexicon)
+    return Line(chars, words, letters, common, symbols, ends, tuple(seen))
+
+
+def observed(text: str | None, lexicon: Lexicon) -> tuple[list[tuple], list[tuple]]:
+    """Figures of the lines of a text, and of the lines and pieces that are labelled."""
+    whole, parts = [], []
+    for line in () if text is None else lines_of(text):
+        own = _figures(line, lexicon)
+        whole.append(own)
+        if len(line) <= LONG:
+            parts.append(own)
+        else:
+            parts += [_figures(s, lexicon) for p in _pieces(line) if (s := p.strip())]
+    return whole, parts
 
 
 _HAN_ONE = re.compile(f"[{HAN}]")
 
 
-def certain(x: Line) -> int:
-    """The kind of a line that rules know, or -1."""
-    share = x.common / x.words if x.words else 0.0
-    _, end, start, tight, symbols, size, length, odd, distinct = x.seen
-    if distinct == 0 or symbols == 4 and tight < 2 and share < 0.08 or x.words == 0 and x.chars > 4:
-        return 3
-    if share >= 0.24 and x.words >= 5 and tight <= 1 and symbols <= 2:
-        return 0
-    if share >= 0.08:
-        return -1
-    if start in (1, 2, 3) and x.words <= 12 and tight <= 1:
-        return 1
-    if start == 4 or tight >= 2:
-        return 2
-    if length == 4 or odd == 3 and x.words >= 4 or x.words >= 14:
-        return 3
-    return -1
+def certain(figures: np.ndarray) -> np.ndarray:
+    """The kinds of lines that rules know, -1 for others; rows as those of ``_figures``."""
+    chars, words, common = figures[:, 0], figures[:, 1], figures[:, 3]
+    _, end, start, tight, symbols, size, length, odd, distinct = figures[:, 6:].T
+    share = common / np.maximum(1, words)
+    rules = [
+        ((distinct == 0) | (symbols == 4) & (tight < 2) & (share < 0.08) | (words == 0) & (chars > 4), 3),
+        ((share >= 0.24) & (words >= 5) & (tight <= 1) & (symbols <= 2), 0),
+        (share >= 0.08, -1),
+        ((start >= 1) & (start <= 3) & (words <= 12) & (tight <= 1), 1),
+        ((start == 4) | (tight >= 2), 2),
+        ((length == 4) | (odd == 3) & (words >= 4) | (words >= 14), 3),
+    ]
+    return np.select([r for r, _ in rules], [k for _, k in rules], -1)
 
 
 class Model(NamedTuple):
@@ -173,22 +213,32 @@ def _log_emit(model: Model, seen: np.ndarray) -> np.ndarray:
     return sum(table[:, seen[:, k]].T for k, table in enumerate(model.emit))
 
 
-def _grid(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _side_by_side(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Documents with lines, in groups of like length that padded hold at most CELLS lines or are one document."""
+    order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    first = 0
+    while first < len(order):
+        last = first + 1
+        while last < len(order) and (last + 1 - first) * lengths[order[last]] <= CELLS:
+            last += 1
+        yield order[first:last]
+        first = last
+
+
+def _grid(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Documents as rows of a padded array of line numbers, and which cells are filled."""
-    ends = np.cumsum(lengths)
-    at = (ends - lengths)[:, None] + np.arange(lengths.max())
     filled = np.arange(lengths.max()) < lengths[:, None]
-    return np.where(filled, at, 0), filled
+    return np.where(filled, starts[:, None] + np.arange(lengths.max()), 0), filled
 
 
-def fit(documents: list[list[Line]]) -> Model:
-    """The model of a sample of documents. Every probability has a prior, so an empty sample gives a usable model."""
+def fitted(figures: np.ndarray, lengths: np.ndarray) -> Model:
+    """The model of a sample: rows of ``_figures``, and each document's number of rows. Every probability has a prior, so an
+    empty sample gives a usable model."""
     K = len(KINDS)
-    documents = [d for d in documents if d]
     prior = 2.0
     stay = np.full((K, K), 1.0) + 8 * np.eye(K)
-    seen = np.array([x.seen for d in documents for x in d], int).reshape(-1, len(SIZES))
-    known = np.array([certain(x) for d in documents for x in d], int)
+    seen, known = figures[:, 6:].astype(int), certain(figures)
     weight = np.zeros((len(known), K))
     weight[known >= 0, known[known >= 0]] = 1
     fixed = np.where(known[:, None] >= 0, np.where(weight > 0, 0.0, -8.0), 0.0)
@@ -203,17 +253,12 @@ def fit(documents: list[list[Line]]) -> Model:
     model = Model(np.log(np.array([0.55, 0.15, 0.15, 0.15])), np.log(stay / stay.sum(1, keepdims=True)), tables(weight))
     if not len(known):
         return model
-    lengths = np.array([len(d) for d in documents])
-    order = np.argsort(lengths, kind="stable")
     starts = np.cumsum(lengths) - lengths
     for _ in range(ROUNDS):
         e = _log_emit(model, seen) * 0.7 + fixed
         post, steps, first = np.zeros((len(seen), K)), np.zeros((K, K)), np.zeros(K)
-        for k in range(0, len(order), 256):
-            part = order[k : k + 256]
-            n = lengths[part]
-            filled = np.arange(n.max()) < n[:, None]
-            at = np.where(filled, starts[part][:, None] + np.arange(n.max()), 0)
+        for part in _side_by_side(lengths):
+            at, filled = _grid(starts[part], lengths[part])
             g = np.where(filled[:, :, None], e[at], 0.0)
             forward, backward = np.zeros(g.shape), np.zeros(g.shape)
             forward[:, 0] = model.first + g[:, 0]
@@ -239,73 +284,104 @@ def fit(documents: list[list[Line]]) -> Model:
     return model
 
 
-def label(model: Model, documents: list[list[Line]]) -> list[np.ndarray]:
-    """The most probable kinds of each document's lines."""
-    out: list[np.ndarray] = [np.empty(0, int)] * len(documents)
-    order = sorted((k for k, d in enumerate(documents) if d), key=lambda k: len(documents[k]))
-    for k in range(0, len(order), 256):
-        part = order[k : k + 256]
-        lengths = np.array([len(documents[i]) for i in part])
-        seen = np.array([x.seen for i in part for x in documents[i]], int)
-        at, filled = _grid(seen, lengths)
-        e = _log_emit(model, seen)[at]
-        score = model.first + e[:, 0]
-        back = np.zeros(e.shape, np.int8)
+def _rows(documents: list[list[Line]]) -> tuple[np.ndarray, np.ndarray]:
+    rows = [(x.chars, x.words, x.letters, x.common, x.symbols, x.ends, *x.seen) for d in documents for x in d]
+    return np.array(rows, float).reshape(-1, 6 + len(SIZES)), np.array([len(d) for d in documents], int)
+
+
+def fit(documents: list[list[Line]]) -> Model:
+    """The model of a sample of documents."""
+    return fitted(*_rows(documents))
+
+
+def paths(model: Model, seen: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The most probable kinds of the lines of documents that lie one after the other."""
+    out, starts = np.zeros(len(seen), np.int8), np.cumsum(lengths) - lengths
+    for part in _side_by_side(lengths):
+        n = lengths[part]
+        at, filled = _grid(starts[part], n)
+        score = model.first + _log_emit(model, seen[at[:, 0]])
+        back = np.zeros((*at.shape, len(KINDS)), np.int8)
         last = score.copy()
-        for t in range(1, e.shape[1]):
+        for t in range(1, at.shape[1]):
             s = score[:, :, None] + model.step
             back[:, t] = s.argmax(1)
-            score = s.max(1) + e[:, t]
+            score = s.max(1) + _log_emit(model, seen[at[:, t]])
             last = np.where(filled[:, t, None], score, last)
-        state = last.argmax(1)
-        for row, i in enumerate(part):
-            n, path, now = lengths[row], [], int(state[row])
-            for t in range(n - 1, -1, -1):
-                path.append(now)
-                now = int(back[row, t, now])
-            out[i] = np.array(path[::-1])
+        now, row = last.argmax(1), np.arange(len(part))
+        for t in range(at.shape[1] - 1, -1, -1):
+            here = filled[:, t]
+            out[at[here, t]] = now[here]
+            now = np.where(here, back[row, t, now], now)
     return out
 
 
-def _fitted(documents: DataFrame, lexicon: Lexicon, most: int) -> Model:
-    """The model of at most ``most`` documents, drawn by hash."""
-    rows = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
+def label(model: Model, documents: list[list[Line]]) -> list[np.ndarray]:
+    """The most probable kinds of each document's lines."""
+    figures, lengths = _rows(documents)
+    return np.split(paths(model, figures[:, 6:].astype(int), lengths).astype(int), np.cumsum(lengths)[:-1])
+
+
+def _fitted(documents: DataFrame, lexicon: Lexicon, most: int, seed: int) -> Model:
+    """The model of at most ``most`` documents of at most SAMPLE_CHARS characters, drawn by hash."""
+    rows = documents.where("text is not null and doc_id is not null").where(F.char_length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+    draw = F.xxhash64("doc_id") if not seed else F.xxhash64(F.lit(seed), "doc_id")
     n = rows.count()
     if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007)) < int(1.2 * most / n * 1_000_000_007)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return fit([[observe(p, lexicon) for p in lines_of(r["text"])] for r in rows.select("text").toLocalIterator()])
+        rows = rows.where(F.pmod(draw, F.lit(1_000_000_007)) < int(1.2 * most / n * 1_000_000_007)).orderBy(draw, "doc_id").limit(most)
+    figures, lengths = [], []
+    for r in rows.select("text").toLocalIterator():
+        parts = observed(r["text"], lexicon)[1]
+        figures.append(np.array(parts, float).reshape(-1, 6 + len(SIZES)))
+        lengths.append(len(parts))
+    return fitted(np.concatenate([np.empty((0, 6 + len(SIZES))), *figures]), np.array(lengths, int))
 
 
-_COLUMNS = "doc_id long, chars long, words long, lines long, mean_word_length double, symbol_ratio double, ending_lines double, common_words double, " + ", ".join(f"{k} double" for k in KINDS)
+_STATISTICS = "doc_id long, chars long, words long, lines long, mean_word_length double, symbol_ratio double, ending_lines double, common_words double"
+_COLUMNS = _STATISTICS + ", " + ", ".join(f"{k} double" for k in KINDS)
 
 
-def statistics(documents: DataFrame, common_words: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def statistics(documents: DataFrame, common_words: DataFrame, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """One row of statistics and label shares for each document.
 
     Takes doc_id and text; further columns are not read.  A null text counts as empty; a text without a line has zeros
-    everywhere; rows without doc_id are left out.  Label shares are by characters without blanks and add up to 1.  Rows that come twice give two rows.
-    ``common_words`` (lang, word) is a fixed list of at most 100,000 words; null words are left out.
+    everywhere; rows without doc_id are left out.  Lines are those of the text, blank ones aside, however long.  Label shares
+    are by characters without blanks and add up to 1.  Rows that come twice give two rows.  ``common_words`` (lang, word) is a
+    fixed list; more than MOST_WORDS fail, null ones are left out.  ``sample`` and ``seed`` say which documents fit the model.
     """
-    lexicon = Lexicon.of(sorted({r["word"] for r in common_words.where("word is not null").select("word").limit(100_000).collect()}))
-    model = _fitted(documents, lexicon, sample)
+    listed = common_words.where("word is not null").select("word").distinct().limit(MOST_WORDS + 1).collect()
+    if len(listed) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} common words")
+    lexicon = Lexicon.of(sorted(r["word"] for r in listed))
+    model = _fitted(documents, lexicon, sample, seed)
     sent = documents.sparkSession.sparkContext.broadcast((lexicon, model))
+    columns = [c.split()[0] for c in _COLUMNS.split(", ")]
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, model = sent.value
         for pdf in batches:
-            docs = [[] if t is None else [observe(p, lexicon) for p in lines_of(t)] for t in pdf["text"]]
-            out = []
-            for id, lines, kinds in zip(pdf["doc_id"], docs, label(model, docs)):
-                chars, words = sum(x.chars for x in lines), sum(x.words for x in lines)
-                weight = np.bincount(kinds, [x.chars for x in lines], len(KINDS)) if lines else np.zeros(len(KINDS))
-                whole = max(1, chars)
-                out.append((id, chars, words, len(lines), sum(x.letters for x in lines) / max(1, words), sum(x.symbols for x in lines) / whole, sum(x.ends for x in lines) / max(1, len(lines)), sum(x.common for x in lines) / max(1, words), *(weight / whole)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _COLUMNS.split(", ")])
+            texts, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy(np.int64)
+            for low, high in pieces(texts):
+                whole, parts, lines, labelled = [], [], [], []
+                for t in texts[low:high]:
+                    w, p = observed(t, lexicon)
+                    whole.append(np.array([x[:6] for x in w], float).reshape(-1, 6).sum(0))
+                    parts.append(np.array(p, np.float32).reshape(-1, 6 + len(SIZES)))
+                    lines.append(len(w))
+                    labelled.append(len(p))
+                chars, words, letters, common, symbols, ends = np.array(whole).T
+                figures, labelled, lines = np.concatenate(parts), np.array(labelled), np.array(lines)
+                kinds = paths(model, figures[:, 6:].astype(np.int8), labelled)
+                of = np.repeat(np.arange(high - low), labelled)
+                weight = np.bincount(of * len(KINDS) + kinds, figures[:, 0], (high - low) * len(KINDS)).reshape(-1, len(KINDS))
+                shares = weight / np.maximum(1, weight.sum(1, keepdims=True))
+                figures = (ids[low:high], chars, words, lines, letters / np.maximum(1, words), symbols / np.maximum(1, chars), ends / np.maximum(1, lines), common / np.maximum(1, words), *shares.T)
+                yield pd.DataFrame(dict(zip(columns, figures))).astype({c: np.int64 for c in columns[:4]})
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return spread(rows).mapInPandas(describe, _COLUMNS)
 
 
-def not_prose(documents: DataFrame, common_words: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def not_prose(documents: DataFrame, common_words: DataFrame, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """Statistics of the documents of which more than half is list, table or junk."""
-    return statistics(documents, common_words, sample).where("chars > 0 and prose < 0.5")
+    return statistics(documents, common_words, sample, seed).where("chars > 0 and prose < 0.5")

@@ -22,8 +22,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics and label shares of each document."""
-    return prose.statistics(_table(spark, d, "documents"), _table(spark, d, "common_words"))
+    """Statistics of each document, shares rounded (a little is added, so that both sides round ties alike)."""
+    found = prose.statistics(_table(spark, d, "documents"), _table(spark, d, "common_words"))
+    shares = ("mean_word_length", "symbol_ratio", "ending_lines", "common_words")
+    return found.select("doc_id", "chars", "words", "lines", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in shares])
+
+
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of prose, list, table and junk in each document."""
+    return prose.statistics(_table(spark, d, "documents"), _table(spark, d, "common_words")).select("doc_id", *prose.KINDS)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -124,11 +131,12 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_groups, p4_found, p4_by_split, p4_weighted, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p7_reparameterised, p8_found, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p1_labels, p2_found, p2_groups, p4_found, p4_by_split, p4_weighted, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p7_reparameterised, p8_found, p8_shares, p9_found, p9_shared)}
 
 _TOKENS = "greatest(1, length(text) // 4)"
 
 SQL = {
+    "p1_statistics": sqltext.P1,
     "p2_found": sqltext.P2,
     "p4_found": sqltext.P4,
     "p4_by_split": sqltext.P4_COUNTS,

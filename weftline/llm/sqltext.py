@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from weftline.plans.sqltext import cleaned, quoted
+from weftline.llm.prose import CLOSERS, ENDS, HAN_WEIGHT
+from weftline.llm.prose import PLAIN as NO_SYMBOLS
+from weftline.plans.sqltext import PLAIN, SPACE, WIDE, cleaned, quoted
 
 #: A letter or digit that is no Han character, in runs; or one Han character.
 WORD = r"\p{Han}|(?:[^\P{L}\p{Han}]|[^\P{N}\p{Han}])+"
 
 
+#: Characters that are no symbols, and the end of a line that ends in punctuation, for RE2.
+PLAIN_CLASS = NO_SYMBOLS.replace("-", "\\-")
+END = "[" + "".join(sorted(ENDS)) + "][" + CLOSERS.replace("]", "\\]") + "]*$"
+
+
 def unescaped(text: str) -> str:
     """Decimal references and the commonest named ones resolved; the test tables hold no others."""
     parts = f"regexp_extract_all({text}, '&#[0-9]+;|[^&]+|&')"
@@ -35,6 +42,24 @@ c as (select x.id as a, y.id as b, count(*) as c from s x join s y on x.s = y.s
 pairs as (select a, b from c join n p on p.id = a join n q on q.id = b where c >= {least} * (p.n + q.n - c))"""
 
 
+_BLANKS = SPACE[:-1] + "*"
+_HAN_WORDS = r"(select string_agg(word, '|' order by length(word) desc, word) from (select distinct word from common_words) where regexp_matches(word, '^\p{Han}'))"
+
+#: Statistics of the lines of a text, blank ones aside.
+P1 = rf"""
+with d as (select doc_id, translate({unescaped("coalesce(text, '')")}, {quoted(WIDE)}, {quoted(PLAIN)}) as text from documents where doc_id is not null),
+l as (select doc_id, regexp_replace(regexp_replace(x, {quoted("^" + _BLANKS)}, ''), {quoted(SPACE + "$")}, '') as s
+  from (select doc_id, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) as x from d)),
+w as (select doc_id, s, regexp_extract_all(lower(s), {quoted(WORD)}) as w from l where s <> ''),
+h as (select list(distinct lower(word)) as known from common_words where not regexp_matches(word, '^\p{{Han}}')),
+f as (select doc_id, length(s) - length(regexp_replace(s, '[^ ]', '', 'g')) as chars, len(w) as words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as letters,
+  len(list_filter(w, lambda x: list_contains(known, x))) + {HAN_WEIGHT} * length(array_to_string(regexp_extract_all(s, {_HAN_WORDS}), '')) as common,
+  length(regexp_replace(s, {quoted("[\\p{L}\\p{N}" + PLAIN_CLASS + "]")}, '', 'g')) as symbols, regexp_matches(s, {quoted(END)}) as ends from w, h),
+g as (select doc_id, cast(sum(chars) as bigint) as chars, cast(sum(words) as bigint) as words, count(*) as lines, sum(letters) as letters, sum(common) as common, sum(symbols) as symbols, count(*) filter (ends) as ends from f group by 1)
+select doc_id, coalesce(chars, 0) as chars, coalesce(words, 0) as words, coalesce(lines, 0) as lines, round(coalesce(letters / greatest(1, words), 0) + 1e-9, 6) as mean_word_length,
+ round(coalesce(symbols / greatest(1, chars), 0) + 1e-9, 6) as symbol_ratio, round(coalesce(ends / greatest(1, lines), 0) + 1e-9, 6) as ending_lines, round(coalesce(common / greatest(1, words), 0) + 1e-9, 6) as common_words
+from d left join g using (doc_id)"""
+
 P2 = f"with s as ({shingles('documents', 'doc_id', 3)}), {similar(3, 0.5, 'x.id < y.id')} select a as doc_id_a, b as doc_id_b from pairs"
 
 P4 = f"""
