@@ -134,8 +134,9 @@ def test_draws_of_the_sample_agree(spark):
     r = random.Random(8)
     names = ["prose"] * 5 + ["wrapped", "list", "table", "pairs", "symbols", "blob", "pile", "again"]
     df = spark.createDataFrame([(k, kinds(r, r.choice(names))) for k in range(400)], "doc_id long, text string")
-    draws = [{x.doc_id for x in prose.not_prose(df, lexicon(spark), 100, seed).select("doc_id").collect()} for seed in (0, 1, 2)]
-    assert draws[0] == draws[1] == draws[2] and 100 < len(draws[0]) < 300
+    draws = [{x.doc_id for x in prose.not_prose(df, lexicon(spark), 200, seed).select("doc_id").collect()} for seed in (0, 1, 2)]
+    assert max(len(draws[0] ^ d) for d in draws) <= 0.03 * 400, [len(draws[0] ^ d) for d in draws]
+    assert 100 < len(draws[0]) < 300
 
 
 def test_too_many_common_words(spark, monkeypatch):
