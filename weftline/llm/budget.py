@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.scratch import cut
+
 MOST_CHARS = 1 << 16
 
 
@@ -147,25 +149,32 @@ def counted(documents: DataFrame, tokenizer: Tokenizer, id: str = "doc_id", text
 
     A null text counts as an empty one.  A row repeated with its id is counted again if it is not cut, and its pieces are
     added up if it is; ids are expected to be unique.  An empty table gives an empty result.
+
+    Documents are read once: that pass counts the ordinary ones and cuts the oversized, and what it writes, the counts and
+    the pieces, is read by the two branches after it.
     """
     head = F.struct(F.col(id).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     rows = documents.select(head.alias("head"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = F.char_length("text")
-    whole = rows.where(size <= most_chars).select("head", tokenizer.column(F.col("text")).alias("n"))
-    shape = rows.schema["head"].dataType.simpleString()
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for head, text in zip(pdf["head"], pdf["text"]):
-                ends = [*tokenizer.cuts(text, most_chars), len(text)]
-                parts = [text[a:b] for a, b in zip([0, *ends], ends)]
-                yield pd.DataFrame({"head": [head] * len(parts), "part": range(len(parts)), "text": parts})
-
-    # the head travels as JSON: pandas would turn longs beside nulls into doubles
-    pieces = rows.where(size > most_chars).select(F.to_json("head").alias("head"), "text").mapInPandas(cut, "head string, part int, text string")
+
+    @F.pandas_udf("array<string>")
+    def cut_up(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            ends = [*tokenizer.cuts(t, most_chars), len(t)]
+            out.append([t[a:b] for a, b in zip([0, *ends], ends)])
+        return pd.Series(out, dtype=object)
+
+    ordinary = F.when(size <= most_chars, F.col("text"))  # nulls cost the tokenizer nothing
+    seen = cut(rows.select("head", F.when(size <= most_chars, tokenizer.column(ordinary)).alias("n"), cut_up(F.when(size > most_chars, F.col("text"))).alias("pieces")), "counted")
+    whole = seen.where("n is not null").select("head", "n")
+    pieces = seen.where("n is null").select("head", F.posexplode("pieces").alias("part", "text"))
     spread = pieces.withColumn("salt", F.pmod(F.xxhash64("head", "part"), F.lit(salts))).repartition("salt")
     summed = spread.select("head", tokenizer.column(F.col("text")).alias("n")).groupBy("head").agg(F.sum("n").alias("n"))
-    both = whole.unionByName(summed.select(F.from_json("head", shape).alias("head"), "n"))
+    both = whole.unionByName(summed)
     return both.select(F.col("head.id").alias(id), *[F.col(f"head.k{i}").alias(c) for i, c in enumerate(keep)], tokenizer.total(F.col("n")).alias("tokens"))
 
 

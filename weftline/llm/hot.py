@@ -1,0 +1,97 @@
+"""Keys that very many rows share: found by counts of fixed size, and split over tasks.
+
+Rows are counted in cells that keys share by hash, so a count bounds that of each of its keys from above.  A key of a cell
+above the limit is split into parts: on one side of a join each row goes to its own part and every part of the other side,
+on the other side the other way about, so that every two rows meet exactly once and a task meets a bounded square.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.functions.text import mix
+from weftline.operators.spread import few
+
+#: Rows of one key in a task, about.
+LIMIT = 4096
+#: Cells, at most; hot ones are sent to every task, eight bytes each.
+CELLS = 1 << 22
+PART = 1 << 16
+#: Parts of a key, at most.
+PARTS = 1024
+
+
+class Hot:
+    """Parts of the keys of hot cells; a key of any other cell has one."""
+
+    def __init__(self, cells: int, at: np.ndarray, parts: np.ndarray) -> None:
+        self.shift, self.at, self.parts = np.uint64(64 - (cells.bit_length() - 1)), at, parts
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.at):
+            return np.ones(len(keys), np.int64)
+        cell = (mix(keys.view(np.uint64)) >> self.shift).astype(np.int64)
+        k = np.minimum(np.searchsorted(self.at, cell), len(self.at) - 1)
+        return np.where(self.at[k] == cell, self.parts[k], 1)
+
+    def split(self, keys: np.ndarray, ids: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, keys): which row is sent under which key, on the left or on the right side of a join."""
+        parts = self.of(keys)
+        if not len(parts) or parts.max() == 1:
+            return np.arange(len(keys)), keys
+        rows = np.repeat(np.arange(len(keys)), parts)
+        nth = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
+        own = (mix(ids[rows].astype(np.int64).view(np.uint64)) % parts[rows].astype(np.uint64)).astype(np.int64)
+        a, b = (own, nth) if left else (nth, own)
+        sent = keys[rows].view(np.uint64)
+        told = mix(sent + (a * PARTS + b + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return rows, np.where(parts[rows] > 1, told, sent).view(keys.dtype)
+
+
+def hot(rows: DataFrame, keys: Callable[[pd.DataFrame], np.ndarray], total: int, limit: int = LIMIT, cells: int = CELLS) -> Hot:
+    """The hot keys among those that ``keys`` finds in pieces of ``rows``, ``total`` in all, about."""
+    cells = min(cells, max(1 << 12, 1 << (max(1, total // 8) - 1).bit_length()))
+    part, over = min(cells, PART), limit + 4 * total // cells
+    shift = np.uint64(64 - (cells.bit_length() - 1))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, some = np.zeros(cells, np.uint32), False
+        for pdf in batches:
+            own = keys(pdf)
+            if len(own):
+                some = True
+                np.add.at(held, (mix(own.view(np.uint64)) >> shift).astype(np.int64), 1)
+        if some:
+            packs = [(k, zlib.compress(x.astype(np.uint8 if x.max() < 256 else np.uint32).tobytes(), 1)) for k in range(cells // part) if (x := held[k * part : (k + 1) * part]).any()]
+            yield pd.DataFrame(packs, columns=["part", "held"])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, None
+
+        def done() -> pd.DataFrame:
+            k = np.flatnonzero(held > over)
+            return pd.DataFrame({"cell": k + at * part, "n": held[k].astype(np.int64)})
+
+        for pdf in batches:
+            for k, pack in zip(pdf["part"], pdf["held"]):
+                data = zlib.decompress(pack)
+                own = np.frombuffer(data, np.uint8 if len(data) == part else np.uint32).astype(np.uint64)
+                if k != at:
+                    if at is not None:
+                        yield done()
+                    at, held = k, np.zeros(part, np.uint64)
+                held = held + own
+        if at is not None:
+            yield done()
+
+    sent = few(rows).mapInPandas(count, "part int, held binary")
+    tasks = min(cells // part, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    found = sent.repartition(tasks, "part").sortWithinPartitions("part").mapInPandas(add, "cell long, n long").toPandas().sort_values("cell")
+    n = found["n"].to_numpy(np.int64)
+    return Hot(cells, found["cell"].to_numpy(np.int64), np.minimum(PARTS, -(-n // limit)))

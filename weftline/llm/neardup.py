@@ -4,14 +4,15 @@ A record is the set of its runs of ``n`` words.  Its signature is a vector of ``
 bits (one bit for each value of a coordinate) the bits of one coordinate exclude each other, so they stay together.  Two
 sets of similarity t differ in about (1 - t) of the coordinates, and more than ``budget`` mismatches are as rare as ``RARE``.
 
-Coordinates are put into partitions of ``WIDTH``, those with like skew together, measured by how often two records agree
-in them by chance.  By the generalised pigeonhole principle two records with at most ``budget`` mismatches have, in at
-least one partition i, at most t_i of them, for any thresholds with sum(t_i + 1) = budget + 1; a partition may get -1 and
-be left out.  A dynamic programme chooses the thresholds so that estimated candidates and rows sent are fewest.  A
-threshold t_i is probed by keys of every choice of WIDTH - t_i coordinates.
+Coordinates whose agreement is correlated are put into one partition of ``WIDTH``: how correlated is measured on all pairs
+of a sample of SAMPLE signatures.  By the generalised pigeonhole principle two records with at most ``budget`` mismatches
+have, in at least one partition i, at most t_i of them, for any thresholds with sum(t_i + 1) = budget + 1; a partition may
+get -1 and be left out.  A dynamic programme chooses the thresholds so that candidates, estimated from sketches of all
+signatures, and rows sent are fewest.  A threshold t_i is probed by keys of every choice of WIDTH - t_i coordinates.
 
 Candidates that share a key are thinned inside the join by a 128-bit digest of the signature, then by the whole
-signatures, and those left are verified exactly on the texts.  Equal sets are collapsed before and never paired.
+signatures, and those left are verified exactly on their sets, which are made once a record.  Equal sets are collapsed
+before and never paired.  Keys that very many records share are split over tasks.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import bloom
-from weftline.functions.text import WordHashes, mix, runs, words
+from weftline.functions.text import WordHashes, mix
+from weftline.llm.hot import hot
+from weftline.llm.shingles import blobs, pieces, run_sets
 from weftline.operators.components import components
-from weftline.operators.spread import spread
+from weftline.operators.spread import few, spread
 from weftline.scratch import cut
 
 COORDINATES = 32
@@ -41,6 +44,8 @@ RARE = 0.004
 LOST = 5e-4
 #: Counters of one sketch.
 COUNTERS = 1024
+#: Signatures on whose pairs correlations are measured, at most.
+SAMPLE = 512
 #: What sending a row costs, in candidates.
 ROW = 1.0
 
@@ -63,32 +68,29 @@ def agreement(similarity: float, bits: int = 32) -> int:
     return max(k for k in range(COORDINATES + 1) if 1 - _tail(COORDINATES, equal, k - 1) <= LOST)
 
 
-def shingle_set(text: str, n: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct hashes of all runs of n words, sorted."""
-    return np.unique(runs(hashes(words(text)), n))
-
-
 def _signatures(n: int):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in batches:
-            out: list[tuple] = []
-            for id, text in zip(pdf["id"], pdf["text"]):
-                if text is None:
+            texts = pdf["text"].tolist()
+            for low, high in pieces(texts):
+                ends, s, _ = run_sets(texts[low:high], n, hashes)
+                sizes = np.diff(np.r_[0, ends])
+                some = sizes > 0
+                if not some.any():
                     continue
-                s = shingle_set(text, n, hashes)
-                if not len(s):
-                    continue
-                least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-                for k in range(0, len(s), 1 << 14):
-                    least = np.minimum(least, ((s[k : k + (1 << 14), None] * _SEEDS) ^ (s[k : k + (1 << 14), None] >> np.uint64(29)) * _SEEDS[::-1]).min(0))
+                starts = (ends - sizes)[some]
+                least = np.empty((len(starts), COORDINATES), np.uint64)
+                right = s >> np.uint64(29)
+                for k in range(COORDINATES):
+                    least[:, k] = np.minimum.reduceat((s * _SEEDS[k]) ^ (right * _SEEDS[-1 - k]), starts)
                 least = mix(least)
-                nibbles = (least >> np.uint64(60)).reshape(2, -1) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-                d = np.bitwise_or.reduce(nibbles, 1).view(np.int64)
-                a = int(mix(np.array([np.add.reduce(mix(s))], np.uint64)).view(np.int64)[0])
-                b = int(mix(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(7)))], np.uint64)).view(np.int64)[0])
-                out.append((id, a, b, len(s), (least >> np.uint64(28)).astype("<u4").tobytes(), int(d[0]), int(d[1])))
-            yield pd.DataFrame(out, columns=["id", "a", "b", "size", "signature", "d0", "d1"])
+                nibbles = (least >> np.uint64(60)).reshape(len(starts), 2, -1) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+                d = np.bitwise_or.reduce(nibbles, 2).view(np.int64)
+                a, b = mix(np.add.reduceat(mix(s), starts)), mix(np.bitwise_xor.reduceat(mix(s + np.uint64(7)), starts))
+                signature = (least >> np.uint64(28)).astype("<u4")
+                out = {"id": pdf["id"].to_numpy(np.int64)[low:high][some], "a": a.view(np.int64), "b": b.view(np.int64), "size": sizes[some].astype(np.int32)}
+                yield pd.DataFrame(out | {"signature": [x.tobytes() for x in signature], "d0": d[:, 0], "d1": d[:, 1]})
 
     return make
 
@@ -129,7 +131,7 @@ def _second_moments(signatures: DataFrame, choices: list[tuple[int, ...]]) -> li
     """For each choice of coordinates the estimated sum of squared key frequencies, over all rows.
 
     Each task adds signs into COUNTERS counters a choice; their sum over all tasks squared is the estimate.  What a task
-    sends is one fixed-size array, whatever its rows.
+    sends is of fixed size, whatever its rows; tasks are a few for each core, and choices are added up apart from each other.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,18 +145,45 @@ def _second_moments(signatures: DataFrame, choices: list[tuple[int, ...]]) -> li
                     h = _keys(values, choice)
                     held[k] += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1), COUNTERS).astype(np.int64)
         if some:
-            yield pd.DataFrame({"held": [held.tobytes()]})
+            yield pd.DataFrame({"choice": range(len(choices)), "held": [x.tobytes() for x in held]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((len(choices), COUNTERS), np.int64)
+        held: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for x in pdf["held"]:
-                held += np.frombuffer(x, np.int64).reshape(held.shape)
-        yield pd.DataFrame({"held": [held.tobytes()]})
-
-    parts = signatures.select("signature").mapInPandas(count, "held binary").repartition(8).mapInPandas(add, "held binary").collect()
-    total = sum((np.frombuffer(r["held"], np.int64).reshape(len(choices), COUNTERS) for r in parts), np.zeros((len(choices), COUNTERS), np.int64))
-    return (total.astype(float) ** 2).sum(1).tolist()
+            for k, x in zip(pdf["choice"], pdf["held"]):
+                held[k] = held.get(k, 0) + np.frombuffer(x, np.int64)
+        yield pd.DataFrame({"choice": list(held), "moment": [float((x.astype(float) ** 2).sum()) for x in held.values()]}).astype({"choice": "int64", "moment": "float64"})
+
+    sent = few(signatures.select("signature")).mapInPandas(count, "choice long, held binary")
+    tasks = min(len(choices), signatures.sparkSession.sparkContext.defaultParallelism)
+    found = {r["choice"]: r["moment"] for r in sent.repartition(tasks, "choice").mapInPandas(add, "choice long, moment double").collect()}
+    return [found.get(k, 0.0) for k in range(len(choices))]
+
+
+def correlation(signatures: DataFrame) -> np.ndarray:
+    """How the agreement of coordinates is correlated over all pairs of at most SAMPLE signatures, drawn by their content."""
+    drawn = signatures.select("a", "b", "signature").orderBy("a", "b").limit(SAMPLE).toPandas()
+    if len(drawn) < 3:
+        return np.zeros((COORDINATES, COORDINATES))
+    values = _matrix(drawn["signature"])
+    i, j = np.triu_indices(len(values), 1)
+    agree = (values[i] == values[j]).astype(np.float32)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nan_to_num(np.corrcoef(agree.T))
+
+
+def grouped(correlated: np.ndarray, width: int = WIDTH) -> tuple[tuple[int, ...], ...]:
+    """Coordinates in partitions: the most correlated pair left, and to it those most correlated with what it has."""
+    left, out = list(range(len(correlated))), []
+    while left:
+        own = [left[0]]
+        if len(left) > 1:
+            own = list(max(((i, j) for i in left for j in left if i < j), key=lambda p: (correlated[p], -p[0], -p[1])))
+        while len(own) < min(width, len(left)):
+            own.append(max((k for k in left if k not in own), key=lambda k: (sum(correlated[k, o] for o in own), -k)))
+        out.append(tuple(sorted(own)))
+        left = [k for k in left if k not in own]
+    return tuple(out)
 
 
 def allocate(costs: list[list[float]], need: int) -> tuple[int, ...]:
@@ -174,9 +203,7 @@ def allocate(costs: list[list[float]], need: int) -> tuple[int, ...]:
 def plan(signatures: DataFrame, similarity: float) -> Plan:
     """Partitions and thresholds for these signatures, from counts over all of them."""
     rows = signatures.count()
-    alone = _second_moments(signatures, [(k,) for k in range(COORDINATES)])
-    order = sorted(range(COORDINATES), key=lambda k: (alone[k], k))
-    partitions = tuple(tuple(sorted(order[k : k + WIDTH])) for k in range(0, COORDINATES, WIDTH))
+    partitions = grouped(correlation(signatures))
     choices = [[list(combinations(p, WIDTH - t)) for t in range(WIDTH)] for p in partitions]
     flat = [c for p in choices for level in p for c in level]
     moment = dict(zip(flat, _second_moments(signatures, flat)))
@@ -197,19 +224,28 @@ def _matching(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((_matrix(a) == _matrix(b)).sum(1).astype(np.int32)) if len(a) else pd.Series([], dtype="int32")
 
 
-def _exact(n: int):
-    @F.pandas_udf("double")
-    def jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _sets(n: int):
+    """(id, runs): the distinct runs of each text, in order, as bytes."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for a, b in batches:
-            out = []
-            for x, y in zip(a, b):
-                x, y = shingle_set(x, n, hashes), shingle_set(y, n, hashes)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both / (len(x) + len(y) - both))
-            yield pd.Series(out, dtype="float64")
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for low, high in pieces(texts):
+                ends, s, _ = run_sets(texts[low:high], n, hashes)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(np.int64)[low:high], "runs": blobs(s, ends)})
+
+    return make
 
-    return jaccard
+
+@F.pandas_udf(T.DoubleType())
+def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both / max(1, len(x) + len(y) - both))
+    return pd.Series(out, dtype="float64")
 
 
 class Classes(NamedTuple):
@@ -236,25 +272,36 @@ def classes(documents: DataFrame, n: int = 5, similarity: float = 0.8, id: str =
     chosen = plan(firsts, similarity)
     probes = chosen.probes()
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            values = _matrix(pdf["signature"])
-            yield pd.DataFrame({"key": np.concatenate([_keys(values, c).view(np.int64) for c in probes])} | {c: np.tile(pdf[c].to_numpy(np.int64), len(probes)) for c in ("id", "d0", "d1")})
+    def keys_of(pdf: pd.DataFrame) -> np.ndarray:
+        values = _matrix(pdf["signature"]) if len(pdf) else np.empty((0, COORDINATES), np.uint64)
+        return np.concatenate([np.empty(0, np.int64), *[_keys(values, c).view(np.int64) for c in probes]])
+
+    often = hot(firsts.select("signature"), keys_of, firsts.count() * len(probes))
+
+    def keys(left: bool):
+        def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    own = np.tile(np.arange(len(pdf)), len(probes))
+                    rows, key = often.split(keys_of(pdf), pdf["id"].to_numpy(np.int64)[own], left)
+                    yield pd.DataFrame({"key": key} | {c: pdf[c].to_numpy(np.int64)[own[rows]] for c in ("id", "d0", "d1")})
+
+        return make
 
-    keyed = firsts.select("id", "signature", "d0", "d1").mapInPandas(keys, "key long, id long, d0 long, d1 long")
-    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (_agreeing("x", "y") >= agreement(similarity, 4)))
+    narrow = firsts.select("id", "signature", "d0", "d1")
+    x = narrow.mapInPandas(keys(True), "key long, id long, d0 long, d1 long")
+    y = narrow.mapInPandas(keys(False), "key long, id long, d0 long, d1 long") if len(often.at) else x  # one exchange serves both sides where no key is split
+    x, y = x.alias("x"), y.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (_agreeing("x", "y") >= agreement(similarity, 4)))
     close = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     signature = firsts.select("id", "signature", "size")
     near = close.join(signature.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("size").alias("na")), "a").join(signature.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("size").alias("nb")), "b")
     alike = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")
     pairs = cut(near.where(alike & (_matching("sa", "sb") >= agreement(similarity))).select("a", "b"), "candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    needed = bloom.members(ids, bloom.bits_for(pairs.count() * 2))
-    texts = cut(rows.where(needed(F.col("id"))), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    links = both.select("a", "b", _exact(n)("ta", "tb").alias("similarity")).where(F.col("similarity") >= similarity)
+    sets = cut(bloom.meeting(rows, ids).mapInPandas(_sets(n), "id long, runs binary"), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
+    links = both.select("a", "b", _jaccard("ra", "rb").alias("similarity")).where(F.col("similarity") >= similarity)
     return Classes(members, links, chosen)
 
 

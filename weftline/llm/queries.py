@@ -94,6 +94,15 @@ def p6_byte_pairs(spark: SparkSession, d: str) -> DataFrame:
     return budget.by_slice(_table(spark, d, "documents"), budget.BytePairs(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", budget.BYTE_PATTERN))
 
 
+def p6_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each source, and those whose byte-level tokens in pieces of 512 characters do not add up to those of the whole text."""
+    documents = _table(spark, d, "documents").withColumn("slice", budget.source_of(F.col("source")))
+    tokenizer = budget.BytePairs(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", budget.BYTE_PATTERN)
+    whole = budget.counted(documents, tokenizer, keep=("slice",), most_chars=1 << 30)
+    pieces = budget.counted(documents, tokenizer, most_chars=512).withColumnRenamed("tokens", "summed")
+    return whole.join(pieces, "doc_id").groupBy(F.col("slice").alias("source")).agg(F.count("*").alias("documents"), F.count_if(F.col("tokens") != F.col("summed")).alias("differing"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with twelve successive words of an item, verbatim."""
     return leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark")).where("exact_runs > 0").select("doc_id", "item_id")
@@ -131,13 +140,14 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p1_labels, p2_found, p2_groups, p4_found, p4_by_split, p4_weighted, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p7_found, p7_items, p7_reparameterised, p8_found, p8_shares, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p1_labels, p2_found, p2_groups, p4_found, p4_by_split, p4_weighted, p5_found, p5_copies, p6_found, p6_slices, p6_byte_pairs, p6_cuts, p7_found, p7_items, p7_reparameterised, p8_found, p8_shares, p9_found, p9_shared)}
 
 _TOKENS = "greatest(1, length(text) // 4)"
 
 SQL = {
     "p1_statistics": sqltext.P1,
     "p2_found": sqltext.P2,
+    "p2_groups": sqltext.P2_GROUPS,
     "p4_found": sqltext.P4,
     "p4_by_split": sqltext.P4_COUNTS,
     "p4_weighted": sqltext.P4_WEIGHTED,
@@ -146,10 +156,12 @@ SQL = {
     "p7_found": sqltext.P7,
     "p7_items": sqltext.P7_ITEMS,
     "p9_found": sqltext.P9,
+    "p9_shared": sqltext.P9_SHARED,
     "p6_found": f"""
 with t as (select download_id, sum({_TOKENS}) as tokens from documents group by 1),
 l as (select download_id, arg_max(estimated_tokens, updated_at) as recorded from resume_snapshots group by 1)
 select l.download_id from l left join t using (download_id) where recorded is null or abs(recorded - coalesce(tokens, 0)) > 0.02 * coalesce(tokens, 0)""",
+    "p6_cuts": "select nullif(lower(trim(source)), '') as source, count(*) as documents, 0 as differing from documents group by 1",
     "p6_slices": f"""
 select nullif(lower(trim(source)), '') as source,
        nullif(split_part(split_part(lower(trim(lang)), '-', 1), '_', 1), '') as language,

@@ -5,8 +5,9 @@ a common step, shorter than the period, to two positions of the cover; so two eq
 always share a hashed window of ``least - period + 1``.  The covers used are perfect: q + 1 remainders for a period of
 q * q + q + 1, the fewest possible.
 
-Equal windows are joined; of all the windows two runs share only the leftmost is emitted, told by hashes of what stands
-before.  The pair is then extended on the texts, exactly.  Records of equal text are collapsed before; they are never
+Equal windows are joined, those of very many records split over tasks; of all the windows two runs share only the leftmost
+is emitted, told by hashes of what stands before.  The pair is then extended on the texts, exactly, in tiles of TILE
+positions of either text, so that two records with a passage many times each are no single row.  Records of equal text are collapsed before; they are never
 paired with each other until a caller asks for pairs.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import bloom
 from weftline.functions.text import mix
+from weftline.llm.hot import hot as hot_keys
 from weftline.operators.spread import spread
 from weftline.scratch import cut
 
@@ -33,6 +35,8 @@ HOT = 64
 BLOCK = 1 << 20
 #: Rows that a task hands on at once, about.
 ROWS = 200_000
+#: Bits of the positions of one tile.
+TILE = 14
 _BASE = 0xD1342543DE82EF95
 
 
@@ -180,17 +184,37 @@ def spans(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text: st
     """
     rows, again, distinct = _distinct(documents, least, id, text)
     anchors = distinct.mapInPandas(_anchors(least)[0], _ANCHOR)
-    return _extended(rows, _seeds(anchors.withColumn("hot", F.lit(False)), least), least), again
+    return _extended(rows, _seeds(anchors.withColumn("hot", F.lit(False)), least, _anchor_count(distinct, least)), least), again
 
 
 _ANCHOR = "h long, id long, at int, left int, near int"
 
 
-def _seeds(anchors: DataFrame, least: int) -> DataFrame:
+def _anchor_count(distinct: DataFrame, least: int) -> int:
+    """About how many windows are hashed."""
+    q = choose(least)
+    return int((distinct.agg(F.sum(F.char_length("text").cast("long"))).first()[0] or 0) * (q + 1) / (q * q + q + 1))
+
+
+def _split(often, left: bool):
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                rows, h = often.split(pdf["h"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64), left)
+                yield pdf.iloc[rows].assign(h=h)
+
+    return make
+
+
+def _seeds(anchors: DataFrame, least: int, anchor_rows: int) -> DataFrame:
     """(a, b, p, r): the leftmost common window of each pair of equal runs; where both records have hot windows, which are
     missing here, all common windows."""
     period = _anchors(least)[1]
-    x, y = anchors.alias("x"), anchors.alias("y")
+    often = hot_keys(anchors.select("h"), lambda pdf: pdf["h"].to_numpy(np.int64), anchor_rows)
+    x = y = anchors  # one exchange serves both sides where no key is split
+    if len(often.at):
+        x, y = (anchors.mapInPandas(_split(often, left), anchors.schema) for left in (True, False))
+    x, y = x.alias("x"), y.alias("y")
     same_phase = F.pmod(F.col("x.at") - F.col("y.at"), F.lit(period)) == 0
     first_near = (F.col("x.near") == 0) | (F.col("y.near") == 0) | (F.col("x.near") != F.col("y.near"))
     first_left = (F.col("x.left") == 0) | (F.col("y.left") == 0) | (F.col("x.left") != F.col("y.left"))
@@ -200,11 +224,10 @@ def _seeds(anchors: DataFrame, least: int) -> DataFrame:
 
 
 def _extended(rows: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
-    both = seeds.select(F.col("a").alias("id")).unionByName(seeds.select(F.col("b").alias("id")))
-    needed = bloom.members(both, bloom.bits_for(seeds.count() * 2))
-    texts = rows.where(needed(F.col("id")))
-    per_pair = seeds.groupBy("a", "b").agg(F.collect_list(F.struct("p", "r")).alias("seeds"))
-    joined = per_pair.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    texts = bloom.meeting(rows, seeds.select(F.col("a").alias("id")).unionByName(seeds.select(F.col("b").alias("id"))))
+    tile = [F.shiftright("p", TILE).alias("_p"), F.shiftright("r", TILE).alias("_r")]
+    per_tile = seeds.groupBy("a", "b", *tile).agg(F.collect_list(F.struct("p", "r")).alias("seeds")).drop("_p", "_r")
+    joined = per_tile.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return joined.mapInPandas(_extend(least), "a long, b long, a_start int, b_start int, length int")
 
 
@@ -274,7 +297,7 @@ def coverage(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text:
     hot_at = anchors.select("h", "id", "at").join(often, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("hot"))
     hot_at = cut(hot_at, "hot-records")  # as many positions as the record has
     cold = anchors.join(often, "h", "left_anti").join(hot_at.select("id", F.lit(True).alias("hot")), "id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    found = cut(_extended(rows, _seeds(cold, least), least), "spans")
+    found = cut(_extended(rows, _seeds(cold, least, _anchor_count(distinct, least)), least), "spans")
     ends = found.select(F.col("a").alias("id"), F.col("a_start").alias("start"), "length").unionByName(found.select(F.col("b").alias("id"), F.col("b_start").alias("start"), "length"))
     windows = distinct.join(hot_at, "id").mapInPandas(_windows(least), "h long, id long, start int")
     common = windows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")

@@ -62,6 +62,18 @@ from d left join g using (doc_id)"""
 
 P2 = f"with s as ({shingles('documents', 'doc_id', 3)}), {similar(3, 0.5, 'x.id < y.id')} select a as doc_id_a, b as doc_id_b from pairs"
 
+P2_GROUPS = f"""
+with recursive s0 as ({shingles('documents', 'doc_id', 5)}),
+v as (select id, md5(string_agg(s, chr(1) order by s)) as vector from s0 group by 1),
+m as (select id, min(id) over (partition by vector) as class_id from v),
+s as (select id, s from s0 join m using (id) where id = class_id),
+{similar(5, 0.8, 'x.id < y.id')},
+e as (select a as u, b as v from pairs union all select b, a from pairs),
+r(id, root) as (select id, id from m where id = class_id union select e.v, r.root from r join e on e.u = r.id),
+g as (select id, min(root) as group_id from r group by 1),
+d as (select u, count(*) as links from e group by 1)
+select m.id as doc_id, m.class_id, group_id, coalesce(links, 0) as links from m join g on g.id = m.class_id left join d on d.u = m.class_id"""
+
 P4 = f"""
 with t as (select record_id as id, split = 'train' as train, text from processed_records where split is not null),
 s0 as ({shingles('t', 'id', 3)}), s as (select s0.id, s, train from s0 join t on t.id = s0.id),
@@ -112,3 +124,9 @@ P9 = """
 with w as (select distinct doc_id, md5(substr(text, i, 500)) as h from (select doc_id, text, unnest(range(1, length(text) - 498)) as i from documents where length(text) >= 500)),
 m as (select w.doc_id, w.h from w join (select h from w group by 1 having count(*) > 1) using (h))
 select distinct x.doc_id as doc_id_a, y.doc_id as doc_id_b from m x join m y on x.h = y.h and x.doc_id < y.doc_id"""
+
+P9_SHARED = """
+with w as (select doc_id, i, md5(substr(text, i, 500)) as h from (select doc_id, text, unnest(range(1, length(text) - 498)) as i from documents where length(text) >= 500)),
+m as (select doc_id, i from w join (select h from w group by 1 having count(distinct doc_id) > 1) using (h)),
+c as (select doc_id, cast(sum(n) as bigint) as shared from (select doc_id, least(500, coalesce(lead(i) over (partition by doc_id order by i) - i, 500)) as n from m) group by 1)
+select doc_id, cast(length(text) as integer) as chars, coalesce(shared, 0) as shared, coalesce(shared / nullif(length(text), 0), 0) as share from documents left join c using (doc_id)"""
