@@ -208,6 +208,41 @@ def test_pigeonhole_covers_the_budget():
         assert any(not (c & wrong) for c in probes)
 
 
+@pytest.mark.parametrize("limit", [1, 2, 7, 4096])
+def test_pairs_of_one_key_meet_once(spark, limit):
+    """Blocks above the limit are dealt into parts; one key has a third of all rows."""
+    from weftline.llm import meet
+
+    r = random.Random(limit)
+    data = [(7 if k % 3 == 0 else r.randint(-40, 40), k, r.random() < 0.5) for k in range(240)]
+    df = spark.createDataFrame(data, "key long, id long, odd boolean").repartition(5)
+    got = meet.pairs(df, "key", "id", lambda c, i, j: c["odd"][i] | c["odd"][j], lambda c, i, j: {"a": np.minimum(c["id"][i], c["id"][j]), "b": np.maximum(c["id"][i], c["id"][j])}, "a long, b long", "test", limit)
+    want = sorted((i, j) for k, i, x in data for m, j, y in data if i < j and k == m and (x or y))
+    assert sorted(map(tuple, got.collect())) == want
+    assert meet.pairs(df.where("false"), "key", "id", lambda c, i, j: i < j, lambda c, i, j: {"a": i}, "a long", "test", limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [3, 20])
+def test_near_duplicates_and_spans_do_not_depend_on_the_limit(spark, limit):
+    texts = corpus(9, 40) + ["one passage that many records share word for word and " * 3 + f"end {k}" for k in range(25)]
+    df = frame(spark, texts)
+    links = lambda n: {(x.a, x.b) for x in neardup.classes(df, 3, 0.5, limit=n).links.collect()}
+    assert links(limit) == links(4096)
+    found = lambda n: sorted(map(tuple, spans.spans(df, 40, limit=n)[0].collect()))
+    assert found(limit) == found(4096)
+
+
+def test_correlated_coordinates_share_a_partition():
+    c = np.eye(32)
+    for group in ((0, 9, 17, 30), (3, 4, 8, 31)):
+        for i in group:
+            for j in group:
+                c[i, j] = 0.9
+    got = neardup.grouped(c)
+    assert got[0] in ((0, 9, 17, 30), (3, 4, 8, 31)) and {(0, 9, 17, 30), (3, 4, 8, 31)} <= set(got)
+    assert sorted(k for p in got for k in p) == list(range(32)) and {len(p) for p in got} == {4}
+
+
 # 4
 
 

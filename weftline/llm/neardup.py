@@ -24,13 +24,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import bloom
 from weftline.functions.text import WordHashes, mix
-from weftline.llm.hot import hot
+from weftline.llm import meet
 from weftline.llm.shingles import blobs, pieces, run_sets
 from weftline.operators.components import components
 from weftline.operators.spread import few, spread
@@ -211,12 +211,14 @@ def plan(signatures: DataFrame, similarity: float) -> Plan:
     return Plan(partitions, allocate(costs, budget(similarity) + 1))
 
 
-def _agreeing(a: str, b: str) -> Column:
-    def differing(x: Column) -> Column:
-        spread = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        return F.bit_count(spread.bitwiseAND(F.lit(0x1111111111111111)))
-
-    return F.lit(COORDINATES) - differing(F.col(f"{a}.d0").bitwiseXOR(F.col(f"{b}.d0"))) - differing(F.col(f"{a}.d1").bitwiseXOR(F.col(f"{b}.d1")))
+def _agreeing(c: meet.Columns, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Coordinates in whose four bits the digests of pairs agree."""
+    out = np.full(len(i), COORDINATES, np.uint8)
+    for d in ("d0", "d1"):
+        x = (c[d][i] ^ c[d][j]).view(np.uint64)
+        x |= x >> np.uint64(2)
+        out -= np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x1111111111111111))
+    return out
 
 
 @F.pandas_udf(T.IntegerType())
@@ -257,7 +259,7 @@ class Classes(NamedTuple):
     plan: Plan
 
 
-def classes(documents: DataFrame, n: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> Classes:
+def classes(documents: DataFrame, n: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text", limit: int = meet.LIMIT) -> Classes:
     """Records with equal sets of n-word runs as classes, and all links between classes.
 
     Ids must be unique longs; rows without one are left out.  Null texts and texts of fewer than ``n`` words have no similarity to anything and do not
@@ -272,28 +274,17 @@ def classes(documents: DataFrame, n: int = 5, similarity: float = 0.8, id: str =
     chosen = plan(firsts, similarity)
     probes = chosen.probes()
 
-    def keys_of(pdf: pd.DataFrame) -> np.ndarray:
-        values = _matrix(pdf["signature"]) if len(pdf) else np.empty((0, COORDINATES), np.uint64)
-        return np.concatenate([np.empty(0, np.int64), *[_keys(values, c).view(np.int64) for c in probes]])
-
-    often = hot(firsts.select("signature"), keys_of, firsts.count() * len(probes))
-
-    def keys(left: bool):
-        def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    own = np.tile(np.arange(len(pdf)), len(probes))
-                    rows, key = often.split(keys_of(pdf), pdf["id"].to_numpy(np.int64)[own], left)
-                    yield pd.DataFrame({"key": key} | {c: pdf[c].to_numpy(np.int64)[own[rows]] for c in ("id", "d0", "d1")})
+    least = agreement(similarity, 4)
 
-        return make
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                values = _matrix(pdf["signature"])
+                yield pd.DataFrame({"key": np.concatenate([_keys(values, c).view(np.int64) for c in probes])} | {c: np.tile(pdf[c].to_numpy(np.int64), len(probes)) for c in ("id", "d0", "d1")})
 
-    narrow = firsts.select("id", "signature", "d0", "d1")
-    x = narrow.mapInPandas(keys(True), "key long, id long, d0 long, d1 long")
-    y = narrow.mapInPandas(keys(False), "key long, id long, d0 long, d1 long") if len(often.at) else x  # one exchange serves both sides where no key is split
-    x, y = x.alias("x"), y.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (_agreeing("x", "y") >= agreement(similarity, 4)))
-    close = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    keyed = firsts.select("id", "signature", "d0", "d1").mapInPandas(keys, "key long, id long, d0 long, d1 long")
+    met = meet.pairs(keyed, "key", "id", lambda c, i, j: (c["id"][i] != c["id"][j]) & (_agreeing(c, i, j) >= least), lambda c, i, j: {"a": np.minimum(c["id"][i], c["id"][j]), "b": np.maximum(c["id"][i], c["id"][j])}, "a long, b long", "met", limit)
+    close = met.distinct()
     signature = firsts.select("id", "signature", "size")
     near = close.join(signature.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("size").alias("na")), "a").join(signature.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("size").alias("nb")), "b")
     alike = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import bloom
 from weftline.functions.text import mix
-from weftline.llm.hot import hot as hot_keys
+from weftline.llm import meet
 from weftline.operators.spread import spread
 from weftline.scratch import cut
 
@@ -175,7 +175,7 @@ def _distinct(documents: DataFrame, least: int, id: str, text: str) -> tuple[Dat
     return rows, again, bloom.without(rows.where(F.char_length("text") >= least), again.select("id"))
 
 
-def spans(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def spans(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text: str = "text", limit: int = meet.LIMIT) -> tuple[DataFrame, DataFrame]:
     """(spans, copies): spans are maximal equal runs (a, b, a_start, b_start, length), a < b, of ``least`` characters or
     more between records of different text; copies are those of ``copies``.
 
@@ -184,43 +184,28 @@ def spans(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text: st
     """
     rows, again, distinct = _distinct(documents, least, id, text)
     anchors = distinct.mapInPandas(_anchors(least)[0], _ANCHOR)
-    return _extended(rows, _seeds(anchors.withColumn("hot", F.lit(False)), least, _anchor_count(distinct, least)), least), again
+    return _extended(rows, _seeds(anchors.withColumn("hot", F.lit(False)), least, limit), least), again
 
 
 _ANCHOR = "h long, id long, at int, left int, near int"
 
 
-def _anchor_count(distinct: DataFrame, least: int) -> int:
-    """About how many windows are hashed."""
-    q = choose(least)
-    return int((distinct.agg(F.sum(F.char_length("text").cast("long"))).first()[0] or 0) * (q + 1) / (q * q + q + 1))
-
-
-def _split(often, left: bool):
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                rows, h = often.split(pdf["h"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64), left)
-                yield pdf.iloc[rows].assign(h=h)
-
-    return make
-
-
-def _seeds(anchors: DataFrame, least: int, anchor_rows: int) -> DataFrame:
+def _seeds(anchors: DataFrame, least: int, limit: int = meet.LIMIT) -> DataFrame:
     """(a, b, p, r): the leftmost common window of each pair of equal runs; where both records have hot windows, which are
     missing here, all common windows."""
     period = _anchors(least)[1]
-    often = hot_keys(anchors.select("h"), lambda pdf: pdf["h"].to_numpy(np.int64), anchor_rows)
-    x = y = anchors  # one exchange serves both sides where no key is split
-    if len(often.at):
-        x, y = (anchors.mapInPandas(_split(often, left), anchors.schema) for left in (True, False))
-    x, y = x.alias("x"), y.alias("y")
-    same_phase = F.pmod(F.col("x.at") - F.col("y.at"), F.lit(period)) == 0
-    first_near = (F.col("x.near") == 0) | (F.col("y.near") == 0) | (F.col("x.near") != F.col("y.near"))
-    first_left = (F.col("x.left") == 0) | (F.col("y.left") == 0) | (F.col("x.left") != F.col("y.left"))
-    leftmost = F.when(same_phase, first_near).otherwise(first_left) | (F.col("x.hot") & F.col("y.hot"))
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & leftmost)
-    return cut(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.at").alias("p"), F.col("y.at").alias("r")), "seeds")
+
+    def leftmost(c: meet.Columns, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        before = np.where((c["at"][i] - c["at"][j]) % period == 0, 0, 1)
+        x, y = (np.where(before == 0, c["near"][k], c["left"][k]) for k in (i, j))
+        return (c["id"][i] != c["id"][j]) & ((x == 0) | (y == 0) | (x != y) | c["hot"][i] & c["hot"][j])
+
+    def seed(c: meet.Columns, i: np.ndarray, j: np.ndarray) -> meet.Columns:
+        turned = c["id"][i] > c["id"][j]
+        a, b = np.where(turned, j, i), np.where(turned, i, j)
+        return {"a": c["id"][a], "b": c["id"][b], "p": c["at"][a], "r": c["at"][b]}
+
+    return meet.pairs(anchors, "h", "id", leftmost, seed, "a long, b long, p int, r int", "seeds", limit)
 
 
 def _extended(rows: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
@@ -297,7 +282,7 @@ def coverage(documents: DataFrame, least: int = LEAST, id: str = "doc_id", text:
     hot_at = anchors.select("h", "id", "at").join(often, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("hot"))
     hot_at = cut(hot_at, "hot-records")  # as many positions as the record has
     cold = anchors.join(often, "h", "left_anti").join(hot_at.select("id", F.lit(True).alias("hot")), "id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    found = cut(_extended(rows, _seeds(cold, least, _anchor_count(distinct, least)), least), "spans")
+    found = cut(_extended(rows, _seeds(cold, least), least), "spans")
     ends = found.select(F.col("a").alias("id"), F.col("a_start").alias("start"), "length").unionByName(found.select(F.col("b").alias("id"), F.col("b_start").alias("start"), "length"))
     windows = distinct.join(hot_at, "id").mapInPandas(_windows(least), "h long, id long, start int")
     common = windows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
