@@ -28,6 +28,20 @@ def idempotent(events: DataFrame, order: str) -> DataFrame:
     return joined.select(*events.columns, (F.col("_identity").isNotNull() & F.col("_is_first").isNull()).alias("repeat"))
 
 
+def selected(experiments: DataFrame, student: str | None = None, status: str | None = None) -> DataFrame:
+    """Experiments of a student, of a status, of both or all."""
+    for column, value in (("student_id", student), ("status", status)):
+        if value is not None:
+            experiments = experiments.where(F.col(column) == value)
+    return experiments
+
+
+def of_experiments(events: DataFrame, experiment: str | None = None) -> DataFrame:
+    """Events of experiments, or of one, among all worker events."""
+    rows = events.where(F.trim("experiment_id") != "")
+    return rows if experiment is None else rows.where(F.col("experiment_id") == experiment)
+
+
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by ``order``: an upsert log folded. Ties are broken by nothing else, so order must be total."""
     rest = [c for c in df.columns if c not in key]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import corpus, exactly_once, files, runs
+from weftline.plans import corpus, exactly_once, files, records, runs
 
-QUERIES = {**corpus.QUERIES, **runs.QUERIES, **exactly_once.QUERIES, **files.QUERIES}
-SQL = {**corpus.SQL, **runs.SQL, **exactly_once.SQL, **files.SQL}
+QUERIES = {**corpus.QUERIES, **runs.QUERIES, **exactly_once.QUERIES, **files.QUERIES, **records.QUERIES}
+SQL = {**corpus.SQL, **runs.SQL, **exactly_once.SQL, **files.SQL, **records.SQL}

@@ -269,6 +269,20 @@ with o as (select *, row_number() over (partition by split order by record_id) -
 k as (select record_id, split, sha256(concat_ws(chr(0), '{SEED}', split, cast(ordinal as varchar), coalesce(nullif(trim(document_hash), ''), 'record:' || record_id))) as key from o),
 b as (select *, cast(cast('0x' || substr(key, 1, 16) as ubigint) % {BUCKETS} as integer) as bucket from k)"""
 
+def redacted(rows: str) -> str:
+    """SQL of (record_id, detail): the text x of (record_id, x) ``rows`` redacted."""
+    return rf"""
+with t as ({rows}),
+a as (select record_id, regexp_replace(x, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'g') as x from t),
+b as (select record_id, regexp_replace(x, '\bsk-[A-Za-z0-9_-]{{8,}}', '[redacted-api-key]', 'g') as x from a),
+c as (select record_id, regexp_replace(x, '(?i)\b(token|secret|password|cookie)=([^\s;]+)', '\1=[redacted]', 'g') as x from b),
+e as (select record_id, regexp_replace(x, '/(?:secure|mnt/course-data|course-data|private)(?:/[^\s''"<>)]*)?', '[private-path]', 'g') as x from c),
+f as (select record_id, regexp_replace(x, '\b(?:api|backend)\.internal\b', '[internal-host]', 'g') as x from e),
+g as (select record_id, regexp_replace(x, '\b(?:provider-)?job-[0-9a-fA-F-]{{8,}}\b', '[provider-job]', 'g') as x from f),
+h as (select record_id, array_to_string(list_filter(list_transform(string_split_regex(x, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda l: regexp_replace(l, {quoted(SPACE + "$")}, '')), lambda l: l <> ''), chr(10)) as x from g)
+select record_id, case when length(x) > 4000 then regexp_replace(substr(x, 1, 3997), {quoted(SPACE + "$")}, '') || '...' else x end as detail from h"""
+
+
 SQL = {
     "clean_dedup_split": _JUDGED + f" select record_id, cleaned as text, {_REC} as source, digest as document_hash, outcome as split from j where outcome in ('train', 'validation')",
     "postprocess_stats": _JUDGED
@@ -339,15 +353,6 @@ select shard_id, wrong, count(*) as rows from w group by 1, 2""",
 a as (select shard_id, tokens, cast(coalesce(sum(tokens) over (order by shard_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from s)
 select x.position, shard_id, x.position - start as place from range(0, (select max(start + tokens) from a)) as x(position) join a on x.position >= start and x.position < start + tokens""",
     "secret_scan": f"select {_DOC} as source, count(*) filter ({' or '.join(f'contains(text, {quoted(s)})' for s in SECRETS)}) as documents, bool_or({' or '.join(f'contains(text, {quoted(s)})' for s in SECRETS)}) as found from documents group by 1",
-    "failure_redaction": rf"""
-with t as (select record_id, 'job-0a1b2c3d at api.internal token=abc /private/x ' || coalesce(text, '') as x from raw_records),
-a as (select record_id, regexp_replace(x, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'g') as x from t),
-b as (select record_id, regexp_replace(x, '\bsk-[A-Za-z0-9_-]{{8,}}', '[redacted-api-key]', 'g') as x from a),
-c as (select record_id, regexp_replace(x, '(?i)\b(token|secret|password|cookie)=([^\s;]+)', '\1=[redacted]', 'g') as x from b),
-e as (select record_id, regexp_replace(x, '/(?:secure|mnt/course-data|course-data|private)(?:/[^\s''"<>)]*)?', '[private-path]', 'g') as x from c),
-f as (select record_id, regexp_replace(x, '\b(?:api|backend)\.internal\b', '[internal-host]', 'g') as x from e),
-g as (select record_id, regexp_replace(x, '\b(?:provider-)?job-[0-9a-fA-F-]{{8,}}\b', '[provider-job]', 'g') as x from f),
-h as (select record_id, array_to_string(list_filter(list_transform(string_split_regex(x, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda l: regexp_replace(l, {quoted(SPACE + "$")}, '')), lambda l: l <> ''), chr(10)) as x from g)
-select record_id, case when length(x) > 4000 then regexp_replace(substr(x, 1, 3997), {quoted(SPACE + "$")}, '') || '...' else x end as detail from h""",
+    "failure_redaction": redacted("select record_id, 'job-0a1b2c3d at api.internal token=abc /private/x ' || coalesce(text, '') as x from raw_records"),
     "white_space": f"select {_DOC} as source, count(*) filter ({collapsed('text')} <> text) as changed, cast(sum(length({collapsed('text')})) as bigint) as chars from documents group by 1",
 }
