@@ -9,13 +9,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.text import token_estimate
 from weftline.operators import tokens
 from weftline.operators.prefix import ordinals
-from weftline.plans import corpus, pipeline, runs
+from weftline.plans import corpus, pipeline
 from weftline.plans.corpus import SHARD, table
 from weftline.plans.sqltext import collapsed
 from weftline.scratch import folder
-from weftline.sources import jsonl, shards, tables
+from weftline.sources import export, jsonl, resume, shards, tables
+
+
+#: Tokens that the resumed ingest takes.
+INGEST = 200_000
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -86,12 +91,32 @@ def corpus_shuffle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger_export(spark: SparkSession, d: str) -> DataFrame:
-    """Experiments exported as CSV and sorted JSON lines, the CSV read again: fields as text, nothing null."""
+    """The whole export set written; of its CSV of experiments every field as text, nothing null."""
     at = _place(spark, "export")
-    flat = runs.experiment_export(spark, d)
-    tables.export({"experiments": flat}, f"file://{at}", {"experiments": ["experiment_id", "status", "used_runtime_seconds", "has_loss"]})
-    back = spark.read.option("nullValue", "\\N").option("emptyValue", "").csv(f"file://{at}/experiments.csv", header=True)
-    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
+    given = {n: table(spark, d, n) for n in ("experiments", "experiment_events", "budget_snapshots")}
+    back = spark.read.option("nullValue", "\\N").option("emptyValue", "").csv(f"file://{export.course_export(spark, given, f'file://{at}')['experiments_csv'].removeprefix('file://')}", header=True)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns if c != "final_validation_loss"], (F.coalesce("final_validation_loss", F.lit("")) != "").cast("string").alias("has_loss"))
+
+
+def export_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each file of the export set."""
+    at = _place(spark, "export")
+    given = {n: table(spark, d, n) for n in ("experiments", "experiment_events", "budget_snapshots")}
+    out = spark.createDataFrame([], "name string, rows long")
+    for name, path in export.course_export(spark, given, f"file://{at}").items():
+        held = spark.read.csv(path, header=True) if name.endswith("_csv") else spark.read.text(path)
+        out = out.unionByName(held.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows"))
+    return out
+
+
+def resumed_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Documents ingested in batches up to a number of tokens, stopped after the first batch and gone on with."""
+    at = _place(spark, "ingest")
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    numbered = rows.join(ordinals(rows.select("doc_id"), ["doc_id"]), "doc_id")
+    for most in (1, None):
+        resume.ingest(numbered, at, {"location": d}, token_estimate(F.col("text")), batch=400, max_tokens=INGEST, most_batches=most)
+    return resume.ingested(numbered, at).select("doc_id", F.char_length("text").alias("chars"))
 
 
 def snapshot_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +139,12 @@ def corpus_build(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "split string, source string, tokens long")
 
 
-QUERIES = {f.__name__: f for f in (jsonl_round_trip, shard_round_trip, corpus_shuffle, ledger_export, snapshot_round_trip, corpus_build)}
+QUERIES = {f.__name__: f for f in (jsonl_round_trip, shard_round_trip, corpus_shuffle, ledger_export, export_counts, resumed_ingest, snapshot_round_trip, corpus_build)}
+
+#: Columns of the CSV of experiments that the table has, and where.
+_EXPORTED = [(c, {"provider_logs_uri": "provider_artifacts.logs_uri", "provider_detail_uri": "provider_artifacts.detail_uri", "parameter_count_estimate": "resolved_config.parameter_count_estimate", "total_optimizer_steps": "resolved_config.total_optimizer_steps"}.get(c, c)) for c in export.COLUMNS["experiments"] if c not in ("final_validation_loss", "staff_failure_detail")]
+_HELD = {n: f"(select count(*) from {n})" for n in ("experiments", "experiment_events", "budget_snapshots")} | {"worker_events": "(select count(*) from experiment_events)"}
+_COUNTS = [(f"{n}_jsonl", _HELD.get(n, "0")) for n in export.TABLES] + [(f"{n}_csv", _HELD.get(n, "0")) for n in export.COLUMNS]
 
 _COUNTED = f"len(list_filter(string_split({collapsed('cleaned')}, ' '), lambda w: w <> '')) + 1"
 
@@ -144,7 +174,13 @@ SQL = {
     "jsonl_round_trip": "select record_id, text, row_number() over (order by file_idx, line_no) - 1 as ordinal from raw_records",
     "shard_round_trip": corpus._STREAMS + " select split, position, token from l",
     "corpus_shuffle": _REORDERED,
-    "ledger_export": "select experiment_id, status, coalesce(cast(used_runtime_seconds as varchar), '') as used_runtime_seconds, cast(final_validation_loss is not null as varchar) as has_loss from experiments",
+    "ledger_export": "select "
+    + ", ".join(f"coalesce(cast({c} as varchar), '') as {n}" for n, c in _EXPORTED)
+    + ", '' as staff_failure_detail, cast(final_validation_loss is not null as varchar) as has_loss from experiments",
+    "export_counts": " union all ".join(f"select '{n}' as name, {c} as rows" for n, c in _COUNTS),
+    "resumed_ingest": f"""
+with e as (select doc_id, length(text) as chars, coalesce(sum({corpus._EST}) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from documents)
+select doc_id, chars from e where before < {INGEST}""",
     "snapshot_round_trip": " union all ".join(f"select '{n}' as name, cast({k} as varchar) as key, concat_ws('|', {', '.join(f"coalesce(cast({c} as varchar), '')" for c in cs)}) as content from {n}" for n, (k, cs) in _TEXTS.items()),
     "corpus_build": corpus._JUDGED + f" select outcome as split, {corpus._REC} as source, cast(sum({_COUNTED}) as bigint) as tokens from j where outcome in ('train', 'validation') group by 1, 2",
 }

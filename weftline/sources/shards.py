@@ -132,6 +132,28 @@ def load_index(uri: str, full: bool = False) -> dict:
     return index
 
 
+def read_index(uri: str, most: int = 64 << 20, seconds: float = 30) -> dict:
+    """An index by path, file URI or over http(s), its form checked but not its files; other schemes are refused, and so is an
+    answer of more than ``most`` bytes."""
+    if urlparse(uri).scheme not in ("http", "https"):
+        text = open(local_path(uri), encoding="utf-8").read()
+    else:
+        from urllib.request import urlopen
+
+        with urlopen(uri, timeout=seconds) as answer:
+            data = answer.read(most + 1)
+        if len(data) > most:
+            raise IndexError_(f"{uri} is larger than {most} bytes")
+        text = data.decode("utf-8")
+    index = load_json(text) if text.lstrip().startswith("{") else {}
+    for key, value in INDEX.items():
+        if index.get(key) != value:
+            raise IndexError_(f"{key} is {index.get(key)!r}, not {value!r}")
+    if not isinstance(index.get("shards"), list) or index.get("total_tokens") != sum(s.get("tokens", 0) for s in index["shards"]):
+        raise IndexError_("total_tokens is not the sum of the shards")
+    return index
+
+
 def shard_table(spark: SparkSession, uri: str) -> DataFrame:
     """(shard, path, offset, tokens) of an index, offsets as running sums."""
     index, folder, offset, rows = load_index(uri), os.path.dirname(local_path(uri)), 0, []

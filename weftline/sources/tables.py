@@ -67,6 +67,35 @@ def write_json(path: str, value: object) -> None:
     os.replace(name, path)
 
 
+def write_env(path: str, values: dict[str, object]) -> None:
+    """Settings as lines that a shell can read, quoted; written beside their place, then renamed."""
+    import shlex
+
+    bad = [k for k in values if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", k)]
+    if bad:
+        raise ValueError(f"no names of variables: {', '.join(bad)}")
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        f.writelines(f"export {k}={shlex.quote(str(v))}\n" for k, v in values.items())
+    os.replace(f"{path}.part", path)
+
+
+def student_keys(spark: SparkSession, roster: str, out: str, key: str = "student_id") -> int:
+    """Give every student of a roster, a CSV of unique ids, a new random key, as a CSV; gives their number. A roster is one class."""
+    import secrets
+
+    names = sorted(r[0] for r in unique_csv(spark, roster, [key], key).select(F.trim(key)).collect())
+    with open(f"{out}.part", "w", encoding="utf-8") as f:
+        f.write(f"{key},api_key\n")
+        f.writelines(f'"{n}",{secrets.token_urlsafe(24)}\n' for n in names)
+    os.replace(f"{out}.part", out)
+    return len(names)
+
+
+def csv_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a CSV, its header aside."""
+    return spark.read.csv(path, header=True).count()
+
+
 def clear_folder(folder: str, known: re.Pattern) -> None:
     """Empty a folder for writing; any file that does not look like our own refuses it."""
     if not os.path.isdir(folder):
