@@ -214,6 +214,25 @@ def test_pipeline(spark, tmp_path):
         pipeline.prepare(spark, f"file://{tmp_path}/none", str(tmp_path / "out"), lengths, 0)
 
 
+def test_rebuild_from_processed_records(spark, tmp_path):
+    folder = tmp_path / "processed"
+    folder.mkdir()
+    put(folder / "train.jsonl.gz", [{"text": "alpha beta " * (k + 1), "source_id": "code" if k % 2 else None, "document_hash": f"h{k}"} for k in range(6)], gzip.open)
+    put(folder / "validation.jsonl", [{"text": "gamma"}])
+    got = pipeline.rebuild(spark, str(folder), str(tmp_path / "out"), lengths, 0, buckets=4, shard_tokens=16, limits={"code": 20})
+    assert got["splits"]["train"]["source_token_counts"]["unknown"] == 3 + 7 + 11 and got["splits"]["train"]["source_token_counts"]["code"] <= 20
+    assert got["splits"]["validation"]["total_tokens"] == 2 and shards.load_index(f"{tmp_path}/out/train/index.json", full=True)
+
+
+def test_unknown_event_types_fail_the_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put(folder / "1.json", [{"delivery_id": 1, "experiment_id": "r", "type": "odd"}])
+    query = events.run_states(events.stream(spark, str(folder), 1), known=("heartbeat",)).writeStream.format("noop").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    with pytest.raises(Exception, match="unknown event type odd"):
+        query.awaitTermination()
+
+
 def test_streams(spark, tmp_path, rows):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -82,3 +82,13 @@ def test_traceback(spark):
     no = ["fine", "", None, "ValueError", "no errors: none", 'File "a.py", line 3', "worker failed"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(yes + no)], "k int, t string")
     assert [r[0] for r in df.orderBy("k").select(T.looks_like_traceback(F.col("t"))).collect()] == [True] * len(yes) + [False] * len(no)
+
+
+def test_unknown_splits_are_train(spark):
+    df = spark.createDataFrame([(" Validation",), ("dev",), (None,), ("test",)], "s string")
+    assert [r[0] for r in df.select(T.normal_split(F.col("s"))).collect()] == ["validation", "train", "train", "test"]
+
+
+def test_a_line_end_is_no_part_of_an_id_or_digest(spark):
+    df = spark.createDataFrame([("run-1\n", "a" * 64 + "\n"), ("run-1", "A" * 64)], "i string, d string")
+    assert [tuple(r) for r in df.select(T.safe_id(F.col("i")), T.is_hex_digest(F.col("d"))).collect()] == [(False, False), (True, True)]

@@ -145,9 +145,15 @@ def normal_source(source: Column, blank: str | None = None) -> Column:
     return trimmed if blank is None else F.coalesce(trimmed, F.lit(blank))
 
 
+def normal_split(split: Column, known: tuple[str, ...] = ("train", "validation", "test")) -> Column:
+    """Trimmed and lower-cased; anything but a known split becomes train."""
+    found = F.lower(F.trim(split))
+    return F.when(found.isin(*known), found).otherwise("train")
+
+
 def is_hex_digest(digest: Column) -> Column:
     """Exactly 64 hex digits, any case."""
-    return F.coalesce(digest.rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
+    return F.coalesce(digest.rlike(r"\A[0-9a-fA-F]{64}\z"), F.lit(False))
 
 
 def truncate(text: Column, most: int) -> Column:
@@ -217,7 +223,7 @@ def clock(seconds: Column) -> Column:
 
 def safe_id(text: Column) -> Column:
     """Whether a run id or relative path names nothing outside its folder."""
-    return F.coalesce(text.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/-]*$") & ~text.rlike(r"(^|/)\.\.?(/|$)"), F.lit(False))
+    return F.coalesce(text.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._/-]*\z") & ~text.rlike(r"(^|/)\.\.?(/|$)"), F.lit(False))
 
 
 def finite(x: Column) -> Column:

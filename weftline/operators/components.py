@@ -20,11 +20,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         # large star: every larger neighbour is tied to the smallest id around u
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join can split an id with very many neighbours
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(edges.where("u = v"))
         large = large.distinct()
         # small star: u and its smaller neighbours are tied to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large, "large-star")
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct(), "edges")
         state = edges.agg(F.count("*"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import text
 from weftline.functions.text import collapse_space, redact, token_estimate
-from weftline.operators import blend, ingest, postprocess, sequences, shuffle, tokens
+from weftline.operators import blend, checks, ingest, postprocess, sequences, shuffle, tokens
 from weftline.operators.prefix import ordinals, prefix_sum
 from weftline.operators.spread import spread
 from weftline.plans.sqltext import SPACE, cleaned, collapsed, quoted
@@ -214,12 +215,36 @@ def white_space(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("source", "text")).groupBy(source().alias("source")).agg(F.count_if(changed).alias("changed"), F.sum(F.char_length(collapse_space(F.col("text"))).cast("long")).alias("chars"))
 
 
+def file_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each file that are the first with their hash in it, as a download keeps them."""
+    rows = postprocess.with_cleaned(table(spark, d, "raw_records")).where("cleaned <> ''").select("file_idx", "line_no", "digest")
+    return postprocess.keep_first(rows, ["file_idx", "digest"], ["line_no"]).groupBy("file_idx").agg(F.count("*").alias("kept"), F.max("line_no").alias("last_line"))
+
+
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Small text functions over raw records: truncation, the first number, a clock, ids that name nothing outside, whole numbers, splits, sets."""
+    t = F.coalesce("text", F.lit(""))
+    head = F.substring(t, 1, 12)
+    letters = F.array_sort(F.array_distinct(F.split(F.lower(F.substring(F.regexp_replace(t, "[^a-zA-Z]", ""), 1, 6)), "")))
+    return table(spark, d, "raw_records").select(
+        "record_id",
+        text.truncate(t, 40).alias("short"),
+        text.number_in(F.substring(t, 1, 200)).alias("number"),
+        text.clock(F.char_length(t)).alias("clock"),
+        text.safe_id(F.regexp_replace(head, " ", "/")).alias("safe"),
+        checks.whole_number(F.regexp_extract(t, "[0-9.+-]+", 0), 1).alias("whole"),
+        text.normal_split(F.col("source_id"), ("code", "math")).alias("split"),
+        text.first_text(F.col("source_id"), F.lit("none")).alias("named"),
+        checks.same_set(letters, F.reverse(letters)).alias("same"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         clean_dedup_split, postprocess_stats, stats_by_source, blend_allocation, download_tasks, download_shards, download_budget_prefix, token_estimates, download_stats,
         processed_shuffle, shuffle_buckets, token_counts, token_shards, train_token_cap, next_token, sequence_packing, vocab_check, source_count_maps, token_chunk_plan,
-        balanced_chunk_schedule, shard_audit, shard_lookup, secret_scan, failure_redaction, white_space,
+        file_dedup, text_functions, balanced_chunk_schedule, shard_audit, shard_lookup, secret_scan, failure_redaction, white_space,
     )
 }
 
@@ -284,6 +309,14 @@ select record_id, case when length(x) > 4000 then regexp_replace(substr(x, 1, 39
 
 
 SQL = {
+    "file_dedup": _JUDGED + " select file_idx, count(*) as kept, max(first) as last_line from (select file_idx, digest, min(line_no) as first from g where cleaned <> '' group by 1, 2) group by 1",
+    "text_functions": r"""
+with t as (select record_id, source_id, coalesce(text, '') as t from raw_records),
+x as (select *, regexp_extract(t, '[0-9.+-]+', 0) as n, replace(substr(t, 1, 12), ' ', '/') as h from t)
+select record_id, case when length(t) > 40 then substr(t, 1, 37) || '...' else t end as short, try_cast(nullif(regexp_extract(substr(t, 1, 200), '[0-9]+', 0), '') as bigint) as number,
+ printf('%02d:%02d:%02d', length(t) // 3600, length(t) % 3600 // 60, length(t) % 60) as clock, regexp_full_match(h, '[A-Za-z0-9][A-Za-z0-9._/-]*') and not regexp_matches(h, '(^|/)\.\.?(/|$)') as safe,
+ case when regexp_full_match(n, '[+-]?[0-9]+') and try_cast(n as bigint) >= 1 then try_cast(n as bigint) end as whole, case when lower(trim(source_id)) in ('code', 'math') then lower(trim(source_id)) else 'train' end as split,
+ coalesce(nullif(trim(source_id), ''), 'none') as named, true as same from x""",
     "clean_dedup_split": _JUDGED + f" select record_id, cleaned as text, {_REC} as source, digest as document_hash, outcome as split from j where outcome in ('train', 'validation')",
     "postprocess_stats": _JUDGED
     + """ select count(*) as input_documents, count(*) filter (outcome = 'train') as kept_train_documents, count(*) filter (outcome = 'validation') as kept_validation_documents,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import token_estimate
 from weftline.operators import tokens
-from weftline.operators.prefix import ordinals
+from weftline.operators.prefix import ordinals, prefix_sum
 from weftline.plans import corpus, pipeline
 from weftline.plans.corpus import SHARD, table
 from weftline.plans.sqltext import collapsed
@@ -78,6 +78,28 @@ def shard_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _by_split(spark, d, through)
 
 
+def token_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The first and the last token of every record, read from the shards of its split by their addresses."""
+    out, rows = spark.createDataFrame([], "split string, position long, token long"), _tokens(spark, d)
+    for (split,) in sorted(rows.select("split").distinct().collect()):
+        own, at = rows.where(F.col("split") == split), _place(spark, "shards")
+        shards.write_shards(own.drop("split"), ["record_id"], at, SHARD)
+        ends = prefix_sum(own.select("record_id", F.size("tokens").cast("long").alias("n")), ["record_id"], "n")
+        asked = ends.select(F.explode(F.array_distinct(F.array("start", F.col("start") + F.col("n") - 1))).alias("position"))
+        out = out.unionByName(shards.read_positions(spark, f"file://{at}/index.json", asked).select(F.lit(split).alias("split"), "position", "token"))
+    return out
+
+
+def index_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Shards, tokens and sources by the index of each split's shards."""
+    rows, indexes = _tokens(spark, d), {}
+    for (split,) in sorted(rows.select("split").distinct().collect()):
+        at = _place(spark, "shards")
+        shards.write_shards(rows.where(F.col("split") == split).drop("split"), ["record_id"], at, SHARD)
+        indexes[split] = f"{at}/index.json"
+    return shards.index_summary(spark, indexes)
+
+
 def corpus_shuffle(spark: SparkSession, d: str) -> DataFrame:
     """The shards of each split rewritten in the stride order of their chunks, and every token read back by its new address."""
 
@@ -139,7 +161,7 @@ def corpus_build(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "split string, source string, tokens long")
 
 
-QUERIES = {f.__name__: f for f in (jsonl_round_trip, shard_round_trip, corpus_shuffle, ledger_export, export_counts, resumed_ingest, snapshot_round_trip, corpus_build)}
+QUERIES = {f.__name__: f for f in (jsonl_round_trip, shard_round_trip, token_positions, index_summaries, corpus_shuffle, ledger_export, export_counts, resumed_ingest, snapshot_round_trip, corpus_build)}
 
 #: Columns of the CSV of experiments that the table has, and where.
 _EXPORTED = [(c, {"provider_logs_uri": "provider_artifacts.logs_uri", "provider_detail_uri": "provider_artifacts.detail_uri", "parameter_count_estimate": "resolved_config.parameter_count_estimate", "total_optimizer_steps": "resolved_config.total_optimizer_steps"}.get(c, c)) for c in export.COLUMNS["experiments"] if c not in ("final_validation_loss", "staff_failure_detail")]
@@ -174,6 +196,11 @@ SQL = {
     "jsonl_round_trip": "select record_id, text, row_number() over (order by file_idx, line_no) - 1 as ordinal from raw_records",
     "shard_round_trip": corpus._STREAMS + " select split, position, token from l",
     "corpus_shuffle": _REORDERED,
+    "token_positions": corpus._STREAMS.replace("from processed_records)", "from processed_records where text is not null)")
+    + ", e as (select distinct split, unnest([cast(start as bigint), cast(start + len(t) - 1 as bigint)]) as position from s) select split, position, token from e join l using (split, position)",
+    "index_summaries": corpus._STREAMS.replace("from processed_records)", "from processed_records where text is not null)")
+    + f""", n as (select split, count(*) as tokens from l group by 1), c as (select coalesce(split, 'train') as split, count(distinct {corpus._REC}) as sources from processed_records where text is not null group by 1)
+select split, (tokens + {SHARD - 1}) // {SHARD} as shards, tokens, sources, least(tokens, {SHARD}) as largest_shard from n join c using (split)""",
     "ledger_export": "select "
     + ", ".join(f"coalesce(cast({c} as varchar), '') as {n}" for n, c in _EXPORTED)
     + ", '' as staff_failure_detail, cast(final_validation_loss is not null as varchar) as has_loss from experiments",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import normal_source
@@ -51,12 +51,37 @@ def prepare(
     order = ["file_idx", "line_no"]
     counters = postprocess.statistics(postprocess.reasons(records, order, min_chars, max_chars, validation_rate)).first().asDict()
     kept = cut(postprocess.processed(records, order, min_chars, max_chars, validation_rate), "processed")
+    return _written(spark, kept, order, out, load, eos, seed, buckets, shard_tokens, limits, {"fingerprint": print_, "settings": settings, "statistics": counters, "splits": {}})
+
+
+def rebuild(
+    spark: SparkSession,
+    processed: str,
+    out: str,
+    load: Callable[[], Callable[[list[str]], list[list[int]]]],
+    eos: int,
+    *,
+    seed: int = 20260724,
+    buckets: int = shuffle.BUCKETS,
+    shard_tokens: int = 100_000_000,
+    limits: dict[str, int] | None = None,
+) -> dict:
+    """The stages after cleaning, from a folder of processed records (train and validation files of JSON lines); always anew.
+
+    Records keep their order within a split, their source and, where they have one, their hash.
+    """
+    value = F.col("value")
+    kept = cut(jsonl.split_records(spark, processed, list(SPLITS)).select("split", "line_no", *[jsonl.text_of(value, c).alias(c) for c in ("text", "source_id", "document_hash")]), "processed")
+    return _written(spark, kept, ["line_no"], out, load, eos, seed, buckets, shard_tokens, limits, {"settings": {"processed": processed, "seed": seed, "buckets": buckets, "shard_tokens": shard_tokens, "limits": limits, "eos": eos}, "splits": {}})
+
+
+def _written(spark: SparkSession, kept: DataFrame, order: list[str], out: str, load: Callable, eos: int, seed: int, buckets: int, shard_tokens: int, limits: dict[str, int] | None, manifest: dict) -> dict:
+    """Shuffle, tokenize, cap and write the splits of processed records, then the manifest."""
     numbered = kept.join(ordinals(kept.select("split", *order), order, "ordinal", ["split"]), ["split", *order])
     keyed = shuffle.keyed(numbered, seed, buckets)
     encoded = tokens.encode(keyed.select("split", "bucket_key", "key", normal_source(F.col("source_id"), "unknown").alias("source_id"), "text"), load, eos)
     encoded = cut(encoded, "tokens")
     place = ["bucket_key", "key"]
-    manifest: dict = {"fingerprint": print_, "settings": settings, "statistics": counters, "splits": {}}
     for split in SPLITS:
         rows = encoded.where(F.col("split") == split)
         if split == "train" and limits:

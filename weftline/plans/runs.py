@@ -49,6 +49,13 @@ def run_losses(spark: SparkSession, d: str) -> DataFrame:
     return ledger.loss_totals(live.withColumn("loss", F.col("payload")["validation_loss"].try_cast("double")), ["run_id"], "delivery_id", "loss")
 
 
+def loss_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Losses of each run as written, in order of arrival, repeats left out."""
+    kept = ledger.idempotent(_events(spark, d), "delivery_id").where("not repeat and type = 'validation'")
+    held = ledger.values_in_order(kept.withColumn("loss", F.col("payload")["validation_loss"]), ["run_id"], "delivery_id", "loss", "losses")
+    return held.select("run_id", F.array_join("losses", ",").alias("losses"))
+
+
 def run_state(spark: SparkSession, d: str) -> DataFrame:
     """Where each run stands after its accepted events: how it ended, and when it was last heard of."""
     kept = ledger.idempotent(_events(spark, d), "delivery_id").where("not repeat")
@@ -195,7 +202,7 @@ def status_agreement(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        event_dedup, import_report, late_events, event_log_summary, run_losses, run_state, loss_summary, best_run, queue_positions, fair_share, active_counts, budget_check, runtime_charge,
+        event_dedup, import_report, late_events, event_log_summary, run_losses, loss_lists, run_state, loss_summary, best_run, queue_positions, fair_share, active_counts, budget_check, runtime_charge,
         admin_experiments, missing_runs, launched_runs, duplicate_configs, latest_snapshots, complete_or_partial, prediction_scores, experiment_export, flops, payload_keys, run_violations, status_agreement,
     )
 }
@@ -224,6 +231,7 @@ select delivery_id, run_id, type from r join z on run_id = zr where delivery_id
     "run_losses": _LIVE
     + """, v as (select run_id, list(x order by delivery_id) as losses from (select run_id, delivery_id, try_cast(payload['validation_loss'] as double) as x from l where not late and type = 'validation') where x is not null group by 1)
 select run_id, cast(len(losses) as integer) as evaluations, losses[1] as first_loss, losses[-1] as last_loss, list_min(losses) as lowest_loss from v""",
+    "loss_lists": _EVENTS + " select run_id, string_agg(payload['validation_loss'], ',' order by delivery_id) as losses from r where not again and type = 'validation' and payload['validation_loss'] is not null group by 1",
     "run_state": _LIVE
     + " select run_id, count(*) as accepted, arg_max(type, delivery_id) as last_type, bool_or(type in ('worker_completed', 'worker_failed')) as ended, max(received_at) as last_received from l where not late group by 1",
     "loss_summary": "select experiment_id, cast(coalesce(len(validation_losses), 0) as integer) as evaluations, validation_losses[1] as first_loss, validation_losses[-1] as last_loss, list_min(validation_losses) as lowest_loss from experiments",

@@ -96,9 +96,12 @@ def step(state: tuple, kind: str | None, loss: float | None) -> tuple:
     return (accepted + 1, losses, last, kind, kind in TERMINAL, late)
 
 
-def run_states(events: DataFrame) -> DataFrame:
-    """The state of each run that had events in the batch."""
+def run_states(events: DataFrame, known: tuple[str, ...] | None = None) -> DataFrame:
+    """The state of each run that had events in the batch; with ``known`` an event of another type fails the query."""
     _by_value()
+    if known is not None:
+        wrong = F.raise_error(F.concat(F.lit("unknown event type "), F.coalesce("type", F.lit("null"))))
+        events = events.withColumn("type", F.when(F.col("type").isin(*known), F.col("type")).otherwise(wrong.cast("string")))
     run = F.when(F.trim("final_run_id") != "", F.col("final_run_id")).otherwise(F.col("experiment_id"))
     rows = events.select(run.alias("run_id"), "delivery_id", "type", "loss").where("run_id is not null")
     return rows.groupBy("run_id").transformWithStateInPandas(_Run(), "run_id string, accepted long, losses long, last_loss double, last_type string, ended boolean, late long", "update", "none")
