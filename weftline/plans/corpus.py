@@ -183,7 +183,7 @@ def shard_audit(spark: SparkSession, d: str) -> DataFrame:
     """What is wrong with each shard row's metadata."""
     rows = table(spark, d, "token_shards")
     counted = F.aggregate(F.map_values("source_token_counts"), F.lit(0).cast("long"), lambda a, x: a + x)
-    checks = [("tokens", F.coalesce(F.col("tokens") != counted, F.lit(True))), ("dtype", F.coalesce(F.col("dtype") != "uint32", F.lit(True))), ("byte_order", F.coalesce(F.col("byte_order") != "little", F.lit(True))), ("sha256", ~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)))]
+    checks = [("tokens", F.coalesce(F.col("tokens") != counted, F.lit(True))), ("dtype", F.coalesce(F.col("dtype") != "uint32", F.lit(True))), ("byte_order", F.coalesce(F.col("byte_order") != "little", F.lit(True))), ("sha256", ~F.coalesce(F.col("sha256").rlike(r"\A[0-9a-f]{64}\z"), F.lit(False)))]
     wrong = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks]))
     return rows.groupBy("shard_id", F.array_join(wrong, ",").alias("wrong")).agg(F.count("*").alias("rows"))
 
