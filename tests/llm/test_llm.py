@@ -260,6 +260,19 @@ def test_overlaps_equal_brute_force(spark):
     assert counts["test", "src"] == (split.count("test"), sum(split[k] == "test" for k in held))
 
 
+def test_overlaps_with_crowded_cells_and_split_lists(spark):
+    """Few cells, so that terms share them and Bloom filters are asked; every list of a pair or more is split; one text is a third of all."""
+    texts = corpus(13, 60) + ["the same words again and again here " * 4] * 30
+    df = spark.createDataFrame([(k, t, "train" if k % 2 else "test") for k, t in enumerate(texts)], "record_id long, text string, split string")
+    want = {(a, b) if a % 2 else (b, a) for a, b in similar(texts, 3, 0.5) if (a % 2) != (b % 2)}
+    for options in ({"cells": 64}, {"split": 0}, {"cells": 64, "split": 1, "slack": 0.2}, {"slack": 0.0}):
+        found = overlap.overlaps(df, overlap.bound(0.5), 3, **options)
+        links = overlap.Overlaps(found.members, found.links.where("jaccard >= 0.5"))
+        assert {tuple(r) for r in overlap.pairs(links).collect()} == want, options
+    rows = overlap.linked(links).collect()
+    assert len(rows) == len([t for t in texts if shingles(t, 3)]) and len({r["class"] for r in rows if r.id >= 60}) == 2
+
+
 def test_cosine_of_term_counts(spark):
     texts = corpus(5, 40)
     split = ["train" if k % 2 else "test" for k in range(len(texts))]

@@ -163,7 +163,7 @@ def _cells(vectors: DataFrame, cells: int) -> Cells:
     return Cells(shift, (out[0, 0], out[0, 1]), (out[1, 0], out[1, 1]))
 
 
-def _lists(sent, on_held: bloom.Tester | None, on_train: bloom.Tester | None, least: float, slack: float):
+def _lists(sent, on_held: bloom.Tester | None, on_train: bloom.Tester | None, least: float, slack: float, split: int):
     """Rows of the inverted lists: (key, id, train, w, rest)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,7 +208,7 @@ def _lists(sent, on_held: bloom.Tester | None, on_train: bloom.Tester | None, le
         listed &= (total >= least - EPSILON)[of]
         terms, w, of, train, often = (x[listed] for x in (terms, w, of, train, often))
         ids = pdf["id"].to_numpy(np.int64)[of]
-        parts = 1 << np.clip(often // 8 - PAIRS, 0, PARTS)
+        parts = 1 << np.clip(often // 8 - split, 0, PARTS)
         own = (mix(ids.view(np.uint64)) & (parts - 1).astype(np.uint64)).astype(np.int64)
         times = np.where(train, 1, parts)
         if (parts > 1).any():
@@ -244,12 +244,13 @@ class Overlaps(NamedTuple):
     links: DataFrame
 
 
-def overlaps(records: DataFrame, least_cosine: float, n: int = 5, weights: str = "even", id: str = "record_id", text: str = "text", slack: float = SLACK, cells: int = CELLS) -> Overlaps:
+def overlaps(records: DataFrame, least_cosine: float, n: int = 5, weights: str = "even", id: str = "record_id", text: str = "text", slack: float = SLACK, cells: int = CELLS, split: int = PAIRS) -> Overlaps:
     """All pairs of a training class and a held-out class whose cosine reaches ``least_cosine``.
 
     ``weights``: terms count alike (``even``) or by how often they come in the record (``tf``).  Takes id (unique longs),
     text and split; split ``train`` is one side, every other non-null split the other, rows with a null split or id are left
-    out.  Null texts and texts of fewer than ``n`` words overlap nothing and do not appear.  ``cells`` is a power of two.
+    out.  Null texts and texts of fewer than ``n`` words overlap nothing and do not appear.  ``cells`` is a power of two;
+    ``split`` the binary logarithm of the pairs of a term's lists beyond which they are split.  Neither changes the result.
     """
     spark = records.sparkSession
     rows = spread(records.where(F.col("split").isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), (F.col("split") == "train").alias("train"), F.col(text).alias("text")))
@@ -265,7 +266,7 @@ def overlaps(records: DataFrame, least_cosine: float, n: int = 5, weights: str =
         bits = bloom.bits_for(sums.get(side, 0))
         if sums.get(side, 0) > 8 * cells and bits <= bloom.PASS_BITS:
             test[side] = bloom.tester(vectors.where(F.col("train") == side).select("terms"), _flat, bits)
-    lists = cut(distinct.mapInPandas(_lists(spark.sparkContext.broadcast(known), test[False], test[True], least_cosine, slack), "key long, id long, train boolean, w float, rest float"), "lists")
+    lists = cut(distinct.mapInPandas(_lists(spark.sparkContext.broadcast(known), test[False], test[True], least_cosine, slack, split), "key long, id long, train boolean, w float, rest float"), "lists")
     a = lists.where("train").select(F.col("id").alias("a"), "key", F.col("w").alias("wa"), F.col("rest").alias("ra"))
     b = lists.where("not train").select(F.col("id").alias("b"), "key", F.col("w").alias("wb"), F.col("rest").alias("rb"))
     met = a.join(b, "key").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max(F.greatest("ra", "rb")).alias("rest"))
