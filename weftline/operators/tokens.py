@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import collapse_space
 from weftline.operators.prefix import prefix_sum
+from weftline.scratch import cut
 
 
 def word_length_tokens(text: Column, eos: int = 0) -> Column:
@@ -52,7 +53,7 @@ def capped(documents: DataFrame, limits: DataFrame, order: list[str], source: st
     depends on all before it; only the documents no larger than what is left then go on, as narrow rows sorted with spill and
     folded in constant memory.  ``limits`` has (source, most); ``order`` is unique within a source.
     """
-    rows = documents.select(source, *order, tokens)
+    rows = cut(documents.select(source, *order, tokens), "counted")  # sizing a document costs more than reading its size again
     named = limits.select(F.col("source").alias(source), "most")
     joined = rows.join(named, source, "left")
     free = joined.where("most is null").select(source, *order, tokens)

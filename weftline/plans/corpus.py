@@ -137,7 +137,7 @@ def split_of(column: str = "split") -> Column:
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """(split, record_id, tokens, start) of all processed records; each split is a stream of its own."""
     records = table(spark, d, "processed_records").withColumn("split", split_of())
-    rows = records.select("split", "record_id", tokens.word_length_tokens(F.col("text")).alias("tokens"))
+    rows = cut(spread(records.select("split", "record_id", "text")).select("split", "record_id", tokens.word_length_tokens(F.col("text")).alias("tokens")), "tokens")
     starts = prefix_sum(rows.select("split", "record_id", F.size("tokens").cast("long").alias("n")), ["record_id"], "n", by=["split"])
     return rows.join(starts, ["split", "record_id"])
 
