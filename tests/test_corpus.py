@@ -77,6 +77,14 @@ def test_budget_keeps_the_crossing_row(spark):
     assert sorted((r.s, r.k) for r in got.collect()) == [("a", 0), ("a", 1), ("a", 2), ("b", 0)]
 
 
+def test_budgets_of_columns_and_no_budget(spark):
+    rows = [("a", k, 10, 15) for k in range(4)] + [("b", k, 10, None) for k in range(3)] + [("c", 0, None, 0), ("d", 0, 5, 0)]
+    df = spark.createDataFrame(rows, "s string, k long, n long, most long").repartition(3)
+    got = ingest.within_budget(df, ["k"], F.coalesce("n", F.lit(0)), F.col("most"), ["s"])
+    assert got.columns == df.columns and sorted((r.s, r.k) for r in got.collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("b", 2)]
+    assert ingest.within_budget(df.where("false"), ["k"], F.col("n"), F.lit(1), ["s"]).count() == 0
+
+
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=40))
 @settings(max_examples=5, deadline=None)
 def test_prefix_sum(spark, values):
