@@ -40,7 +40,8 @@ def test_places_do_not_depend_on_how_they_are_sent(spark):
 def test_semi_and_anti_joins(spark, monkeypatch):
     rows = spark.range(0, 1000).withColumn("id", F.when(F.col("id") > 4, F.col("id")))
     ids = spark.range(0, 1000, 3).withColumnRenamed("id", "x")
-    for most in (bloom.PASS_BITS, 1):
+    for listed, most in ((bloom.LISTED, bloom.PASS_BITS), (-1, bloom.PASS_BITS), (-1, 1)):
+        monkeypatch.setattr(bloom, "LISTED", listed)
         monkeypatch.setattr(bloom, "PASS_BITS", most)
         left = {r.id for r in bloom.without(rows, ids).collect()}
         assert left == {None, *(k for k in range(5, 1000) if k % 3)}

@@ -35,6 +35,8 @@ PARTS = 1 << 10
 HASHES = 3
 #: Values that a task holds before it hands them on.
 HELD = 1 << 23
+#: Ids that are sent to every task as they are, at most: 8 MB.
+LISTED = 1 << 20
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 _SIGN = np.uint64(1 << 63)
 
@@ -255,13 +257,33 @@ def marked_repeats(table: DataFrame, column: str, rows: int, name: str = "maybe"
     return spark.read.parquet(path)
 
 
+def _listed(ids: DataFrame) -> Callable[[Column], Column]:
+    """An exact test for at most LISTED ids, which are sent to every task as one sorted array."""
+    own = F.col(ids.columns[0]).cast("long")
+    held = ids.where(own.isNotNull()).select(own.alias("id")).distinct().toPandas()["id"].to_numpy(np.int64)
+    sent = ids.sparkSession.sparkContext.broadcast(np.sort(held))
+
+    @F.pandas_udf("boolean")
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = sent.value
+        for s in batches:
+            h = s.to_numpy(np.int64)
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            yield pd.Series(known[at] == h if len(known) else np.zeros(len(h), bool))
+
+    return lambda column: column.isNotNull() & test(F.coalesce(column.cast("long"), F.lit(0).cast("long")))
+
+
 def meeting(rows: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
     """Rows whose id the one column of ``ids`` holds, and perhaps a few others: what a join with ``ids`` needs to see.
 
-    With so many ids that their filter would take several passes, most rows move anyway, and an exact semi-join is made.
+    Few ids are sent as they are, more as a filter; with so many that their filter would take several passes, most rows move
+    anyway, and an exact semi-join is made.
     """
-    bits = bits_for(ids.count())
-    own = ids.columns[0]
+    n = ids.count()
+    bits, own = bits_for(n), ids.columns[0]
+    if n <= LISTED:
+        return rows.where(_listed(ids)(F.col(id)))
     if bits > PASS_BITS:
         return rows.join(ids.select(F.col(own).alias("_listed")).distinct(), F.col(id) == F.col("_listed"), "left_semi")
     return rows.where(members(ids.select(F.xxhash64(F.col(own).cast("long")).alias("h")), bits)(F.xxhash64(F.col(id).cast("long"))))
@@ -270,11 +292,13 @@ def meeting(rows: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
 def without(rows: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
     """``rows`` whose id the one column of ``ids`` does not hold.
 
-    Rows that the filter of ``ids`` clears stay where they are; only the others meet ``ids`` in a shuffle.  Rows with a null
-    id stay.
+    Few ids are sent to every task.  With more, rows that a filter of them clears stay where they are, and only the others meet ``ids`` in a
+    shuffle.  Rows with a null id stay.
     """
-    listed = ids.select(F.col(ids.columns[0]).alias("_listed"))
-    bits = bits_for(ids.count())
+    n = ids.count()
+    listed, bits = ids.select(F.col(ids.columns[0]).alias("_listed")), bits_for(n)
+    if n <= LISTED:
+        return rows.where(~_listed(ids)(F.col(id)))
     if bits > PASS_BITS:
         return rows.join(listed, F.col(id) == F.col("_listed"), "left_anti")
     maybe = members(listed.select(F.xxhash64(F.col("_listed").cast("long")).alias("h")), bits)
